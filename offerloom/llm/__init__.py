@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "token_files")
+MODULES = ("packing", "token_files", "minhash")
 
 
 def queries() -> dict:
