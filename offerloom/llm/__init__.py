@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "token_files", "minhash", "word_table")
+MODULES = ("packing", "token_files", "minhash", "word_table", "attention_lm")
 
 
 def queries() -> dict:

@@ -145,11 +145,12 @@ class Encoder:
 
 _NO_WHITE = {ord(c): "x" for c in " \t\n\r\x0b\x0c"}
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file in a worker, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One encoder for each file in a worker, kept between tasks; plain: names of special tokens are ordinary text."""
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = made = Encoder(path)
+        made.lib.encode_special_tokens = plain
+    return _encoders[path, plain]

@@ -63,18 +63,22 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
 
+def deal(block: int, found: dict[bytes, int], parts: int) -> Iterator[pa.RecordBatch]:
+    """A block's words as one packed list for each word partition."""
+    dealt: dict[int, list[bytes]] = defaultdict(list)
+    for word in found:
+        dealt[zlib.crc32(word) % parts].append(word)
+    rows = [(p, block, squeeze(b"\n".join(ws)), squeeze(np.fromiter(map(found.__getitem__, ws), "<i8", len(ws)).tobytes())) for p, ws in dealt.items()]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "words", "counts"])
+
+
 def word_lists(docs: DataFrame, parts: int, count: Callable[[list, list[str]], dict[bytes, int]]) -> DataFrame:
     """A packed list of words and counts for each (block, word partition); count gives a block's words with their counts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, texts in blocks(batches):
-            dealt: dict[int, list[bytes]] = defaultdict(list)
-            found = count(ids, texts)
-            for word in found:
-                dealt[zlib.crc32(word) % parts].append(word)
-            rows = [(p, block, squeeze(b"\n".join(ws)), squeeze(np.fromiter(map(found.__getitem__, ws), "<i8", len(ws)).tobytes())) for p, ws in dealt.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "words", "counts"])
+            yield from deal(block, count(ids, texts), parts)
 
     return _source(docs).mapInArrow(pack, LISTS)
 
