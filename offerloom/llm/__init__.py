@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("warc", "compress_quality", "packing", "token_files", "minhash", "word_table", "attention_lm", "ann")
+MODULES = ("warc", "line_rules", "compress_quality", "packing", "token_files", "licenses", "minhash", "word_table", "attention_lm", "ann")
 
 
 def queries() -> dict:
