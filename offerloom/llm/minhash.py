@@ -5,9 +5,10 @@
 2. Documents with equal sets are one class from here on, represented by the least doc_id.
 3. A bucket's candidates are stars: its least and its greatest representative against all others, so the number of
    pairs follows the number of bucket entries. Each pair is confirmed on full sets.
-4. What a star may miss (members alike, but unlike both centres) is settled afterwards: in buckets whose members are
-   still in several components, the next 4, 16, 64, ... members in order become centres against members of other
-   components, until each has been one. Most buckets never get there.
+4. What a star may miss (members alike, but unlike both centres) is settled afterwards. In a bucket whose members are
+   still in several components, the largest component is host and the members of others are its guests; every guest is
+   compared with all the host's members and with its fellow guests, inside tasks that hold a share of them each, so no
+   pair becomes a row. Then each two members of a bucket are in one component or have been compared.
 
 A pair at the threshold of 0.8 escapes all 42 bands of 6 rows with probability 3e-6, a closer pair less often.
 
@@ -122,38 +123,67 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(squeeze, "doc_id long, body binary")
 
 
-def confirmed(pairs: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (centre, member) whose full sets reach the similarity; bodies: compressed texts by doc_id."""
-    shares = pairs.groupBy("centre").agg(F.ceil(F.count("*") / STAR_SHARE).cast("long").alias("shares"))
-    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("member"), F.lit(1 << 20)))
-    dealt = dealt.join(shares.withColumn("at", F.expr("centre ^ 1")).drop("centre"), F.expr("(centre ^ 1) = at")).withColumn("share", F.col("share") % F.col("shares"))
-    wanted = dealt.select("centre", "share", F.lit(1).alias("role"), F.col("member").alias("doc_id")).unionByName(
-        shares.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), F.col("centre").alias("doc_id"))
-    )
-    rows = wanted.join(bodies, "doc_id").repartition("centre", "share").sortWithinPartitions("centre", "share", "role")
+def alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(one), len(other)))
+    if 100 * small < percent * large:
+        return False
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * both >= percent * (small + large - both)
+
+
+def compared(rows: DataFrame, bodies: DataFrame, words: int, percent: int, every: bool) -> DataFrame:
+    """Links (a, b) between the rows of role 1 and those of role 0 with the same (lead, share); rows: lead, share, role, doc_id.
+
+    The sets of role 0 are held, those of role 1 streamed. every: all links of a row count, else the first is enough.
+    """
+    met = rows.join(bodies, "doc_id").repartition("lead", "share").sortWithinPartitions("lead", "share", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, now, held = zstandard.ZstdDecompressor(), None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for centre, share, role, doc, body in zip(*(batch.column(k).to_pylist() for k in ("centre", "share", "role", "doc_id", "body"))):
+            for lead, share, role, doc, body in zip(*(batch.column(k).to_pylist() for k in ("lead", "share", "role", "doc_id", "body"))):
                 found = shingle_set(d.decompress(body), words)
-                if (centre, share) != now:
-                    now, held = (centre, share), []
+                if (lead, share) != now:
+                    now, held = (lead, share), []
                 if role == 0:
-                    held.append(found)
-                else:
-                    for other in held:
-                        small, large = sorted((len(found), len(other)))
-                        if 100 * small < percent * large:
-                            continue
-                        both = len(np.intersect1d(found, other, assume_unique=True))
-                        if 100 * both >= percent * (small + large - both):
-                            out.append((centre, doc))
+                    held.append((doc, found))
+                    continue
+                for other, its in held:
+                    if other != doc and alike(found, its, percent):
+                        out.append((other, doc))
+                        if not every:
                             break
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[], []])], ["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return met.mapInArrow(compare, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (centre, member) whose full sets reach the similarity; bodies: compressed texts by doc_id."""
+    shares = pairs.groupBy("centre").agg(F.ceil(F.count("*") / STAR_SHARE).cast("long").alias("shares"))
+    dealt = pairs.join(shares.selectExpr("centre ^ 1 as at", "shares"), F.expr("(centre ^ 1) = at"))
+    rows = dealt.selectExpr("centre as lead", "pmod(xxhash64(member), shares) as share", "1 as role", "member as doc_id").union(shares.selectExpr("centre", "explode(sequence(0L, shares - 1))", "0", "centre"))
+    return compared(rows, bodies, words, percent, every=False)
+
+
+def guest_links(shared: DataFrame, found: DataFrame, bodies: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that the stars missed, in buckets whose members are in several components; shared: (bucket, rep, size)."""
+    named = found.selectExpr("node ^ 1 as at", "component")
+    labelled = shared.where("size > 3").join(named, F.expr("(rep ^ 1) = at"), "left").selectExpr("bucket", "rep", "coalesce(component, rep) as component")
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").selectExpr("bucket ^ 1 as at")
+    left = labelled.join(split, F.expr("(bucket ^ 1) = at"), "left_semi")
+    sizes = found.groupBy("component").agg(F.count("*").alias("members")).selectExpr("component ^ 1 as at", "members")
+    left = written(left.join(sizes, F.expr("(component ^ 1) = at"), "left").selectExpr("bucket", "rep", "component", "coalesce(members, 1L) as members"), "split-buckets")
+    hosts = left.groupBy("bucket").agg(F.max(F.struct("members", (-F.col("component")).alias("c"))).alias("x")).selectExpr("bucket ^ 1 as at", "-x.c as host", "x.members as members")
+    guests = written(left.select("bucket", "rep", "component").join(hosts, F.expr("(bucket ^ 1) = at")).where("component <> host").select("host", "members", F.col("rep").alias("guest")).distinct(), "guests")
+    parties = written(guests.groupBy("host").agg(F.ceil((F.max("members") + F.count("*")) / STAR_SHARE).cast("long").alias("shares")), "hosts")
+    by_host = parties.selectExpr("host ^ 1 as at", "shares")
+    joined = guests.join(by_host, F.expr("(host ^ 1) = at")).select("host", "guest", "shares")
+    family = found.selectExpr("component as host", "node as member").union(parties.selectExpr("host", "host")).distinct().join(by_host, F.expr("(host ^ 1) = at")).select("host", "member", "shares")
+    rows = joined.selectExpr("host as lead", "explode(sequence(0L, shares - 1)) as share", "0 as role", "guest as doc_id")
+    rows = rows.union(joined.union(family).selectExpr("host", "pmod(xxhash64(guest), shares)", "1", "guest"))
+    return compared(rows, bodies, words, percent, every=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,24 +216,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         return _result(signed, classes, None)
     bodies = written(_packed(docs).join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "bodies")
     pairs = shared.select(F.col("low").alias("centre"), F.col("rep").alias("member")).union(shared.select(F.col("high"), F.col("rep"))).where("centre <> member")
-    tested = written(pairs.distinct(), "pairs")
-    edges = written(confirmed(tested, bodies, words, percent), "links")
-    found = components(edges)
-    open_from, step = 2, 4
-    while True:
-        labelled = shared.where(f"size > {open_from + 1}").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed_up = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.expr("bucket ^ 1").alias("at"))
-        left = written(labelled.join(mixed_up, F.expr("(bucket ^ 1) = at"), "left_semi").select("bucket", "rep", "component"), "open")
-        if left.isEmpty():
-            return _result(signed, classes, found)
-        ranked = left.selectExpr("bucket", "rep as centre", "component as own", "row_number() over (partition by bucket order by rep) as n").where(f"n between {open_from} and {open_from + step - 1}")
-        more = left.join(ranked.drop("n").withColumn("at", F.expr("bucket ^ 1")).drop("bucket"), F.expr("(bucket ^ 1) = at")).where("component <> own and rep <> centre")
-        more = more.select("centre", F.col("rep").alias("member")).distinct().join(tested, ["centre", "member"], "left_anti")
-        more = written(more, "pairs")
-        tested = tested.union(more)
-        edges = edges.union(written(confirmed(more, bodies, words, percent), "links"))
-        found = components(edges)
-        open_from, step = open_from + step, step * 4
+    found = components(confirmed(written(pairs.distinct(), "pairs"), bodies, words, percent))
+    late = written(guest_links(shared.select("bucket", "rep", "size"), found, bodies, words, percent), "late-links")
+    if late.isEmpty():
+        return _result(signed, classes, found)
+    # late links join whole components: what is left to connect is the graph of their names
+    at = found.selectExpr("node ^ 1 as at", "component")
+    ends = late.join(at, F.expr("(a ^ 1) = at"), "left").selectExpr("coalesce(component, a) as a", "b")
+    ends = ends.join(at, F.expr("(b ^ 1) = at"), "left").selectExpr("a", "coalesce(component, b) as b")
+    over = written(components(ends), "joined-components")
+    nodes = found.union(over.selectExpr("node", "node")).distinct().groupBy("node").agg(F.min("component").alias("component"))
+    after = nodes.join(over.selectExpr("node ^ 1 as at", "component as over"), F.expr("(component ^ 1) = at"), "left").selectExpr("node", "coalesce(over, component) as component")
+    return _result(signed, classes, written(after, "components"))
 
 
 def _result(signed: DataFrame, classes: DataFrame, found: DataFrame | None) -> DataFrame:
