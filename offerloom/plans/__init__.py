@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from offerloom.plans import dialect, relational, scalars  # noqa: F401  (importing a module of plans registers them)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dialect.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dialect.oracle_sql()
