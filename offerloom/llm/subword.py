@@ -55,6 +55,11 @@ class _Table(dict):
         return value
 
 
+def _is_word(chunk: str) -> bool:
+    """Letters below U+0180 alone, whose lower case is letters too (that of U+0130 holds a mark)."""
+    return chunk.isalpha() and (chunk.isascii() or (max(chunk) < "ƀ" and "İ" not in chunk))
+
+
 class Encoder:
     """ids(text) gives the library's ids as packed unsigned 32-bit little-endian integers, without special tokens added."""
 
@@ -94,11 +99,9 @@ class Encoder:
         return array("I", [t.id for t in self.tokenize(lead + (word if word.isascii() else word.translate(self.spell)))]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes | None:
-        if chunk.isalpha():
-            word = chunk.lower() if self.words else chunk
-            if word.isascii() or (max(word) < "ƀ" and word.isalpha()):
-                return self._letters(word, "" if self.words else "Ġ")
-        if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():  # a letter run ends before a mark, under either pattern
+        if _is_word(chunk):
+            return self._letters(chunk.lower(), "") if self.words else self._letters(chunk, "Ġ")
+        if chunk[-1:] in (",", ".") and _is_word(chunk[:-1]):  # a letter run ends before a mark, under either pattern
             return self.chunks[chunk[:-1]] + self.pieces[chunk[-1]]
         if self.words:
             if self._plain(chunk):
