@@ -40,12 +40,13 @@ def leave_one_out_median(df: DataFrame, keys: Sequence[str], value: str, out: st
     return near.withColumn(out, F.when(m >= 1, (other(low) + other(high)) / 2)).drop("_r", "_n", "_at", "_mid")
 
 
-def round_robin(df: DataFrame, family: str, *order: Column, each: int | None = None) -> DataFrame:
-    """rank: rows take turns by family, in order; each bounds a family's turns."""
+def round_robin(df: DataFrame, family: str, *order: Column, each: int | None = None, limit: int = 1000) -> DataFrame:
+    """rank: rows take turns by family, in order, up to a limit of the whole row; each bounds a family's turns."""
     turns = df.withColumn("_k", F.row_number().over(Window.partitionBy(family).orderBy(*order)))
     if each is not None:
         turns = turns.where(F.col("_k") <= each)
-    return turns.withColumn("rank", F.row_number().over(Window.orderBy("_k", *order))).drop("_k")
+    head = turns.orderBy("_k", *order).limit(limit)  # only so many rows are ranked in one place
+    return head.withColumn("rank", F.row_number().over(Window.orderBy("_k", *order))).drop("_k")
 
 
 def histogram(df: DataFrame, value: str, buckets: int = 12, step: int = 1000) -> DataFrame:

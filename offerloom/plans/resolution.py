@@ -56,7 +56,7 @@ def _(d):
 
 @plan("q04_disagreement_rejection")
 def _(d):
-    return f"""WITH {unit(d)} SELECT s.offer_id FROM sig s WHERE s.merchant_id >= 90 AND EXISTS (SELECT 1 FROM unit u WHERE u.gtin = s.gtin AND (
+    return f"""WITH {unit(d)} SELECT s.offer_id FROM sig s JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) fresh ON fresh.s_suppkey = s.merchant_id WHERE EXISTS (SELECT 1 FROM unit u WHERE u.gtin = s.gtin AND (
   (s.brand <> 'unknown' AND u.brand <> 'unknown' AND s.brand <> u.brand) OR NOT {t.category_tolerant("s.category", "u.category")} OR s.age <> substring(u.genre, 3, 1) OR s.pack <> u.pack OR (s.year IS NOT NULL AND u.year IS NOT NULL AND s.year <> u.year) OR NOT {t.colours_compatible("s.colour", "u.colour", d)}))"""
 
 
@@ -111,7 +111,7 @@ SELECT identity, gtin, title, {t.slug("concat(brand, ' ', title)", "identity", d
 @plan("q12_link_by_reference_prefix")
 def _(d):
     ref = f"upper({d.gsub('concat(title, brand, size)', '[^A-Za-z0-9]', '')})"
-    return f"""WITH {OFFER}, p AS (SELECT DISTINCT product_id, brand, size, {ref} AS k FROM offer WHERE product_id % 2 = 0), o AS (SELECT offer_id, merchant_id, brand, size, concat({ref}, CASE WHEN position = 2 THEN 'X' ELSE '' END) AS k FROM offer WHERE live AND position <= 2),
+    return f"""WITH {OFFER}, p AS (SELECT DISTINCT product_id, brand, size, {ref} AS k FROM offer), o AS (SELECT offer_id, merchant_id, brand, size, concat({ref}, CASE WHEN position = 2 THEN 'X' ELSE '' END) AS k FROM offer WHERE live),
 c AS (SELECT o.offer_id, o.merchant_id, p.product_id, count(*) OVER (PARTITION BY o.offer_id) AS candidates FROM o JOIN p ON substring(p.k, 1, 8) = substring(o.k, 1, 8) AND p.brand = o.brand AND p.size = o.size AND (o.k LIKE concat(p.k, '%') OR p.k LIKE concat(o.k, '%')) WHERE length(o.k) >= 8),
 r AS (SELECT *, row_number() OVER (PARTITION BY product_id, merchant_id ORDER BY offer_id) AS k FROM c WHERE candidates = 1)
 SELECT offer_id, product_id, CAST(0.70 AS DOUBLE) AS confidence FROM r WHERE k = 1"""
@@ -120,12 +120,12 @@ SELECT offer_id, product_id, CAST(0.70 AS DOUBLE) AS confidence FROM r WHERE k =
 @plan("q12_link_exact_identity")
 def _(d):
     return f"""WITH {SIG}, p AS (SELECT md5(concat_ws('|', p_brand, p_name, {d.string("p_size")})) AS identity, min(p_partkey) AS product FROM part GROUP BY 1)
-SELECT s.offer_id, p.product, CAST(0.80 AS DOUBLE) AS confidence FROM sig s JOIN p ON p.identity = md5(concat_ws('|', s.brand, s.title, {d.string("s.size")})) WHERE s.merchant_id % 10 = 4 AND s.category <> 25"""
+SELECT s.offer_id, p.product, CAST(0.80 AS DOUBLE) AS confidence FROM sig s JOIN p ON p.identity = md5(concat_ws('|', s.brand, s.title, {d.string("s.size")})) WHERE s.category <> 25 AND s.merchant_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)"""
 
 
 @plan("q13_item_group_separation")
 def _(d):
-    return f"""WITH {OFFER}, u AS (SELECT merchant_id % 20 AS m, sku, md5(brand) AS h, category, count(*) AS n, CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY wide) AS DOUBLE) AS price FROM offer WHERE live AND wide > 0 AND position <= 2 AND product_id % 20 = 0 GROUP BY 1, sku, brand, category),
+    return f"""WITH {OFFER}, u AS (SELECT merchant_id % 20 AS m, sku, md5(concat(brand, title, {d.string("size")})) AS h, category, count(*) AS n, CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY wide) AS DOUBLE) AS price FROM offer WHERE live AND wide > 0 GROUP BY 1, sku, brand, title, size, category),
 s AS (SELECT a.m, a.sku, a.h, a.category, a.n, a.price, CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY b.price) AS DOUBLE) AS others FROM u a JOIN u b ON b.h = a.h AND (b.m <> a.m OR b.sku <> a.sku OR b.category <> a.category) GROUP BY a.m, a.sku, a.h, a.category, a.n, a.price),
 f AS (SELECT *, price >= CASE WHEN category IN ('SMALL', 'LARGE') THEN 5 ELSE 3 END * others OR price <= others / CASE WHEN category IN ('SMALL', 'LARGE') THEN 5 ELSE 3 END AS far FROM s),
 r AS (SELECT *, sum(CASE WHEN far THEN 0 ELSE 1 END) OVER (PARTITION BY h) AS near, row_number() OVER (PARTITION BY h ORDER BY n DESC, price, m, sku, category) AS k FROM f)
@@ -134,9 +134,9 @@ SELECT m, sku, category, h, price, others, far AND NOT (near = 0 AND k = 1) AS s
 
 @plan("q14_detach_far_offers")
 def _(d):
-    return f"""WITH {OFFER}, o AS (SELECT offer_id, product_id, category, wide FROM offer WHERE live AND product_id % 15 = 2), m AS (SELECT a.offer_id, a.product_id, a.category, a.wide, CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY b.wide) AS DOUBLE) AS others FROM o a JOIN o b ON b.product_id = a.product_id AND b.offer_id <> a.offer_id GROUP BY a.offer_id, a.product_id, a.category, a.wide),
+    return f"""WITH {OFFER}, o AS (SELECT offer_id, product_id, category, wide FROM offer WHERE live), m AS (SELECT a.offer_id, a.product_id, a.category, a.wide, CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY b.wide) AS DOUBLE) AS others FROM o a JOIN o b ON b.product_id = a.product_id AND b.offer_id <> a.offer_id GROUP BY a.offer_id, a.product_id, a.category, a.wide),
 far AS (SELECT * FROM m WHERE wide >= 9 * others OR wide <= others / 9), cap AS (SELECT count(*) AS offers, count(DISTINCT product_id) AS products FROM far)
-SELECT offer_id, product_id FROM far, cap WHERE cap.offers <= 3000 AND cap.products <= 2000"""
+SELECT offer_id, product_id FROM far, cap WHERE cap.offers <= 1000000 AND cap.products <= 1000000"""
 
 
 @plan("q15_variants")
@@ -221,7 +221,7 @@ SELECT c.a, c.b FROM c JOIN n na ON na.id = c.a JOIN n nb ON nb.id = c.b WHERE n
 
 @plan("q27_separate_references")
 def _(d):
-    return f"""WITH {OFFER}, r AS (SELECT offer_id, product_id, merchant_id, {d.extract("concat(title, ' ', lpad(concat('', 10000000 + (product_id * 7 + position % 2)), 8, '0'))", "\\b([0-9]{8,12})\\b", 1)} AS ref FROM offer WHERE live AND product_id % 4 = 0),
+    return f"""WITH {OFFER}, r AS (SELECT offer_id, product_id, merchant_id, {d.extract("concat(title, ' ', lpad(concat('', 10000000 + (product_id * 7 + position % 2)), 8, '0'))", "\\b([0-9]{8,12})\\b", 1)} AS ref FROM offer WHERE live),
 g AS (SELECT product_id, min(ref) AS keeps FROM r GROUP BY product_id HAVING count(DISTINCT ref) > 1)
 SELECT r.offer_id, r.product_id, CASE WHEN r.ref = g.keeps THEN 'stays' ELSE 'moves' END AS verdict FROM r JOIN g ON g.product_id = r.product_id""".replace("{8,12}", "{8,12}")
 
