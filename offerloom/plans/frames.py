@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from offerloom.operators import extract, graph, groups, state
+from offerloom.operators import extract, graph, groups, listing, promo, state
 from offerloom.plans.dialect import OFFER, SparkDialect, frame, run_text
 
 
@@ -135,3 +135,46 @@ def x14(spark, sf_dir):
     return extract.merge_readings(read, "product", ["manual", "web"], ["safety"])
 
 
+
+
+PRODUCTS = f"""SELECT product_id, min(brand) AS brand, min(category) AS category, min(size) AS size, min(title) AS title, min(cents) AS cents, max(cents) AS high_cents, max(wide) AS list_cents, count(DISTINCT merchant_id) AS merchants, min(seen) AS first_seen, bool_or(in_stock) AS in_stock FROM offer GROUP BY product_id"""
+
+
+def products(spark, sf_dir):
+    return run_text(spark, sf_dir, f"WITH {OFFER} {PRODUCTS}")
+
+
+FILTERS = listing.Filters(brands=("Brand#1", "Brand#2", "Brand#5"), categories=("PROMO", "SMALL", "LARGE"), high=120_000, words=("red",), merchants=5)
+_OTHERS = "cents <= 120000 AND contains(title, 'red') AND merchants >= 5"
+_BRANDS, _CATEGORIES = "brand IN ('Brand#1', 'Brand#2', 'Brand#5')", "category IN ('PROMO', 'SMALL', 'LARGE')"
+
+
+@frame("b07_frame_optional_predicates", f"WITH {OFFER}, p AS ({PRODUCTS}) SELECT product_id, brand, cents FROM p WHERE {_BRANDS} AND {_CATEGORIES} AND {_OTHERS} ORDER BY cents, product_id LIMIT 48")
+def b07(spark, sf_dir):
+    return listing.listing(products(spark, sf_dir), FILTERS, "price").select("product_id", "brand", "cents")
+
+
+@frame("q38_frame_facets", f"""WITH {OFFER}, p AS ({PRODUCTS}) SELECT 'brands' AS facet, brand AS value, count(*) AS n FROM p WHERE {_CATEGORIES} AND {_OTHERS} GROUP BY brand
+UNION ALL SELECT 'categories', category, count(*) FROM p WHERE {_BRANDS} AND {_OTHERS} GROUP BY category UNION ALL SELECT 'sizes', CAST(size AS VARCHAR), count(*) FROM p WHERE {_BRANDS} AND {_CATEGORIES} AND {_OTHERS} GROUP BY size""")
+def q38(spark, sf_dir):
+    """All facets by one grouped count."""
+    return listing.facets(products(spark, sf_dir), FILTERS, [("brands", "brand"), ("categories", "category"), ("sizes", "size")])
+
+
+PROMO = "SELECT o_orderkey AS page_id, concat('<p>Offre &amp; remise</p> ', CASE o_orderkey % 3 WHEN 0 THEN concat('code promo : MOTO', o_orderkey % 90 + 10, ' -', o_orderkey % 50 + 10, '%') WHEN 1 THEN concat('avec SOLDE', o_orderkey % 9 + 1, ' ici') ELSE 'HTTP RGPD' END, ' jusqu au ', o_orderkey % 28 + 1, '/2/2024 <b>fin</b>') AS html FROM orders"
+
+
+@frame("x16_frame_promo_codes", f"""WITH p AS ({PROMO}) SELECT page_id, concat('MOTO', page_id % 90 + 10) AS code, 2 AS score, make_date(2024, 2, page_id % 28 + 1) AS ends, concat('-', page_id % 50 + 10, '%') AS discount FROM p WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, concat('SOLDE', page_id % 9 + 1), 1, make_date(2024, 2, page_id % 28 + 1), NULL FROM p WHERE page_id % 3 = 1""")
+def x16(spark, sf_dir):
+    """Codes of page texts with their score, end date and discount (X16 to X18)."""
+    pages = run_text(spark, sf_dir, PROMO).withColumn("text", promo.page_text(F.col("html")))
+    found = promo.codes(pages, "page_id", "text").join(pages.select("page_id", "text"), "page_id")
+    return found.select("page_id", "code", "score", promo.valid_until(F.col("text"), F.col("code"), F.lit("2024-01-15").cast("date")).alias("ends"), promo.discount_label(F.col("text"), F.col("code")).alias("discount"))
+
+
+@frame("q29_frame_value_families", f"""WITH {OFFER}, v AS (SELECT product_id, merchant_id, max(wide) AS wide FROM offer GROUP BY product_id, merchant_id), f AS (SELECT a.product_id, a.wide, count(*) AS members, max(b.wide) AS top FROM v a JOIN v b ON b.product_id = a.product_id AND abs(a.wide - b.wide) <= 0.01 * greatest(a.wide, b.wide) GROUP BY a.product_id, a.merchant_id, a.wide),
+r AS (SELECT product_id, top AS wide, members, row_number() OVER (PARTITION BY product_id ORDER BY members DESC, top DESC) AS k FROM f) SELECT product_id, wide, members FROM r WHERE k = 1""")
+def q29(spark, sf_dir):
+    per = offers(spark, sf_dir).groupBy("product_id", "merchant_id").agg(F.max("wide").alias("wide"))
+    return groups.value_families(per, ["product_id"], "wide", 0.01)

@@ -254,3 +254,61 @@ def _(d):
 
 
 plan("x23_word_position")(lambda d: f"SELECT p_partkey, CASE WHEN {d.position('p_name', chr(39) + 'ring' + chr(39))} = 0 THEN 'no ring' WHEN {d.position('p_name', chr(39) + 'red' + chr(39))} BETWEEN 1 AND {d.position('p_name', chr(39) + 'ring' + chr(39))} THEN 'red first' ELSE 'ring first' END AS verdict FROM part")
+
+
+@plan("a10_description_unescaped")
+def _(d):
+    x = "html"
+    for entity, mark in (("&copy;", "(c)"), ("&middot;", "."), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{mark}')"
+    return f"SELECT page_id, md5({x}) AS plain_md5 FROM pages"
+
+
+@plan("a12_reseller_pages")
+def _(d):
+    return f"""SELECT page_id, {d.extract("url", "^https?://([^/]+)/", 1)} AS host, {d.extract("url", "/([a-z]{2})/([0-9]+)", 2).replace("{2}", "{2}")} AS item, {d.size(d.extract_all("html", "<p>"))} AS paragraphs, {d.chars(d.extract("html", "<article>(.*)</article>", 1))} AS article_chars FROM pages"""
+
+
+@plan("a15_json_source")
+def _(d):
+    return f"""WITH j AS (SELECT event_id, concat('{{"id": ', event_id, ', "kind": "', event_type, '"}}') AS doc FROM events) SELECT event_id, {d.field("doc", "kind")} AS kind, CAST({d.field("doc", "id")} AS BIGINT) AS id FROM j"""
+
+
+@plan("a21_refreshed_statistics")
+def _(d):
+    return """WITH s AS (SELECT l_partkey AS product, count(*) AS offers, max(l_shipdate) AS latest FROM lineitem GROUP BY l_partkey) SELECT p_partkey, coalesce(offers, 0) AS offers, CAST(latest AS DATE) AS latest FROM part LEFT JOIN s ON product = p_partkey"""
+
+
+@plan("a26_sitemap_rows")
+def _(d):
+    return f"""SELECT concat('/p/', {t.slug("p_name", f"md5({d.string('p_partkey')})", d)}) AS path, CASE WHEN p_size > 25 THEN 'weekly' ELSE 'daily' END AS changes FROM part WHERE p_retailprice > 0"""
+
+
+@plan("h50_legacy_urls")
+def _(d):
+    path = "concat('/', p_type, '/', p_partkey, '-', replace(p_name, ' ', '_'), '.html')"
+    return f"""WITH u AS (SELECT p_partkey, {path} AS path FROM part) SELECT p_partkey, CASE WHEN {d.matches("path", "^/PROMO/")} THEN '/bons-plans' WHEN {d.matches("path", "/[0-9]+-[a-z_]+[.]html$")} THEN concat('/p/', {d.extract("path", "/([0-9]+)-", 1)}) ELSE '/' END AS target FROM u"""
+
+
+@plan("x05_ordered_splitter")
+def _(d):
+    return f"""SELECT p_partkey, CASE WHEN {d.matches("p_name", "^small.*ring$")} THEN 'ring, small' WHEN {d.matches("p_name", "ring|bolt")} AND p_size > 30 THEN 'hardware, large' WHEN {d.matches("p_name", "ring|bolt")} THEN 'hardware' WHEN p_type = 'PROMO' THEN 'promotion' END AS part_of FROM part"""
+
+
+@plan("x24_one_text_per_product")
+def _(d):
+    return f"""WITH s AS (SELECT l_partkey AS product, CASE l_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS source, concat('poids ', CAST(l_quantity AS INT) * 40, ' g') AS body, l_orderkey, l_linenumber FROM lineitem),
+r AS (SELECT product, source, body, row_number() OVER (PARTITION BY product ORDER BY source, body, l_orderkey, l_linenumber) AS k FROM s) SELECT product, source, CAST({d.extract("body", "([0-9]+) g", 1)} AS BIGINT) AS weight FROM r WHERE k = 1"""
+
+
+@plan("q54_reseller_matching")
+def _(d):
+    a, b = d.split("p_name", " "), d.split("model", " ")
+    bare = d.keep(a, "w", "w NOT IN ('red', 'blue', 'green', 'small', 'large')")
+    return f"""WITH sold(model) AS (VALUES ('ring'), ('widget'), ('bolt'), ('ring widget')), p AS (SELECT p_partkey, {bare} AS words FROM part),
+m AS (SELECT p_partkey, model, {d.size(b)} AS n, row_number() OVER (PARTITION BY p_partkey ORDER BY {d.size(b)} DESC, model) AS k, count(*) OVER (PARTITION BY p_partkey, {d.size(b)}) AS ties FROM p JOIN sold ON {d.within(b, "words")}) SELECT p_partkey, model FROM m WHERE k = 1 AND ties = 1"""
+
+
+@plan("q65_oldest_task_first")
+def _(d):
+    return """WITH t AS (SELECT event_id, event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events) SELECT event_type, event_id FROM t WHERE k = 1"""
