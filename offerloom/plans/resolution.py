@@ -16,19 +16,23 @@ SIG = f"""{OFFER}, sig AS (SELECT offer_id, sku, product_id AS gtin, merchant_id
 
 
 def unit(d) -> str:
-    """Barcode units: gates, conflict, and the representative's values."""
+    """Barcode units: gates, conflict, and the representative's values.
+
+    Whether known values differ is asked as least <> greatest: several distinct counts in one aggregate would multiply
+    the rows before the shuffle, one copy for each."""
     fits = t.colours_compatible("a.colour", "b.colour", d)
     return f"""{SIG},
-ages AS (SELECT gtin, count(DISTINCT sex) FILTER (WHERE sex <> 'U') AS sexes, count(DISTINCT age) AS ages, count(DISTINCT pack) AS packs, count(DISTINCT year) AS years, count(DISTINCT brand) FILTER (WHERE brand <> 'unknown') AS brands,
+gates AS (SELECT gtin, coalesce(min(sex) FILTER (WHERE sex <> 'U') <> max(sex) FILTER (WHERE sex <> 'U'), FALSE) OR min(age) <> max(age) OR (bool_or(pack) AND NOT bool_and(pack)) OR coalesce(min(year) <> max(year), FALSE)
+    OR coalesce(min(brand) FILTER (WHERE brand <> 'unknown') <> max(brand) FILTER (WHERE brand <> 'unknown'), FALSE) AS mixed,
   min(brand) FILTER (WHERE brand <> 'unknown') AS brand, max(year) AS year, min(sex) FILTER (WHERE sex <> 'U') AS sex, min(age) AS age, bool_or(pack) AS pack, min(CASE WHEN category = 25 THEN 1000 WHEN category BETWEEN 2 AND 5 THEN category ELSE 100 + category END) AS cat,
   max_by(colour, concat(lpad({d.string("length(colour)")}, 3, '0'), colour)) FILTER (WHERE colour <> '') AS colour, min_by(title, concat(lpad({d.string("99 - length(title)")}, 2, '0'), offer_id)) AS title,
-  count(DISTINCT merchant_id) FILTER (WHERE live AND cents > 0) AS merchants, max(cents) FILTER (WHERE live AND cents > 0) AS high, min(cents) FILTER (WHERE live AND cents > 0) AS low, count(*) AS n FROM sig GROUP BY gtin),
+  coalesce(min(merchant_id) FILTER (WHERE live AND cents > 0) <> max(merchant_id) FILTER (WHERE live AND cents > 0), FALSE) AS several, max(cents) FILTER (WHERE live AND cents > 0) AS high, min(cents) FILTER (WHERE live AND cents > 0) AS low, count(*) AS n FROM sig GROUP BY gtin),
 seen_colours AS (SELECT DISTINCT gtin, colour FROM sig WHERE colour <> ''),
 clash AS (SELECT DISTINCT a.gtin FROM seen_colours a JOIN seen_colours b ON b.gtin = a.gtin AND b.colour > a.colour WHERE NOT {fits}),
 two AS (SELECT DISTINCT gtin FROM (SELECT gtin, merchant_id FROM sig WHERE colour <> '' GROUP BY gtin, merchant_id HAVING count(DISTINCT colour) > 1) x),
 unit AS (SELECT g.gtin, g.n, coalesce(g.brand, 'unknown') AS brand, CASE WHEN g.cat >= 1000 THEN 25 WHEN g.cat >= 100 THEN g.cat - 100 ELSE g.cat END AS category, coalesce(g.colour, '') AS colour, g.year, concat(coalesce(g.sex, 'U'), '-', g.age) AS genre, g.pack, g.title,
-  g.sexes > 1 OR g.ages > 1 OR g.packs > 1 OR g.years > 1 OR g.brands > 1 OR (g.merchants >= 2 AND g.high >= 5 * g.low) OR c.gtin IS NOT NULL OR w.gtin IS NOT NULL AS conflict
-  FROM ages g LEFT JOIN clash c ON c.gtin = g.gtin LEFT JOIN two w ON w.gtin = g.gtin)"""
+  g.mixed OR (g.several AND g.high >= 5 * g.low) OR c.gtin IS NOT NULL OR w.gtin IS NOT NULL AS conflict
+  FROM gates g LEFT JOIN clash c ON c.gtin = g.gtin LEFT JOIN two w ON w.gtin = g.gtin)"""
 
 
 #: Units whose wording decides their product, for the folds and splits.
@@ -154,7 +158,7 @@ def _(d):
 @plan("q17_standing_invariants")
 def _(d):
     fits = t.colours_compatible("a.colour", "b.colour", d)
-    return f"""WITH {SIG}, g AS (SELECT gtin, live, count(DISTINCT brand) FILTER (WHERE brand <> 'unknown') AS brands, count(DISTINCT sex) FILTER (WHERE sex <> 'U') AS sexes, count(DISTINCT age) AS ages, count(DISTINCT pack) AS packs, count(DISTINCT year) AS years, count(DISTINCT category) FILTER (WHERE category <> 25) AS cats FROM sig GROUP BY gtin, live),
+    return f"""WITH {SIG}, g AS (SELECT gtin, live, CASE WHEN min(brand) FILTER (WHERE brand <> 'unknown') <> max(brand) FILTER (WHERE brand <> 'unknown') THEN 2 ELSE 1 END AS brands, CASE WHEN min(sex) FILTER (WHERE sex <> 'U') <> max(sex) FILTER (WHERE sex <> 'U') THEN 2 ELSE 1 END AS sexes, CASE WHEN min(age) FILTER (WHERE TRUE) <> max(age) FILTER (WHERE TRUE) THEN 2 ELSE 1 END AS ages, CASE WHEN bool_or(pack) AND NOT bool_and(pack) THEN 2 ELSE 1 END AS packs, CASE WHEN min(year) FILTER (WHERE TRUE) <> max(year) FILTER (WHERE TRUE) THEN 2 ELSE 1 END AS years, CASE WHEN min(category) FILTER (WHERE category <> 25) <> max(category) FILTER (WHERE category <> 25) THEN 2 ELSE 1 END AS cats FROM sig GROUP BY gtin, live),
 c AS (SELECT DISTINCT gtin, live, colour FROM sig WHERE colour <> ''), k AS (SELECT DISTINCT a.gtin, a.live FROM c a JOIN c b ON b.gtin = a.gtin AND b.live = a.live AND b.colour > a.colour WHERE NOT {fits})
 SELECT 'brand' AS rule, live, count(*) FILTER (WHERE brands > 1) AS broken FROM g GROUP BY live UNION ALL SELECT 'sex', live, count(*) FILTER (WHERE sexes > 1) FROM g GROUP BY live UNION ALL SELECT 'age', live, count(*) FILTER (WHERE ages > 1) FROM g GROUP BY live
 UNION ALL SELECT 'pack', live, count(*) FILTER (WHERE packs > 1) FROM g GROUP BY live UNION ALL SELECT 'year', live, count(*) FILTER (WHERE years > 1) FROM g GROUP BY live UNION ALL SELECT 'category', live, count(*) FILTER (WHERE cats > 1) FROM g GROUP BY live UNION ALL SELECT 'colour', live, count(*) FROM k GROUP BY live"""
@@ -250,7 +254,7 @@ SELECT merchant_id, arrived, before, prices, arrived = 0 AND before = 0 OR price
 
 @plan("q58_purge_new_merchant")
 def _(d):
-    return f"""WITH {SIG}, broken AS (SELECT gtin FROM sig GROUP BY gtin HAVING count(DISTINCT age) > 1 OR count(DISTINCT pack) > 1)
+    return f"""WITH {SIG}, broken AS (SELECT gtin FROM sig GROUP BY gtin HAVING min(age) <> max(age) OR (bool_or(pack) AND NOT bool_and(pack)))
 SELECT s.offer_id, CASE WHEN b.gtin IS NOT NULL AND s.merchant_id % 10 = 0 THEN 'rejected' ELSE 'linked' END AS status FROM sig s LEFT JOIN broken b ON b.gtin = s.gtin"""
 
 
