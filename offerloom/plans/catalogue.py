@@ -16,7 +16,7 @@ FACTS = """fact AS (
 def _(d):
     return f"""WITH {SPREAD}, {AS_OF}, g AS (SELECT s.product_id, p_brand, p_name, low, high, {d.bucket("100 - 100 * low / CAST(high AS DOUBLE)", "5", "20", "4")} AS band, md5(concat({d.string("s.product_id")}, {d.string("day")})) AS h FROM spread s JOIN part ON p_partkey = s.product_id, today WHERE merchants >= 2 AND high <= 2 * low AND high >= 1.15 * low AND high - low >= 2500),
 one AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY high - low DESC, product_id) AS m FROM g), b AS (SELECT *, row_number() OVER (PARTITION BY band, p_brand ORDER BY h) AS k FROM one WHERE m = 1), r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY k, h) AS place FROM b)
-SELECT band, place, product_id, low, high FROM r WHERE place <= 8"""
+SELECT band, CAST(place AS BIGINT) AS place, product_id, low, high FROM r WHERE place <= 8"""
 
 
 @plan("q32_new_arrivals")
@@ -128,7 +128,7 @@ def _(d):
 @plan("q47_offer_table")
 def _(d):
     return f"""WITH {OFFER}, g AS (SELECT product_id, merchant_id, cents, {d.join_set("CASE WHEN position > 2 THEN lpad(concat('', size), 2, '0') END", " ")} AS sizes, count(*) AS lines FROM offer WHERE live GROUP BY product_id, merchant_id, cents)
-SELECT product_id, merchant_id, cents, sizes, lines, row_number() OVER (PARTITION BY product_id ORDER BY cents, merchant_id, sizes) AS place FROM g"""
+SELECT product_id, merchant_id, cents, sizes, lines, CAST(row_number() OVER (PARTITION BY product_id ORDER BY cents, merchant_id, sizes) AS BIGINT) AS place FROM g"""
 
 
 @plan("q49_buyable_sizes")
@@ -179,7 +179,7 @@ SELECT product_id, offers, low, high, ratio FROM f WHERE ratio >= 10 ORDER BY ra
 @plan("q56_shelf_pickers")
 def _(d):
     return f"""WITH {SPREAD}, f AS (SELECT product_id, p_type AS family, p_brand, merchants, high - low AS gap FROM spread JOIN part ON p_partkey = product_id), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY merchants DESC, gap DESC, product_id) AS k FROM f)
-SELECT family, k, product_id, p_brand FROM r WHERE k <= 6"""
+SELECT family, CAST(k AS BIGINT) AS k, product_id, p_brand FROM r WHERE k <= 6"""
 
 
 @plan("q57_sample_with_seed")

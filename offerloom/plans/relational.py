@@ -487,20 +487,20 @@ UNION ALL SELECT 'root', r_name, CAST(sum(n) AS BIGINT), min(low) FROM leaf JOIN
 
 @plan("e01_top_n_per_family")
 def _(d):
-    return f"""WITH {OFFER}, r AS (SELECT category, offer_id, cents, row_number() OVER (PARTITION BY category ORDER BY cents, offer_id) AS n FROM offer WHERE live) SELECT category, offer_id, cents, n FROM r WHERE n <= 5"""
+    return f"""WITH {OFFER}, r AS (SELECT category, offer_id, cents, row_number() OVER (PARTITION BY category ORDER BY cents, offer_id) AS n FROM offer WHERE live) SELECT category, offer_id, cents, CAST(n AS BIGINT) AS n FROM r WHERE n <= 5"""
 
 
 @plan("e02_round_robin")
 def _(d):
     return f"""WITH {OFFER}, r AS (SELECT brand, offer_id, cents, row_number() OVER (PARTITION BY brand ORDER BY cents DESC, offer_id) AS k FROM offer WHERE live), s AS (SELECT *, row_number() OVER (ORDER BY k, cents DESC, offer_id) AS place FROM r WHERE k <= 3)
-SELECT place, brand, offer_id FROM s WHERE place <= 40"""
+SELECT CAST(place AS BIGINT) AS place, brand, offer_id FROM s WHERE place <= 40"""
 
 
 @plan("e03_day_seeded_bands")
 def _(d):
     return f"""WITH {OFFER}, {AS_OF}, p AS (SELECT product_id, brand, {d.bucket("min(cents)", "85000", "105000", "4")} AS band FROM offer GROUP BY product_id, brand),
 a AS (SELECT p.*, md5(concat({d.string("product_id")}, {d.string("day")})) AS h FROM p, today), b AS (SELECT *, row_number() OVER (PARTITION BY band, brand ORDER BY h) AS n FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY h) AS m FROM b WHERE n = 1)
-SELECT band, m, product_id, brand FROM c WHERE m <= 6"""
+SELECT band, CAST(m AS BIGINT) AS m, product_id, brand FROM c WHERE m <= 6"""
 
 
 @plan("e04_gap_ratio")
@@ -574,7 +574,7 @@ def _(d):
 @plan("f07_size_order")
 def _(d):
     return f"""WITH s AS (SELECT DISTINCT CASE WHEN p_size <= 5 THEN {d.item(d.array("'XS'", "'S'", "'M'", "'L'", "'XL'"), "p_size")} ELSE {d.string("p_size")} END AS label FROM part)
-SELECT label, row_number() OVER (ORDER BY CASE WHEN {d.matches("label", "^[A-Z]+$")} THEN 0 ELSE 1 END, CASE label WHEN 'XS' THEN 1 WHEN 'S' THEN 2 WHEN 'M' THEN 3 WHEN 'L' THEN 4 WHEN 'XL' THEN 5 END, {d.try_double("label")}) AS place FROM s"""
+SELECT label, CAST(row_number() OVER (ORDER BY CASE WHEN {d.matches("label", "^[A-Z]+$")} THEN 0 ELSE 1 END, CASE label WHEN 'XS' THEN 1 WHEN 'S' THEN 2 WHEN 'M' THEN 3 WHEN 'L' THEN 4 WHEN 'XL' THEN 5 END, {d.try_double("label")}) AS BIGINT) AS place FROM s"""
 
 
 @plan("f08_brand_cap_at_head")
@@ -586,7 +586,7 @@ SELECT offer_id, brand, k > 2 AS pushed_down FROM r ORDER BY CASE WHEN k > 2 THE
 @plan("f09_department_interleave")
 def _(d):
     return f"""WITH {OFFER}, p AS (SELECT product_id, brand, category, max(seen) AS seen FROM offer GROUP BY product_id, brand, category), b AS (SELECT *, row_number() OVER (PARTITION BY category, brand ORDER BY seen DESC, product_id) AS kb FROM p),
-c AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY seen DESC, product_id) AS kc FROM b WHERE kb <= 2) SELECT product_id, category, row_number() OVER (ORDER BY kc, category) AS place FROM c WHERE kc <= 8"""
+c AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY seen DESC, product_id) AS kc FROM b WHERE kb <= 2) SELECT product_id, category, CAST(row_number() OVER (ORDER BY kc, category) AS BIGINT) AS place FROM c WHERE kc <= 8"""
 
 
 # Sets --------------------------------------------------------------------------------------------------------------

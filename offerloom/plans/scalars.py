@@ -122,8 +122,8 @@ plan("h35_colour_inclusion")(lambda d: f"WITH {TITLE}, c AS (SELECT id, {t.colou
 plan("h36_category_tolerance")(lambda d: f"SELECT a.p_partkey, {t.category_tolerant('a.p_size % 7', 'b.p_size % 7')} AS tolerant FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 plan("h37_greatest_least")(lambda d: "SELECT p_partkey, greatest(p_size, 10) / CAST(least(p_size, 10) AS DOUBLE) AS ratio FROM part")
 plan("h38_width_bucket")(lambda d: f"SELECT p_partkey, {d.bucket('CAST(p_size AS BIGINT)', '5', '45', '8')} AS bucket FROM part")
-plan("h39_seeded_order")(lambda d: f"SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat({d.string('p_partkey')}, '2024-01-15'))) AS place FROM part")
-plan("h40_round_half_up")(lambda d: "SELECT p_partkey, round(CAST(p_size * 1.125 AS DECIMAL(12, 4)), 2) AS rounded FROM part")
+plan("h39_seeded_order")(lambda d: f"SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY md5(concat({d.string('p_partkey')}, '2024-01-15'))) AS BIGINT) AS place FROM part")
+plan("h40_round_half_up")(lambda d: "SELECT p_partkey, CAST(round(CAST(p_size * 1.125 AS DECIMAL(12, 4)), 2) AS DECIMAL(12, 2)) AS rounded FROM part")
 
 
 @plan("h41_date_arithmetic")
