@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -10,17 +12,19 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as every contract of these operators defines a word's end.
-WHITE = r"[\x20\x09-\x0D]+"
-NOT_WHITE = r"[^\x20\x09-\x0D]"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset) a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "offerloom-shared")
-    return found.rstrip("/")
+    return (found or _local()).rstrip("/")
+
+
+@functools.cache
+def _local() -> str:
+    """For sessions without a shared folder, which are local ones: a temporary folder, removed when the driver ends."""
+    folder = tempfile.mkdtemp(prefix="offerloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -43,14 +47,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def split_key(key: Column) -> Column:
-    """The same key under an expression of its own, so that a join shuffles both sides plainly and AQE may split hot keys.
-
-    A join directly on a grouping key reuses the grouping's partitioning, which AQE must keep whole.
-    """
-    return F.concat(F.lit("k"), key.cast("string"))
-
-
 def crc32_text(doc_id: object) -> int:
     """crc32 of an id's decimal text, the fold rule of the labelled operators (null: 0)."""
     return 0 if doc_id is None else zlib.crc32(str(int(doc_id)).encode())
