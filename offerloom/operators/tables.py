@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, or, only where that is unset, a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or "file://" + os.path.join(tempfile.gettempdir(), "offerloom-shared")).rstrip("/")
+    return (found or _local()).rstrip("/")
+
+
+@functools.cache
+def _local() -> str:
+    """For sessions without a shared folder, which are local ones: a temporary folder, removed when the driver ends."""
+    folder = tempfile.mkdtemp(prefix="offerloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
