@@ -119,6 +119,10 @@ class Encoder:
             return None
         return self._spaced(" " + chunk)
 
+    def encoded(self, chunk: str) -> bytes | None:
+        """A chunk's ids without keeping them, for callers that ask for each chunk once; None where it needs its surroundings."""
+        return self._chunk(chunk)
+
     def _spaced(self, text: str) -> bytes:
         if self._plain(text):
             return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
