@@ -7,8 +7,8 @@
    pairs follows the number of bucket entries. Each pair is confirmed on full sets.
 4. What a star may miss (members alike, but unlike both centres) is settled afterwards. In a bucket whose members are
    still in several components, the largest component is host and the members of others are its guests; every guest is
-   compared with all the host's members and with its fellow guests, inside tasks that hold a share of them each, so no
-   pair becomes a row. Then each two members of a bucket are in one component or have been compared.
+   compared with all the host's members and with its fellow guests, inside tasks that hold a share of either, so no pair
+   becomes a row. Then each two members of a bucket are in one component or have been compared.
 
 A pair at the threshold of 0.8 escapes all 42 bands of 6 rows with probability 3e-6, a closer pair less often.
 
@@ -177,12 +177,14 @@ def guest_links(shared: DataFrame, found: DataFrame, bodies: DataFrame, words: i
     left = written(left.join(sizes, F.expr("(component ^ 1) = at"), "left").selectExpr("bucket", "rep", "component", "coalesce(members, 1L) as members"), "split-buckets")
     hosts = left.groupBy("bucket").agg(F.max(F.struct("members", (-F.col("component")).alias("c"))).alias("x")).selectExpr("bucket ^ 1 as at", "-x.c as host", "x.members as members")
     guests = written(left.select("bucket", "rep", "component").join(hosts, F.expr("(bucket ^ 1) = at")).where("component <> host").select("host", "members", F.col("rep").alias("guest")).distinct(), "guests")
-    parties = written(guests.groupBy("host").agg(F.ceil((F.max("members") + F.count("*")) / STAR_SHARE).cast("long").alias("shares")), "hosts")
-    by_host = parties.selectExpr("host ^ 1 as at", "shares")
-    joined = guests.join(by_host, F.expr("(host ^ 1) = at")).select("host", "guest", "shares")
-    family = found.selectExpr("component as host", "node as member").union(parties.selectExpr("host", "host")).distinct().join(by_host, F.expr("(host ^ 1) = at")).select("host", "member", "shares")
-    rows = joined.selectExpr("host as lead", "explode(sequence(0L, shares - 1)) as share", "0 as role", "guest as doc_id")
-    rows = rows.union(joined.union(family).selectExpr("host", "pmod(xxhash64(guest), shares)", "1", "guest"))
+    # a grid for each host: a task holds a share of the guests and streams a share of the host's members and of the guests
+    grid = guests.groupBy("host").agg(F.ceil((F.max("members") + F.count("*")) / STAR_SHARE).cast("long").alias("rows"), F.ceil(F.count("*") / STAR_SHARE).cast("long").alias("cols"))
+    parties = written(grid, "hosts")
+    by_host = parties.selectExpr("host ^ 1 as at", "rows", "cols")
+    joined = guests.join(by_host, F.expr("(host ^ 1) = at")).select("host", "guest", "rows", "cols")
+    family = found.selectExpr("component as host", "node as member").union(parties.selectExpr("host", "host")).distinct().join(by_host, F.expr("(host ^ 1) = at")).select("host", "member", "rows", "cols")
+    held = joined.selectExpr("host as lead", "explode(transform(sequence(0L, rows - 1), i -> i * cols + pmod(xxhash64(guest), cols))) as share", "0 as role", "guest as doc_id")
+    rows = held.union(joined.union(family).selectExpr("host", "explode(transform(sequence(0L, cols - 1), j -> pmod(xxhash64(guest, 7), rows) * cols + j))", "1", "guest"))
     return compared(rows, bodies, words, percent, every=True)
 
 
