@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import id_fold, table
+from offerloom.llm.common import id_fold, lean_batches, table
 
 FOLDS = 5
 DICTIONARY_DOCS, CALIBRATION_DOCS = 400, 1200
@@ -122,6 +122,7 @@ def _order(doc: int) -> int:
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out and score of every document."""
+    lean_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels)
     cut = {k: min(DICTIONARY_DOCS, len(v) // 2) for k, v in sample.items()}
     dictionaries = [dictionary(sample[k][: cut[k]]) for k in (1, 0)]

@@ -28,13 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import table, written
+from offerloom.llm.common import lean_batches, table, written
 
 ROWS, BANDS = 6, 42
 #: Members that meet one copy of their centre's text at most, so that a hot centre's checks spread over tasks.
 STAR_SHARE = 256
 #: Distinct words whose hashes a worker remembers.
-WORD_LIMIT = 500_000
+WORD_LIMIT = 150_000
 
 
 class _WordHashes(dict):
@@ -108,6 +108,7 @@ def signatures(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 keys.append(band_keys(signature(found, rows * bands), rows) if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print", "keys"])
+        _hashes.clear()  # a worker goes on to other operators
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, print binary, keys array<long>")
 
@@ -155,6 +156,7 @@ def compared(rows: DataFrame, bodies: DataFrame, words: int, percent: int, every
                         if not every:
                             break
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[], []])], ["a", "b"])
+        _hashes.clear()
 
     return met.mapInArrow(compare, "a long, b long")
 
@@ -207,6 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
+    lean_batches(docs.sparkSession)
     signed = written(signatures(docs, words, rows, bands), "signatures")
     classes = written(signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     reps = signed.join(classes.select(F.col("print").alias("p"), "rep"), F.expr("print = p and doc_id = rep")).select("rep", "keys")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import table
+from offerloom.llm.common import lean_batches, table
 from offerloom.llm.subword import encoder, tokenizer_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -86,6 +86,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 1024, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
     """Packs whole documents into sequences of at most capacity tokens; returns a row for each piece."""
+    lean_batches(docs.sparkSession)
     groups = max(1, math.ceil(docs.count() / group_docs))
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:

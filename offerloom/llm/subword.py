@@ -14,7 +14,7 @@ from array import array
 import regex
 
 #: Entries that a worker's table of chunks keeps at most in each of its two generations.
-CHUNK_LIMIT = 350_000
+CHUNK_LIMIT = 100_000
 
 _GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import scratch, table
+from offerloom.llm.common import lean_batches, scratch, table
 from offerloom.llm.files import FileSet
 from offerloom.llm.subword import encoder, tokenizer_path
 
@@ -58,6 +58,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, bits
             out.write(np.concatenate([[0], np.cumsum(sizes)]).astype("<i8").tobytes())
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([n]), "tokens": pa.array([sum(sizes)])})
 
+    lean_batches(docs.sparkSession)
     dealt = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     parts = sorted((r.part, r.docs, r.tokens) for r in dealt.mapInArrow(write, PARTS).collect())
     bases = itertools.accumulate((t for _, _, t in parts), initial=0)

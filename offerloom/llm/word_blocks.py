@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.llm.common import lean_batches
+
 #: Characters of text after which a block ends; a longer text is a block of its own.
 BLOCK_CHARS = 12_000_000
 
@@ -60,6 +62,7 @@ def _name(ids: list, texts: list[str]) -> int:
 
 
 def _source(docs: DataFrame) -> DataFrame:
+    lean_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
 
