@@ -1,10 +1,10 @@
 """Operator 2, quality rules: repetition measures of a text, and cross-document line frequency. DataFrame functions only.
 
-Lines are normalised (lower case, runs of white space as one space, ends trimmed), hashed and counted in documents per
-host. A line is boilerplate of its host when more than max_docs documents have it and those documents are mostly other
-text: shared lines cover less than half of their words on average. (Lines of whole copied documents are covered by
-shared lines throughout; which copy stays is for near-dedup to say, so they are left.) Boilerplate lines are removed,
-and a document that they deplete, of whose words under keep_percent remain, is rejected.
+Lines are normalised (lower case, runs of white space as one space, ends trimmed), hashed and counted per host. A line
+is boilerplate of its host when documents of more than max_docs distinct sets of lines have it. (Copies have one set of
+lines and count once, so their lines are left; which copy stays is for near-dedup to say.) Boilerplate lines are removed:
+clean_text holds the other lines as they stood. A document that they deplete, of whose words under keep_percent remain,
+is rejected.
 
 Counting is a grouped count with map-side partial sums, so a hot line is a number for each task; only occurrences of
 lines above the limit are joined back, on keys that AQE may split or, where the written table of those lines is small
@@ -28,13 +28,15 @@ MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 _WS = r"[\\x20\\x09-\\x0D]+"
 _HASHES = ", ".join(f"hashes[i + {k}]" if k else "hashes[i]" for k in range(WINDOW))
 
+_CLEAN = r"array_join(filter(split(row.text, '\n'), l -> not array_contains(gone, xxhash64(trim(regexp_replace(lower(l), '[\\x20\\x09\\x0B-\\x0D]+', ' '))))), '\n')"
+
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, host, print (a hash of the text) and the base measures of every row."""
-    rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "coalesce(source, '') as host", "coalesce(text, '') as text")
-    rows = rows.selectExpr("doc_id", "host", "text", "xxhash64(text) as print", f"filter(split(text, '{_WS}'), w -> w <> '') as words", r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]') as lines")
+    """The row, doc_id, host, print (a hash of the text) and the base measures of every row."""
+    rows = docs.select(F.struct(*docs.columns).alias("row")).selectExpr("row", "cast(row.doc_id as bigint) as doc_id", "coalesce(row.source, '') as host", "coalesce(row.text, '') as text")
+    rows = rows.selectExpr("row", "doc_id", "host", "text", "xxhash64(text) as print", f"filter(split(text, '{_WS}'), w -> w <> '') as words", r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]') as lines")
     rows = rows.selectExpr(
-        "doc_id", "host", "print",
+        "row", "doc_id", "host", "print",
         "cast(size(words) as bigint) as n_words",
         "cast(length(array_join(words, '')) as bigint) as word_chars",
         "cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '')) as bigint) as n_symbols",
@@ -57,31 +59,39 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate_words(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """Words in boilerplate lines of each document (doc_id, host, print) that has any."""
+    """Words in boilerplate lines, and those lines' hashes, of each document (doc_id, host, print) that has any."""
     lines = lines_of(docs)
     counted = lines.selectExpr("host", "explode(array_distinct(transform(lines, l -> xxhash64(l)))) as line").groupBy("host", "line").agg(F.count("*").alias("docs"))
     shared = written(counted.where(f"docs > {max_docs}").selectExpr("host as h", "line as l"), "shared-lines")
-    each = lines.selectExpr("doc_id", "host", "print", "(length(array_join(lines, ' ')) - length(replace(array_join(lines, ' '), ' ', '')) + 1) as total", "posexplode(transform(lines, l -> struct(xxhash64(l) as line, length(l) - length(replace(l, ' ', '')) + 1 as words))) as (pos, x)")
-    each = each.selectExpr("doc_id", "host", "print", "total", "pos", "x.line as line", "x.words as words")
-    found = written(each.join(shared, F.expr("host = h and line = l"), "left_semi").groupBy("doc_id", "host", "print", "total", "pos", "line", "words").count().drop("count"), "shared-occurrences")
-    covered = found.groupBy("doc_id", "host", "print", "total").agg(F.sum("words").alias("covered")).selectExpr("doc_id as d", "host as h", "print as p", f"100 * covered < {COPY_PERCENT} * total as own")
-    marked = found.join(covered, F.expr("doc_id <=> d and host = h and print = p"))
-    # one row for each document and line, then the share of documents that are mostly their own text
-    kinds = marked.groupBy("host", "line", "doc_id", "print").agg(F.max("own").alias("own")).groupBy("host", "line").agg(F.avg(F.col("own").cast("int")).alias("share"))
-    lonely = written(kinds.where("share > 0.5").selectExpr("host as h", "line as l"), "boilerplate-lines")
-    return found.join(lonely, F.expr("host = h and line = l"), "left_semi").groupBy("doc_id", "host", "print").agg(F.sum("words").cast("bigint").alias("removed_words"))
+    each = lines.selectExpr("doc_id", "host", "print", "xxhash64(sort_array(array_distinct(lines))) as kind", "posexplode(transform(lines, l -> struct(xxhash64(l) as line, length(l) - length(replace(l, ' ', '')) + 1 as words))) as (pos, x)")
+    each = each.selectExpr("doc_id", "host", "print", "kind", "pos", "x.line as line", "x.words as words")
+    found = written(each.join(shared, F.expr("host = h and line = l"), "left_semi").groupBy("doc_id", "host", "print", "kind", "pos", "line", "words").count().drop("count"), "shared-occurrences")
+    kinds = found.select("host", "line", "kind").distinct().groupBy("host", "line").agg(F.count("*").alias("kinds"))
+    boilerplate = written(kinds.where(f"kinds > {max_docs}").selectExpr("host as h", "line as l"), "boilerplate-lines")
+    return found.join(boilerplate, F.expr("host = h and line = l"), "left_semi").groupBy("doc_id", "host", "print").agg(F.sum("words").cast("bigint").alias("removed_words"), F.collect_set("line").alias("gone"))
 
 
-def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, keep_percent: int = KEEP_PERCENT) -> DataFrame:
-    """Base measures, words in boilerplate lines and the verdict of every row."""
-    removed = boilerplate_words(docs, max_docs).selectExpr("doc_id as d", "host as h", "print as p", "removed_words")
+def judged(docs: DataFrame, max_docs: int = MAX_DOCS, keep_percent: int = KEEP_PERCENT) -> DataFrame:
+    """The row, its base measures, words in boilerplate lines, verdict, and the text without those lines."""
+    removed = boilerplate_words(docs, max_docs).selectExpr("doc_id as d", "host as h", "print as p", "removed_words", "gone")
     rows = measures(docs).join(removed, F.expr("doc_id <=> d and host = h and print = p"), "left")
     rows = rows.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
-    return rows.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", f"not base_failed and 100 * (n_words - removed_words) >= {keep_percent} * n_words as kept", "removed_words")
+    return rows.selectExpr("*", f"not base_failed and 100 * (n_words - removed_words) >= {keep_percent} * n_words as kept", f"case when gone is null then row.text else {_CLEAN} end as clean_text")
+
+
+def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, keep_percent: int = KEEP_PERCENT) -> DataFrame:
+    """Base measures, words in boilerplate lines, the verdict and the cleaned text of every row."""
+    return judged(docs, max_docs, keep_percent).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "clean_text")
+
+
+def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, keep_percent: int = KEEP_PERCENT) -> DataFrame:
+    """The kept rows, in the columns of docs, with their cleaned text (and its length as n_chars, where lines went)."""
+    given = {"text": "clean_text", "n_chars": "case when gone is null then row.n_chars else cast(length(clean_text) as bigint) end"}
+    return judged(docs, max_docs, keep_percent).where("kept").selectExpr(*(f"{given.get(c, f'row.`{c}`')} as `{c}`" for c in docs.columns))
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules(table(spark, sf_dir, "documents"))
+    return line_rules(table(spark, sf_dir, "documents")).drop("clean_text")  # the oracle's columns
 
 
 QUERIES = {"op2_line_frequency": op2_line_frequency}
