@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.common import table, written
 from offerloom.llm.compress_quality import THRESHOLD, quality_scores
-from offerloom.llm.line_rules import line_rules
+from offerloom.llm.line_rules import cleaned
 from offerloom.llm.minhash import near_duplicates
 from offerloom.llm.packing import pack
 from offerloom.llm.subword import tokenizer_path
@@ -32,8 +32,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or that boilerplate lines deplete."""
-    return _without(docs, written(line_rules(docs).where("not kept"), "rejected"))
+    """Removes boilerplate lines, and drops documents that fail the base rules or that those lines deplete."""
+    return cleaned(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
