@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm.common import lean_batches, table
-from offerloom.llm.subword import encoder, tokenizer_path
+from offerloom.llm.subword import encoder, runs, tokenizer_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long, sequence_tokens long, padded_length long"
@@ -34,13 +34,14 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     """A row for each piece: where it starts in its document, its length and the crc32 of its ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, width = encoder(path), np.uint32(end_id).tobytes(), 4 * capacity
-        for batch in batches:
+        enc, end = encoder(path), np.asarray([end_id], "<u4")
+        for batch in runs(batches):
+            ids, offsets = enc.many(batch.column(1))
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.ids(text.as_py()) + end
-                total = len(ids) // 4
-                rows += ((doc, at // 4, len(part) // 4, zlib.crc32(part), total) for at in range(0, len(ids), width) for part in (ids[at : at + width],))
+            for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                own = np.append(ids[a:b], end)
+                total = len(own)
+                rows += ((doc, at, len(part), zlib.crc32(part), total) for at in range(0, total, capacity) for part in (own[at : at + capacity],))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECES)

@@ -6,8 +6,8 @@ the number of documents n, their n ids, a validity byte each, and n + 1 offsets
 each other in ascending doc_id; the first id of part K has the number of all ids in the parts before it, a prefix sum
 over one record a part.
 
-Rows are range-partitioned by doc_id and sorted inside each part by Spark, then streamed to the files; no part is held
-in memory. A part is written under a temporary name and renamed, so a repeated task gives the same file again.
+Rows are range-partitioned by doc_id and sorted inside each part by Spark, then streamed to the files: of a part, only
+its ids and sizes are held. A vocabulary too large for the width of the integers is refused. A part is written under a temporary name and renamed, so a repeated task gives the same file again.
 
 Defined cases: a null text is empty (the end id alone); null doc_ids come first; repeated doc_ids follow each other in
 text order; an empty table gives no part; other columns are ignored.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.common import lean_batches, scratch, table
 from offerloom.llm.files import FileSet
-from offerloom.llm.subword import encoder, tokenizer_path
+from offerloom.llm.subword import encoder, runs, tokenizer_path
 
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 PARTS = "part int, docs long, tokens long"
@@ -37,16 +37,17 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, bits
     """Writes all documents; returns (part, base, docs, tokens) in order. The list has a record for each part only."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, kind = encoder(path), np.uint32(end_id).tobytes(), np.dtype(f"<u{bits // 8}")
+        enc, end, kind = encoder(path), np.asarray([end_id], "<u4"), np.dtype(f"<u{bits // 8}")
+        if max(end_id, enc.lib.get_vocab_size(with_added_tokens=True) - 1) >> bits:
+            raise ValueError(f"the ids of {path} need more than {bits} bits")
         part, files = TaskContext.get().partitionId(), FileSet(folder)
         ids_of, sizes = [], []
         with files.writing(f"part-{part:06d}.bin") as out:
-            for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = np.frombuffer(enc.ids(text.as_py()) + end, dtype="<u4")
-                    out.write(ids.astype(kind).tobytes())
-                    ids_of.append(doc)
-                    sizes.append(len(ids))
+            for batch in runs(batches):
+                ids, offsets = enc.many(batch.column(1))
+                out.write(np.insert(ids, offsets[1:], end).astype(kind).tobytes())
+                ids_of += batch.column(0).to_pylist()
+                sizes += (np.diff(offsets) + 1).tolist()
         if not ids_of:
             files.remove(f"part-{part:06d}.bin")
             return

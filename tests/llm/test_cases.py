@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,32 @@ def test_licences(spark):
     got = {r.path: (r.own_license, r.license, r.inherited_from) for r in licenses.license_scan(table).collect()}
     assert got == {"r/LICENSE": ("MIT", "MIT", None), "r/a/x.c": (None, "MIT", "r"), "r/a/b/y.c": ("Apache-2.0", "Apache-2.0", None), "r/a/b/z.c": (None, "GPL-3.0", "r/a/b"), "s/q.c": (None, None, None), "r/a/b/COPYING.txt": ("GPL-3.0", "GPL-3.0", None), "top.c": (None, None, None)}
     assert licenses.license_scan(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", [BYTES, WORDS])
+def test_many_equals_library(name):
+    r, enc = np.random.default_rng(12), encoder(tokenizer_path(name))
+    texts = ["".join(r.choice(list(" \n\tab'sé1.,É<|́ \x1cİ\0"), r.integers(0, 14))) for _ in range(3000)]
+    texts += [None, "", LONG, *(" ".join("".join(r.choice(list("etaoinshrÉç"), r.integers(1, 12))) + str(r.choice(["", ",", ".", ";"])) for _ in range(40)) for _ in range(300))]
+    ids, offsets = enc.many(pa.array(texts, pa.string()))
+    assert len(offsets) == len(texts) + 1
+    for k, text in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tobytes() == (enc.whole(text) if text else b""), repr(text)[:200]
+    assert [len(x) for x in enc.many(pa.array([], pa.string()))] == [0, 1]
+
+
+@pytest.mark.parametrize("name", [BYTES, WORDS])
+def test_merging_by_rank_equals_the_list_of_pairs(name):
+    enc = encoder(tokenizer_path(name))
+    assert enc.merge is not None
+    for token in list(enc.lib.get_vocab())[::7]:
+        spelt = token.removesuffix("</w>") if enc.words else token
+        text = bytes(c for t in spelt for c in [next(b for b, s in enc.letters.items() if s == t)]) if all(t in enc.letters.values() for t in spelt) else b"\xff"
+        if b"\0" in text or not text or b"\xff" in text:
+            continue
+        assert enc.merge(text + b"\0" if enc.words else text) == [t.id for t in enc.tokenize("".join(map(enc.letters.__getitem__, text)))]
+
+
+def test_narrow_files_refuse_a_large_vocabulary(spark, docs):
+    with pytest.raises(Exception, match="bits"):
+        token_files.write_token_files(docs, scratch(spark, "narrow"), tokenizer_path(WORDS), 2, bits=8)
