@@ -1,18 +1,18 @@
 """Operator 2, quality rules: repetition measures of a text, and cross-document line frequency. DataFrame functions only.
 
 Lines are normalised (lower case, runs of white space as one space, ends trimmed), hashed and counted per host. A line
-is boilerplate of its host when documents of more than max_docs distinct sets of lines have it. (Copies have one set of
-lines and count once, so their lines are left; which copy stays is for near-dedup to say.) Boilerplate lines are removed:
-clean_text holds the other lines as they stood. A document that they deplete, of whose words under keep_percent remain,
-is rejected.
+is boilerplate of its host when more distinct documents of the host have it than the limit: host_percent of the host's
+distinct documents, and least_docs at least. Documents with the same set of lines are one document to these counts, so
+exact copies do not make each other boilerplate (which copy stays is for near-dedup to say). Every boilerplate line is
+removed, from whatever document: clean_text holds the other lines as they stood. A document that this depletes, of whose
+words under keep_percent remain, is rejected.
 
 Counting is a grouped count with map-side partial sums, so a hot line is a number for each task; only occurrences of
 lines above the limit are joined back, on keys that AQE may split or, where the written table of those lines is small
 enough for Spark's own limit, without a shuffle.
 
 Defined cases: null and empty texts have no words and no lines, so base_failed is true; a null host is a host of its
-own; a null doc_id stays null; each row counts as a document, and equal rows of one doc_id share their removed words;
-an empty table gives an empty table; other columns are ignored.
+own; a null doc_id stays null; repeated rows are one document to the counts and each gives its own result row; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.common import table, written
 
-MAX_DOCS, KEEP_PERCENT, COPY_PERCENT = 30, 20, 50
+LEAST_DOCS, HOST_PERCENT, KEEP_PERCENT = 5, 2, 66
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 _WS = r"[\\x20\\x09-\\x0D]+"
@@ -58,36 +58,39 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.selectExpr("doc_id", "host", "print", "filter(transform(raw, l -> trim(l)), l -> l <> '') as lines")
 
 
-def boilerplate_words(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def boilerplate_words(docs: DataFrame, least_docs: int = LEAST_DOCS, host_percent: int = HOST_PERCENT) -> DataFrame:
     """Words in boilerplate lines, and those lines' hashes, of each document (doc_id, host, print) that has any."""
-    lines = lines_of(docs)
+    lines = lines_of(docs).selectExpr("*", "xxhash64(sort_array(array_distinct(lines))) as kind")
+    # a line in few rows cannot be in many documents: only the others' occurrences are looked at one by one
     counted = lines.selectExpr("host", "explode(array_distinct(transform(lines, l -> xxhash64(l)))) as line").groupBy("host", "line").agg(F.count("*").alias("docs"))
-    shared = written(counted.where(f"docs > {max_docs}").selectExpr("host as h", "line as l"), "shared-lines")
-    each = lines.selectExpr("doc_id", "host", "print", "xxhash64(sort_array(array_distinct(lines))) as kind", "posexplode(transform(lines, l -> struct(xxhash64(l) as line, length(l) - length(replace(l, ' ', '')) + 1 as words))) as (pos, x)")
+    shared = written(counted.where(f"docs > {int(least_docs)}").selectExpr("host as h", "line as l"), "shared-lines")
+    each = lines.selectExpr("doc_id", "host", "print", "kind", "posexplode(transform(lines, l -> struct(xxhash64(l) as line, length(l) - length(replace(l, ' ', '')) + 1 as words))) as (pos, x)")
     each = each.selectExpr("doc_id", "host", "print", "kind", "pos", "x.line as line", "x.words as words")
     found = written(each.join(shared, F.expr("host = h and line = l"), "left_semi").groupBy("doc_id", "host", "print", "kind", "pos", "line", "words").count().drop("count"), "shared-occurrences")
-    kinds = found.select("host", "line", "kind").distinct().groupBy("host", "line").agg(F.count("*").alias("kinds"))
-    boilerplate = written(kinds.where(f"kinds > {max_docs}").selectExpr("host as h", "line as l"), "boilerplate-lines")
+    kinds = found.select("host", "line", "kind").distinct().groupBy("host", "line").agg(F.count("*").alias("kinds")).where(f"kinds > {int(least_docs)}")
+    hosts = written(lines.where("size(lines) > 0").select("host", "kind").distinct().groupBy("host").agg(F.count("*").alias("docs")), "host-documents")
+    above = kinds.join(hosts.selectExpr("host as h", "docs"), F.expr("host = h")).where(f"100 * kinds > {int(host_percent)} * docs")
+    boilerplate = written(above.selectExpr("host as h", "line as l"), "boilerplate-lines")
     return found.join(boilerplate, F.expr("host = h and line = l"), "left_semi").groupBy("doc_id", "host", "print").agg(F.sum("words").cast("bigint").alias("removed_words"), F.collect_set("line").alias("gone"))
 
 
-def judged(docs: DataFrame, max_docs: int = MAX_DOCS, keep_percent: int = KEEP_PERCENT) -> DataFrame:
+def judged(docs: DataFrame, least_docs: int = LEAST_DOCS, host_percent: int = HOST_PERCENT, keep_percent: int = KEEP_PERCENT) -> DataFrame:
     """The row, its base measures, words in boilerplate lines, verdict, and the text without those lines."""
-    removed = boilerplate_words(docs, max_docs).selectExpr("doc_id as d", "host as h", "print as p", "removed_words", "gone")
+    removed = boilerplate_words(docs, least_docs, host_percent).selectExpr("doc_id as d", "host as h", "print as p", "removed_words", "gone")
     rows = measures(docs).join(removed, F.expr("doc_id <=> d and host = h and print = p"), "left")
     rows = rows.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     return rows.selectExpr("*", f"not base_failed and 100 * (n_words - removed_words) >= {keep_percent} * n_words as kept", f"case when gone is null then row.text else {_CLEAN} end as clean_text")
 
 
-def line_rules(docs: DataFrame, max_docs: int = MAX_DOCS, keep_percent: int = KEEP_PERCENT) -> DataFrame:
+def line_rules(docs: DataFrame, least_docs: int = LEAST_DOCS, host_percent: int = HOST_PERCENT, keep_percent: int = KEEP_PERCENT) -> DataFrame:
     """Base measures, words in boilerplate lines, the verdict and the cleaned text of every row."""
-    return judged(docs, max_docs, keep_percent).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "clean_text")
+    return judged(docs, least_docs, host_percent, keep_percent).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "clean_text")
 
 
-def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, keep_percent: int = KEEP_PERCENT) -> DataFrame:
+def cleaned(docs: DataFrame, least_docs: int = LEAST_DOCS, host_percent: int = HOST_PERCENT, keep_percent: int = KEEP_PERCENT) -> DataFrame:
     """The kept rows, in the columns of docs, with their cleaned text (and its length as n_chars, where lines went)."""
     given = {"text": "clean_text", "n_chars": "case when gone is null then row.n_chars else cast(length(clean_text) as bigint) end"}
-    return judged(docs, max_docs, keep_percent).where("kept").selectExpr(*(f"{given.get(c, f'row.`{c}`')} as `{c}`" for c in docs.columns))
+    return judged(docs, least_docs, host_percent, keep_percent).where("kept").selectExpr(*(f"{given.get(c, f'row.`{c}`')} as `{c}`" for c in docs.columns))
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,15 +120,12 @@ rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest
 l AS (
   SELECT doc_id, host, line, len(string_split(line, ' ')) AS words
   FROM (SELECT doc_id, host, unnest(lines) AS line FROM w)),
-shared AS (SELECT host, line FROM l GROUP BY host, line HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
-occ AS (SELECT l.* FROM l JOIN shared USING (host, line)),
-own AS (
-  SELECT doc_id, 100 * sum(o.words) < {COPY_PERCENT} * any_value(t.total) AS own
-  FROM occ o JOIN (SELECT doc_id, sum(words) AS total FROM l GROUP BY doc_id) t USING (doc_id) GROUP BY doc_id),
+k AS (SELECT doc_id, host, list_sort(list_distinct(lines)) AS kind FROM w WHERE len(lines) > 0),
+hosts AS (SELECT host, count(DISTINCT kind) AS docs FROM k GROUP BY host),
 boiler AS (
-  SELECT host, line FROM (SELECT DISTINCT host, line, doc_id FROM occ) JOIN own USING (doc_id)
-  GROUP BY host, line HAVING avg(CAST(own AS INTEGER)) > 0.5),
-removed AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS n FROM occ JOIN boiler USING (host, line) GROUP BY doc_id)
+  SELECT host, line FROM (SELECT host, unnest(kind) AS line, kind FROM (SELECT DISTINCT host, kind FROM k)) JOIN hosts USING (host)
+  GROUP BY host, line HAVING count(*) > greatest({LEAST_DOCS}, any_value(docs) * {HOST_PERCENT} / 100)),
+removed AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS n FROM l JOIN boiler USING (host, line) GROUP BY doc_id)
 SELECT b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
   (b.n_words < {MIN_WORDS} OR 100 * coalesce(rep.n, 0) > {REPEAT_PERCENT} * b.n_words) AS base_failed,
   (NOT (b.n_words < {MIN_WORDS} OR 100 * coalesce(rep.n, 0) > {REPEAT_PERCENT} * b.n_words)

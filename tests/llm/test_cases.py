@@ -264,11 +264,15 @@ def test_line_rules(spark, docs, none):
     texts += [(50, bad + "\nthe end", "en", "host", 1), (51, bad + "\nthe end", "en", "other", 1), (52, bad + "\nthe end", "en", None, 1)]
     copies = "\n".join(" ".join(f"copied{k}w{j}" for j in range(12)) for k in range(5))
     texts += [(100 + i, copies, "en", "host", 1) for i in range(15)]
-    got = {r.doc_id: r for r in line_rules.line_rules(spark.createDataFrame(texts, DOC), max_docs=9).collect()}
+    got = {r.doc_id: r for r in line_rules.line_rules(spark.createDataFrame(texts + texts[:3], DOC), least_docs=9, host_percent=20, keep_percent=20).collect()}
     assert all(got[i].removed_words == 24 and got[i].kept for i in range(12))
     assert all(got[100 + i].removed_words == 0 and got[100 + i].kept for i in range(15))
     assert got[50].removed_words == 24 and not got[50].kept and not got[50].base_failed
     assert all(got[i].removed_words == 0 and got[i].kept for i in (51, 52))
+    # 28 distinct documents on the host: a line of 13 is above 40 percent of them, and not above 50
+    many = spark.createDataFrame(texts + [(200 + i, f"page number {i} of it", "en", "host", 1) for i in range(14)], DOC)
+    for percent, words in ((40, 24), (50, 0)):
+        assert {r.removed_words for r in line_rules.line_rules(many, least_docs=9, host_percent=percent).collect() if r.doc_id < 12} == {words}
 
 
 def test_repeated_windows(spark):
