@@ -174,9 +174,11 @@ class Encoder:
             return None
         return self._spaced(" " + chunk)
 
-    def encoded(self, chunk: str) -> bytes | None:
-        """A chunk's ids without keeping them, for callers that ask for each chunk once; None where it needs its surroundings."""
-        return self._chunk(chunk)
+    def spaced(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of each chunk after a space, for callers that ask for each chunk once."""
+        ids, sizes, odd = self._distinct(pa.array(chunks, pa.large_string()))
+        ends = np.cumsum(sizes).tolist()
+        return [self.whole(" " + c) if o or "\0" in c else ids[e - n : e].tobytes() for c, n, e, o in zip(chunks, sizes.tolist(), ends, odd.tolist())]
 
     def _spaced(self, text: str) -> bytes:
         if self._plain(text):

@@ -4,8 +4,8 @@ A block is a run of documents of one input partition, up to a bound of character
 word partitions by a hash and travel as one compressed list for each (block, word partition); what belongs to each word
 travels back in the list's order. So each distinct word of a partition is handled once, however many blocks use it,
 and the shuffles carry a few bytes for each distinct word of a block instead of a row for each word of the text.
-Memory is bounded by one block, or by the distinct words of one word partition, whose number follows
-spark.sql.shuffle.partitions.
+Memory is bounded by one block, or by the distinct words of one word partition, whose number follows the number of
+blocks (PART_BLOCKS) and spark.sql.shuffle.partitions, whichever asks for more.
 """
 
 from __future__ import annotations
@@ -21,11 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import lean_batches
+from offerloom.llm.common import lean_batches, shuffle_width
 
 #: Characters of text after which a block ends; a longer text is a block of its own.
 BLOCK_CHARS = 12_000_000
 
+#: Blocks for each word partition, so that partitions grow with the corpus as the words do.
+PART_BLOCKS = 4
+
 LISTS = "part int, block long, words binary, counts binary"
 BLOCKS = "block long, role int, words binary, given binary, docs binary, texts binary"
 
@@ -76,14 +79,20 @@ def deal(block: int, found: dict[bytes, int], parts: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "words", "counts"])
 
 
-def word_lists(docs: DataFrame, parts: int, count: Callable[[list, list[str]], dict[bytes, int]]) -> DataFrame:
-    """A packed list of words and counts for each (block, word partition); count gives a block's words with their counts."""
+def word_parts(packed: DataFrame) -> int:
+    """Word partitions for a written table of text blocks."""
+    return max(shuffle_width(packed.sparkSession), packed.count() // PART_BLOCKS)
+
+
+def word_lists(packed: DataFrame, parts: int, count: Callable[[Iterable[tuple[int | None, bytes]]], dict[bytes, int]]) -> DataFrame:
+    """A packed list of words and counts for each (block, word partition); count gives them of a block's (doc_id, text)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in blocks(batches):
-            yield from deal(block, count(ids, texts), parts)
+        for batch in batches:
+            for block, known, texts in zip(*(batch.column(k).to_pylist() for k in ("block", "docs", "texts"))):
+                yield from deal(block, count(opened(known, texts)), parts)
 
-    return _source(docs).mapInArrow(pack, LISTS)
+    return packed.select("block", "docs", "texts").mapInArrow(pack, LISTS)
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
@@ -98,10 +107,10 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return _source(docs).mapInArrow(pack, BLOCKS)
 
 
-def met(replies: DataFrame, docs: DataFrame) -> DataFrame:
+def met(replies: DataFrame, packed: DataFrame) -> DataFrame:
     """Replies (block, words, given) and the blocks' documents, brought together: a block's replies come before its texts."""
     told = replies.select("block", F.lit(0).alias("role"), "words", "given", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("texts"))
-    return told.unionByName(text_blocks(docs)).repartition("block").sortWithinPartitions("block", "role")
+    return told.unionByName(packed).repartition("block").sortWithinPartitions("block", "role")
 
 
 def opened(docs: bytes, texts: bytes) -> Iterator[tuple[int | None, bytes]]:
