@@ -13,10 +13,34 @@ from offerloom.plans.dialect import SparkDialect
 
 SPARK = SparkDialect()
 
-#: Colour words and their base codes.
-COLOURS = {"noir": "BK", "noire": "BK", "black": "BK", "blanc": "WH", "blanche": "WH", "white": "WH", "rouge": "RD", "red": "RD", "bleu": "BL", "bleue": "BL", "blue": "BL", "vert": "GR", "verte": "GR", "green": "GR", "jaune": "YE", "yellow": "YE", "gris": "GY", "grise": "GY", "grey": "GY", "gray": "GY", "orange": "OR", "rose": "PK", "pink": "PK", "marron": "BN", "brown": "BN"}
-#: Finish words and their codes.
-FINISHES = {"mat": "MAT", "matte": "MAT", "brillant": "GLO", "gloss": "GLO"}
+# Colour codes with the words that mean them.
+COLOUR_WORDS = {
+    "BK": "noir black nero schwarz", "WH": "blanc white bianco weiss perle", "RD": "rouge red rosso", "BL": "bleu blue blu navy azur",
+    "YE": "jaune yellow giallo gelb", "GN": "vert green verde kaki khaki army olive", "GY": "gris grey gray grigio anthracite nardo gunmetal",
+    "OR": "orange", "PK": "rose pink", "PU": "violet purple lila", "BR": "marron brown chocolat cognac", "BG": "beige sable sand ivoire",
+    "GD": "or gold dore oro", "SI": "argent silver chrome alu aluminium", "TI": "titane titanium titan", "BZ": "bronze", "CB": "carbone carbon carbonio",
+    "CHAM": "cameleon chameleon irise", "MULTI": "multicolore multicolor multi",
+}
+# Words that count as a colour only where none of the above occurs.
+LATE_COLOUR_WORDS = {"BK": "noire", "WH": "blanche", "GN": "verte", "GY": "grise", "BL": "bleue", "PU": "violette", "GD": "doree", "SI": "argentee argente"}
+# Finishes.
+FINISH_WORDS = {"MAT": "mat mate matte matt opaco", "GLO": "brillant gloss glossy lucido shiny", "FLU": "fluo fluorescent hiviz"}
+# Sexes and ages as feeds write them.
+FEED_SEX = {"H": "male homme men man herren uomo mannlich hombre", "F": "female femme women woman damen donna weiblich mujer", "U": "unisex unisexe uni mixte"}
+FEED_AGE = {"A": "adult adulte adults adulti", "E": "kids kid enfant child children junior youth newborn infant toddler baby kinder"}
+# Words of titles that tell sex, age and bundles.
+FEMALE = "femme|women|woman|lady|ladies|donna|wmn|damen|mesdames|stella"
+MALE = "homme|men|man|herren|uomo"
+CHILD = "enfant|kid|kids|kinder|junior|jr|youth|child|bimbo|cadet|baby"
+PACK = "\\b(pack|bundle|combo|multipack)\\b|\\blot de\\b"
+GIFT_DEVICE = "\\b(intercom|bluetooth|cardo|sena|masque|ecran|sacoche)\\b"
+
+
+def by_word(table: dict[str, str]) -> dict[str, str]:
+    return {word: code for code, words in table.items() for word in words.split()}
+
+
+COLOURS, LATE_COLOURS, FINISHES = map(by_word, (COLOUR_WORDS, LATE_COLOUR_WORDS, FINISH_WORDS))
 STOCK_YES = ("in stock", "in_stock", "instock", "available", "1", "yes", "true", "oui", "en stock")
 STOCK_NO = ("out of stock", "out_of_stock", "outofstock", "unavailable", "0", "no", "false", "non", "epuise")
 LETTER_SIZES = ("XXS", "XS", "S", "M", "L", "XL", "2XL", "3XL", "4XL")
@@ -34,10 +58,15 @@ def unaccent(x, d=SPARK):
     return d.folded(x)
 
 
+def ascii_text(x, d=SPARK):
+    """Compatibility forms taken apart (ligatures, fractions, full widths), marks and what has no ASCII form left out."""
+    return d.gsub(d.spelt(f"translate({x}, '{d.letters[0]}', '{d.letters[1]}')"), "[^\\x00-\\x7F]")
+
+
 def norm_text(x, d=SPARK):
-    """Accents folded, lower case, ii and iii as numbers, one space between runs of letters and digits."""
-    plain = d.gsub(f"lower({d.folded(x)})", "[^a-z0-9]+", " ")
-    return f"trim({d.gsub(d.gsub(plain, '\\biii\\b', '3'), '\\bii\\b', '2')})"
+    """Lower-case ASCII, II and III as numbers, one space between runs of letters and digits; null gives the empty text."""
+    plain = f"lower({ascii_text(f"coalesce({x}, '')", d)})"
+    return f"trim({d.gsub(d.gsub(d.gsub(plain, '\\biii\\b', '3'), '\\bii\\b', '2'), '[^a-z0-9]+', ' ')})"
 
 
 def search_text(x, d=SPARK):
@@ -50,19 +79,29 @@ def words(x, d=SPARK):
 
 
 def brand_code(x, aliases: dict[str, str], d=SPARK):
-    bare = d.gsub(f"upper({d.folded(x)})", "[^A-Z0-9]", "")
+    """The canonical code of a brand: letters and digits alone, and the alias they have, if any."""
+    bare = f"replace({norm_text(x, d)}, ' ', '')"
     return f"coalesce({lookup(bare, aliases)}, {bare})"
 
 
+def brand_known(x, aliases: dict[str, str], d=SPARK):
+    return f"({lookup(f"replace({norm_text(x, d)}, ' ', '')", aliases)} IS NOT NULL)"
+
+
+def _codes(x, table, d):
+    return d.keep(d.map(d.split(norm_text(x, d), " "), "w", lookup("w", table)), "c", "c IS NOT NULL")
+
+
 def colour_code(x, d=SPARK):
-    """Base codes of the colour words, sorted and joined by -, then | and finish codes; empty without any."""
-    tokens = d.split(norm_text(x, d), " ")
+    """Base codes of the colour words, sorted and joined by -, then | and finish codes; empty without any base."""
+    base, late, finish = (d.join(d.sorted(d.distinct(_codes(x, t, d))), "-") for t in (COLOURS, LATE_COLOURS, FINISHES))
+    found = f"coalesce(nullif({base}, ''), {late})"
+    return f"CASE WHEN {found} = '' OR {finish} = '' THEN {found} ELSE concat({found}, '|', {finish}) END"
 
-    def codes(table):
-        return d.sorted(d.distinct(d.keep(d.map(tokens, "w", lookup("w", table)), "c", "c IS NOT NULL")))
 
-    base, finish = d.join(codes(COLOURS), "-"), d.join(codes(FINISHES), "-")
-    return f"CASE WHEN {finish} = '' THEN {base} ELSE concat({base}, '|', {finish}) END"
+def first_colour(x, d=SPARK):
+    """The code of the first colour word; empty without any."""
+    return f"coalesce({d.item(_codes(x, COLOURS, d), 1)}, {d.item(_codes(x, LATE_COLOURS, d), 1)}, '')"
 
 
 def colour_parts(x, d=SPARK):
@@ -74,15 +113,12 @@ def colours_compatible(a, b, d=SPARK):
     return f"({a} = '' OR {b} = '' OR {d.within(colour_parts(a, d), colour_parts(b, d))} OR {d.within(colour_parts(b, d), colour_parts(a, d))})"
 
 
-def genre_age(title, feed, d=SPARK):
-    """Sex of the title before that of the feed, U if neither says; E if child words occur, else A."""
-    t, f = norm_text(title, d), norm_text(feed, d)
-
-    def sex(x):
-        return f"CASE WHEN {d.matches(x, '\\b(femme|women|woman|lady)\\b')} THEN 'F' WHEN {d.matches(x, '\\b(homme|men|man)\\b')} THEN 'H' END"
-
-    child = d.matches(f"concat({t}, ' ', {f})", "\\b(enfant|kid|kids|junior|child|youth)\\b")
-    return f"concat(coalesce({sex(t)}, {sex(f)}, 'U'), '-', CASE WHEN {child} THEN 'E' ELSE 'A' END)"
+def genre_age(title, feed_sex="NULL", feed_age="NULL", d=SPARK):
+    """Sex of the title before that of the feed, U if neither says; E where either says child, else the feed's age or A."""
+    t = norm_text(title, d)
+    sex = f"CASE WHEN {d.matches(t, f'\\b({FEMALE})\\b')} THEN 'F' WHEN {d.matches(t, f'\\b({MALE})\\b')} THEN 'H' END"
+    feed, age = (lookup(norm_text(f"CAST({x} AS {'STRING' if d.spark else 'VARCHAR'})", d), by_word(t)) for x, t in ((feed_sex, FEED_SEX), (feed_age, FEED_AGE)))
+    return f"concat(coalesce({sex}, {feed}, 'U'), '-', CASE WHEN {d.matches(t, f'\\b({CHILD})\\b')} THEN 'E' ELSE coalesce({age}, 'A') END)"
 
 
 def model_year(x, d=SPARK):
@@ -90,8 +126,9 @@ def model_year(x, d=SPARK):
 
 
 def is_pack(x, d=SPARK):
+    """A bundle of several articles (a kit or a set is one article), or a gift with a device."""
     t = norm_text(x, d)
-    return f"({d.matches(t, '\\b(pack|kit|lot|bundle|set)\\b')} OR ({d.matches(t, '\\b(offert|cadeau|gift)\\b')} AND {d.matches(t, '\\b(intercom|camera|gps)\\b')}))"
+    return f"({d.matches(t, PACK)} OR ({d.matches(t, '\\boffert\\b')} AND {d.matches(t, GIFT_DEVICE)}))"
 
 
 def valid_gtin(x, d=SPARK):
@@ -106,16 +143,54 @@ def comparable_gtin(x, d=SPARK):
     return f"CASE WHEN {valid_gtin(x, d)} THEN ltrim({x}, '0') END" if not d.spark else f"CASE WHEN {valid_gtin(x, d)} THEN trim(LEADING '0' FROM {x}) END"
 
 
-def base_sku(x, d=SPARK):
-    return d.gsub(f"upper({x})", "[-_ /](XXS|XS|S|M|L|XL|XXL|[2-4]XL|[0-9]{2})$")
+_LETTERS = "XXS|XS|S|M|L|XL|XXL|XXXL|2XL|3XL|4XL"
 
 
-def size_code(x, d=SPARK):
-    """Letters as canonical letters, head sizes in CM, shoes as EU, ages as such; null where a size cannot be told."""
-    u = f"upper(trim({x}))"
-    return f"""CASE WHEN {d.matches(u, '^(XXS|XS|S|M|L|XL)$')} THEN {u} WHEN {u} = 'XXL' THEN '2XL' WHEN {u} = 'XXXL' THEN '3XL' WHEN {d.matches(u, '^[2-9]XL$')} THEN {u}
-    WHEN {d.matches(u, '^[0-9]{1,2}[-/][0-9]{1,2} ?(ANS|Y|YEARS)$')} THEN concat({d.extract(u, '^([0-9]+)', 1)}, '-', {d.extract(u, '[-/]([0-9]+)', 1)}, 'A')
-    WHEN {d.matches(u, '^(5[0-9]|6[0-5]) ?CM$')} THEN concat({d.extract(u, '^([0-9]+)', 1)}, 'CM') WHEN {d.matches(u, '^(EU ?)?(3[4-9]|4[0-9]|50)([.,]5)?$')} THEN concat('EU', replace({d.extract(u, '([0-9]+([.,]5)?)$', 1)}, ',', '.')) END"""
+def base_sku(x, d=SPARK):
+    """The reference without the size at its end: letters after a digit, or a plausible size after a delimiter; kept whole if that is all."""
+    whole = f"trim(coalesce({x}, ''))"
+    cut = d.gsub(d.gsub(whole, f"(?i)[-_ ]({_LETTERS}|TU|3[4-9]|4[0-9]|5[0-9]|6[0-5])$"), f"(?i)([0-9])({_LETTERS})$", "\\1")
+    one = f"CASE WHEN {d.matches(whole, f'(?i)[-_ ]({_LETTERS}|TU|3[4-9]|4[0-9]|5[0-9]|6[0-5])$')} THEN {d.gsub(whole, f'(?i)[-_ ]({_LETTERS}|TU|3[4-9]|4[0-9]|5[0-9]|6[0-5])$')} ELSE {cut} END"
+    return f"coalesce(nullif({one}, ''), {whole})"
+
+
+def _size_sources(raw, title, link, mpn, d):
+    piece = d.matches(f"trim({mpn})", r"^[A-Za-z]{2,4}([.][A-Za-z0-9]+){2,}(/[0-9]+)?/[A-Za-z]{1,3}$")
+    yield "feed", f"nullif(trim({raw}), '')"
+    yield "url", f"nullif({d.extract(link, '(?i)taille[-/ ]([a-z0-9]{1,4})', 1)}, '')"
+    yield "title", f"nullif({d.extract(title, '(?i)-[ ]+([a-z0-9]{1,4}) *$', 1)}, '')"
+    yield "mpn", f"CASE WHEN NOT {piece} THEN nullif({d.extract(mpn, '(?i)[-_ /0-9](xxs|xs|s|m|l|xl|xxl|xxxl|2xl|3xl|4xl|tu|t[0-9]{1,2})$', 1)}, '') END"
+
+
+def size_candidate(raw, title="NULL", link="NULL", mpn="NULL", d=SPARK):
+    """(text, source): the first of feed, link, title and manufacturer's reference that holds a size's text."""
+    kind = "STRING" if d.spark else "VARCHAR"
+    found = list(_size_sources(*(f"CAST({x} AS {kind})" for x in (raw, title, link, mpn)), d))
+    return f"coalesce({', '.join(x for _, x in found)}, '')", f"CASE {' '.join(f"WHEN {x} IS NOT NULL THEN '{name}'" for name, x in found)} ELSE '' END"
+
+
+def size_code(cand, source="'feed'", d=SPARK):
+    """A candidate's code: ages, half sizes, letters, head sizes in CM, shoe sizes as EU; what is else told apart is kept,
+    but for colours, and for words without a digit out of a title. Empty where there is no size."""
+    low = d.extract(cand, "^ *([0-9]{1,2}) *[/-] *[0-9]{1,2} *([aA][nN][sS]?)? *$", 1)
+    high = d.extract(cand, "^ *[0-9]{1,2} *[/-] *([0-9]{1,2}) *([aA][nN][sS]?)? *$", 1)
+    a, b = (f"TRY_CAST({x} AS INT)" for x in (low, high))
+    half = "(?i)^ *(taille *)?([0-9]{1,2}) *[.,] *([0-9]) *(eu|us|uk|mm)? *$"
+    whole, part, unit = (d.extract(cand, half, k) for k in (2, 3, 4))
+    base = f"concat({d.string(f'TRY_CAST({whole} AS INT)')}, ',', {part})"
+    bare = f"upper({d.gsub(cand, '[^A-Za-z0-9]')})"
+    c = f"coalesce({lookup(bare, {'XXL': '2XL', 'XXXL': '3XL', 'XXXXL': '4XL', 'XXXXXL': '5XL', 'XXXXXXL': '6XL', 'TAILLEUNIQUE': 'TU', 'ONESIZE': 'TU', 'UNI': 'TU'})}, {bare})"
+    colours = ", ".join(f"'{w}'" for w in sorted(COLOURS | LATE_COLOURS))
+    fit, cuts = "(XXS|XS|S|M|L|XL|XXL|[2-6]XL)", "(SHORT|LONG|COURT|REGULAR|STANDARD|KING)"
+    return f"""CASE WHEN {a} BETWEEN 1 AND {b} - 1 AND {b} <= 16 AND {b} - {a} <= 2 THEN concat({d.string(a)}, '-', {d.string(b)}, 'ANS')
+    WHEN {whole} <> '' THEN CASE WHEN {unit} <> '' THEN concat({base}, upper({unit})) WHEN TRY_CAST({whole} AS INT) BETWEEN 35 AND 52 THEN concat('EU', {base}) ELSE {base} END
+    WHEN {d.matches(c, '^(XXS|XS|S|M|L|XL|[2-6]XL|TU)$')} THEN {c}
+    WHEN {d.matches(c, '^TAILLE[0-9]{1,2}$')} THEN substring({c}, 7)
+    WHEN {d.matches(c, '^(XXS|XS|S|M|L|XL|[2-4]XL)[0-9]{4}CM$')} THEN substring({c}, 1, CAST(length({c}) - 2 AS INT))
+    WHEN {d.matches(c, '^(5[3-9]|6[0-5])$')} THEN concat({c}, 'CM') WHEN {d.matches(c, '^(3[5-9]|4[0-9]|5[0-2])$')} THEN concat('EU', {c})
+    WHEN lower({c}) IN ({colours}) THEN ''
+    WHEN {d.matches(c, f'^{cuts}{fit}$')} THEN {d.extract(c, f'^{cuts}{fit}$', 2)} WHEN {d.matches(c, f'^{fit}{cuts}$')} THEN {d.extract(c, f'^{fit}{cuts}$', 1)}
+    WHEN {source} = 'title' AND NOT {d.matches(c, '[0-9]')} THEN '' ELSE substring({c}, 1, 24) END"""
 
 
 def canonical_size(x, d=SPARK):

@@ -7,6 +7,8 @@ the same text in the other dialect, so every result is checked by an engine that
 from __future__ import annotations
 
 import re
+import unicodedata
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-class SparkDialect:
+def _ascii_forms() -> tuple[tuple[str, str], dict[str, str]]:
+    """Characters with an ASCII form by compatibility decomposition: those of one letter, and the others, by the Unicode tables."""
+    forms = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in (*range(0xA0, 0x2200), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F))}
+    forms = {c: f for c, f in forms.items() if f and f != "'" and "\\" not in f}
+    one = {c: f for c, f in forms.items() if len(f) == 1}
+    return ("".join(one), "".join(one.values())), {c: f for c, f in forms.items() if len(f) > 1 and f.strip()}
+
+
+class Dialect:
+    letters, several = _ascii_forms()
+
+    def spelt(self, x):
+        """Characters that stand for several letters, spelt out; texts without one are passed on as they are."""
+        known = self.literal_map(self.several)
+        return f"CASE WHEN {self.matches(x, f'[{"".join(self.several)}]')} THEN {self.join(self.map(self.digits(x), 'ch', f"coalesce({self.item(known, 'ch')}, ch)"), '')} ELSE {x} END"
+
+
+class SparkDialect(Dialect):
     spark = True
 
+    def literal_map(self, table):
+        return f"map({', '.join(f"'{k}', '{v}'" for k, v in table.items())})"
+
     def gsub(self, x, pattern, by=""):
         return f"regexp_replace({x}, r'{pattern}', '{re.sub(chr(92) * 2 + r'(\d)', r'$\1', by)}')"
 
@@ -121,9 +143,12 @@ class SparkDialect:
         return f"translate({x}, '{ACCENTED}', '{PLAIN}')"
 
 
-class OracleDialect:
+class OracleDialect(Dialect):
     spark = False
 
+    def literal_map(self, table):
+        return f"MAP {{{', '.join(f"'{k}': '{v}'" for k, v in table.items())}}}"
+
     def gsub(self, x, pattern, by=""):
         return f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
 
@@ -274,10 +299,13 @@ def frame(name: str, oracle: str | Callable | None = None):
 
 
 def run_text(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Runs Spark SQL over the tables of a folder that it names; the analysed plan keeps the folder's files."""
+    """Runs Spark SQL over the tables of a folder that it names, under view names of their own: the user's views stay."""
     for t in TABLES:
-        if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        own = f"offerloom_{t}_{zlib.crc32(sf_dir.encode()):08x}"
+        # keywords are in capitals and aliases are not: a table without an alias keeps its name as one
+        text, n = re.subn(rf"\b(FROM|JOIN)\s+{t}\b(\s+(?:AS\s+)?[a-z])?", lambda m: f"{m[1]} {own}{m[2] or f' AS {t}'}", text)  # noqa: B023
+        if n:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(own)
     return spark.sql(text)
 
 

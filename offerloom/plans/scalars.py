@@ -15,9 +15,24 @@ def over_titles(name: str, **columns):
 
 
 plan("h01_norm_text")(lambda d: f"SELECT doc_id, md5({t.norm_text('text', d)}) AS norm_md5 FROM documents")
-plan("h02_brand_alias")(lambda d: f"SELECT p_partkey, {t.brand_code('p_brand', {'BRAND1': 'ONE', 'BRAND12': 'TWELVE'}, d)} AS code FROM part")
-over_titles("h03_colour_code", colour=lambda d: t.colour_code("title", d))
-over_titles("h04_genre_age", code=lambda d: t.genre_age("title", "brand", d))
+ALIASES = {"brand1": "one", "brand12": "twelve", "brand25": "twelve"}
+plan("h02_brand_alias")(lambda d: f"SELECT p_partkey, {t.brand_code('p_brand', ALIASES, d)} AS code, {t.brand_known('p_brand', ALIASES, d)} AS known FROM part")
+
+
+@plan("h03_colour_code")
+def _(d):
+    words = ["noir mat", "blanc / rouge", "noire", "noir blanche", "bleu navy brillant", "verte fluo", "titane carbone", "gris anthracite", "mat", "irisé multicolore", ""]
+    raw = f"CASE p_partkey % {len(words)} {' '.join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(words))} END"
+    return f"SELECT p_partkey, {t.colour_code(raw, d)} AS colour, {t.first_colour(raw, d)} AS first FROM part"
+
+
+@plan("h04_genre_age")
+def _(d):
+    sex = "CASE p_partkey % 5 WHEN 0 THEN 'Male' WHEN 1 THEN 'weiblich' WHEN 2 THEN 'Unisexe' WHEN 3 THEN 'bg_BG:x' END"
+    age = "CASE p_size % 4 WHEN 0 THEN 'Kids' WHEN 1 THEN 'adulte' WHEN 2 THEN 'all' END"
+    return f"WITH {TITLE}, fed AS (SELECT p_partkey AS id, {sex} AS sex, {age} AS age FROM part) SELECT id, {t.genre_age('title', 'sex', 'age', d)} AS code FROM title JOIN fed USING (id)"
+
+
 over_titles("h05_model_year", year=lambda d: t.model_year("title", d))
 over_titles("h06_is_pack", pack=lambda d: t.is_pack("title", d))
 plan("h07_valid_gtin")(lambda d: f"WITH {GTIN} SELECT id, gtin, {t.valid_gtin('gtin', d)} AS valid FROM code")
@@ -26,8 +41,12 @@ plan("h52_comparable_gtin")(lambda d: f"WITH {GTIN} SELECT id, {t.comparable_gti
 
 @plan("h08_size_code")
 def _(d):
-    raw = "CASE p_partkey % 6 WHEN 0 THEN 'xxl' WHEN 1 THEN concat('', p_size, ' cm') WHEN 2 THEN concat('EU ', p_size) WHEN 3 THEN concat(p_size, '/', p_size + 2, ' ans') WHEN 4 THEN concat(p_size, ',5') ELSE 'unique' END"
-    return f"SELECT p_partkey, {t.size_code(raw, d)} AS size FROM part"
+    raw = "CASE p_partkey % 16 WHEN 0 THEN 'xxl' WHEN 1 THEN concat('', p_size, ' cm') WHEN 2 THEN concat('EU ', p_size) WHEN 3 THEN concat(p_size, '/', p_size + 1, ' ans') WHEN 4 THEN concat(p_size, ',5') WHEN 5 THEN 'Taille unique' WHEN 6 THEN concat('Taille ', p_size) WHEN 7 THEN 'S (55/56 cm)' WHEN 8 THEN 'Short XL' WHEN 9 THEN 'Noir' WHEN 10 THEN concat(p_size, '.5 US') WHEN 11 THEN concat('', p_size) WHEN 12 THEN '' END"
+    link = "CASE WHEN p_partkey % 16 = 13 THEN concat('https://x.example/taille-', p_size) END"
+    title = "CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, ' - ', p_size) WHEN p_partkey % 3 = 1 THEN concat(p_name, ' - mesh') END"
+    mpn = "CASE p_partkey % 2 WHEN 0 THEN concat('LEH.07.039.', p_partkey, '/S') ELSE concat(p_partkey, 'XL') END"
+    cand, source = t.size_candidate("raw", "title", "link", "mpn", d)
+    return f"WITH fed AS (SELECT p_partkey, {raw} AS raw, {link} AS link, {title} AS title, {mpn} AS mpn FROM part), found AS (SELECT p_partkey, {cand} AS cand, {source} AS source FROM fed), coded AS (SELECT p_partkey, source, {t.size_code('cand', 'source', d)} AS size FROM found) SELECT p_partkey, size, CASE WHEN size <> '' THEN source ELSE '' END AS source FROM coded"
 
 
 @plan("h09_model_tokens")
@@ -80,7 +99,7 @@ def _(d):
 
 @plan("h20_identity_hash")
 def _(d):
-    return f"WITH {TITLE}, m AS (SELECT id, brand, size, title, {d.sorted(t.words('title', d))} AS toks FROM title) SELECT id, {t.identity_hash('brand', 'size', t.colour_code('title', d), t.model_year('title', d), t.genre_age('title', 'brand', d), t.is_pack('title', d), 'CAST(NULL AS VARCHAR)' if not d.spark else 'CAST(NULL AS STRING)', 'toks', d)} AS h FROM m"
+    return f"WITH {TITLE}, m AS (SELECT id, brand, size, title, {d.sorted(t.words('title', d))} AS toks FROM title) SELECT id, {t.identity_hash('brand', 'size', t.colour_code('title', d), t.model_year('title', d), t.genre_age('title', 'brand', 'NULL', d), t.is_pack('title', d), 'CAST(NULL AS VARCHAR)' if not d.spark else 'CAST(NULL AS STRING)', 'toks', d)} AS h FROM m"
 
 
 plan("h21_split_hash")(lambda d: f"WITH {GTIN} SELECT id, md5(concat(md5({d.string('id % 50')}), '|', gtin)) AS by_code, md5(concat(md5({d.string('id % 50')}), '|prix|', {d.string('id % 9')}, '|', gtin)) AS by_price FROM code")
