@@ -1,17 +1,18 @@
 """Operator 3, quality: a compression classifier over zstandard dictionaries of good and of bad labelled text.
 
-Two dictionaries are built from labelled texts, one of each kind, and two more from their shapes: letters, capitals and
-digits each become one character, other ASCII stays; a third pair comes from shapes whose letter runs are one letter
-each. A text's and its two shapes' size is taken without a dictionary
-(plain), with the good one and with the bad one; the classifier sees, for each,
-    difference = (good - bad) / plain,   shrink = plain / length,   and their products with the log of the length,
-and logistic regression on labelled texts that the dictionaries did not see turns them into a calibrated score.
+Two dictionaries are trained by zstandard on labelled texts, one on each kind, and two more on their shapes: letters,
+capitals and digits each become one character, other ASCII stays; a third pair comes from shapes whose letter runs are
+one letter each. For each form of a text the score sees one number, the normalised difference
+    (size under the good dictionary - size under the bad one) / size without a dictionary,
+and nothing else of the text. Logistic regression on the three differences, their squares and products, fitted on
+labelled texts that the dictionaries did not see, calibrates them; each kind weighs there as it does among all labels,
+however many of its documents are sampled.
 
 The fit uses a bounded sample: the DICTIONARY_DOCS + CALIBRATION_DOCS labelled documents of each kind with the least
-hash of their id, of which only those outside the held-out fold count. Every document is scored, in whole.
+hash of their id, of which only those outside the held-out fold count; their texts are used in whole. Every document is
+scored, in whole.
 
-Defined cases: null and empty texts score as the empty text (the regression's value at zero features, the rarest
-evidence); a null doc_id is in fold 0, so held out; labels that are null, repeat or disagree are dropped; without
+Defined cases: null and empty texts score as the empty text (differences of the empty frame); a null doc_id is in fold 0, so held out; labels that are null, repeat or disagree are dropped; without
 labels of both kinds every score is 0.5; repeated rows give repeated results; an empty table gives an empty table; other
 columns, and clashing ones of labels, are ignored.
 """
@@ -32,18 +33,19 @@ from offerloom.llm.common import id_fold, lean_batches, table
 
 FOLDS = 5
 DICTIONARY_DOCS, CALIBRATION_DOCS = 400, 1200
-#: Bytes of a dictionary, taken evenly from its documents.
-DICTIONARY_BYTES = 256 << 10
+#: Bytes of a dictionary.
+DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
 SCORED = "doc_id long, held_out boolean, score double"
 THRESHOLD = 0.3
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """Raw content: an equal share of each text, from its middle."""
-    share = max(64, DICTIONARY_BYTES // max(1, len(texts)))
-    out = b"\n".join(t[max(0, len(t) - share) // 2 :][:share] for t in texts)
-    return out[:DICTIONARY_BYTES]
+def dictionary(texts: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary trained on the texts; of too few texts to train on, their content as it is."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=LEVEL)
+    except zstandard.ZstdError:
+        return zstandard.ZstdCompressionDict(b"\n".join(texts)[-DICTIONARY_BYTES:] or b"\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 _SHAPE = bytes(ord("a") if 97 <= b <= 122 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256))
@@ -58,48 +60,51 @@ def forms(text: bytes) -> tuple[bytes, bytes, bytes]:
     return text, shape, _RUN.sub(b"a", shape)
 
 
-class Features:
-    """Sizes of texts and of their shapes under good and bad dictionaries, as features."""
+def trained(good: list[bytes], bad: list[bytes]) -> list[tuple[tuple[bytes, int], tuple[bytes, int]]]:
+    """Of each form, the good and the bad dictionary, as (content, kind), which travel to the workers."""
+    found = [(dictionary([forms(t)[k] for t in good]), dictionary([forms(t)[k] for t in bad])) for k in range(3)]
+    return [tuple((d.as_bytes(), zstandard.DICT_TYPE_FULLDICT if d.dict_id() else zstandard.DICT_TYPE_RAWCONTENT) for d in pair) for pair in found]
 
-    COUNT = 19
 
-    def __init__(self, good: bytes, bad: bytes):
+class Differences:
+    """Normalised differences of a text's compressed sizes under good and bad dictionaries, of its three forms."""
+
+    def __init__(self, dictionaries: list[tuple[tuple[bytes, int], tuple[bytes, int]]]):
         self.plain = self._compressor(None)
-        self.pairs = [tuple(map(self._compressor, pair)) for pair in zip(forms(good), forms(bad))]
+        self.pairs = [tuple(map(self._compressor, pair)) for pair in dictionaries]
 
     @staticmethod
-    def _compressor(raw: bytes | None) -> zstandard.ZstdCompressor:
-        held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if raw else None
+    def _compressor(given: tuple[bytes, int] | None) -> zstandard.ZstdCompressor:
+        held = zstandard.ZstdCompressionDict(given[0], dict_type=given[1]) if given else None
         if held:
             held.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def of(self, text: bytes) -> list[float]:
-        size = math.log1p(len(text)) / 8
-        out = [1.0, size, size * size, 20 / (20 + len(text))]
-        for form, (good, bad) in zip(forms(text), self.pairs):
-            plain = len(self.plain.compress(form))
-            difference = (len(good.compress(form)) - len(bad.compress(form))) / plain
-            shrink = plain / (len(text) + 20)
-            out += (difference, shrink, shrink * size, difference * size, shrink * shrink)
-        return out
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Newton steps of logistic regression."""
+        return [(len(good.compress(form)) - len(bad.compress(form))) / len(self.plain.compress(form)) for form, (good, bad) in zip(forms(text), self.pairs)]
+
+
+def curve(differences: np.ndarray) -> np.ndarray:
+    """What the regression sees: 1, the differences, their squares and products."""
+    x = differences.reshape(-1, 3)
+    return np.column_stack([np.ones(len(x)), x, *(x[:, i] * x[:, j] for i in range(3) for j in range(i, 3))])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
+    """Newton steps of logistic regression on weighted rows."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), slope)
+        slope = x.T @ (weight * (p - y)) + ridge * w
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(w)), slope)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> dict[int, list[bytes]]:
-    """Texts of each kind, in the order of a hash of their ids: bounded by the constants."""
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, list[bytes]], dict[int, int]]:
+    """Texts of each kind in the order of a hash of their ids, bounded by the constants, and the number of all labels of each."""
     fine = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("kind")).where("doc_id is not null")
     fine = fine.groupBy("doc_id").agg(F.min("kind").alias("kind"), F.max("kind").alias("most"), F.count("*").alias("n"), F.count("kind").alias("known")).where("kind = most and n = known and kind in (0, 1)")
     fine = fine.where(id_fold(F.col("doc_id"), FOLDS) != 0)
@@ -109,9 +114,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> dict[int, list[bytes]
         one = fine.where(f"kind = {kind}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(wanted).select("doc_id", "kind")
         picked = one if picked is None else picked.union(one)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    found = texts.join(F.broadcast(picked), "doc_id").collect()  # 2 * wanted ids at most
-    found.sort(key=lambda r: (_order(r.doc_id), r.doc_id, r.text))
-    return {k: [r.text.encode() for r in found if r.kind == k] for k in (0, 1)}
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).collect()  # 2 * wanted rows at most
+    found.sort(key=lambda r: (_order(r.doc_id), r.doc_id))
+    many = {r.kind: r["count"] for r in fine.groupBy("kind").count().collect()}
+    return {k: [r.text.encode() for r in found if r.kind == k] for k in (0, 1)}, many
 
 
 def _order(doc: int) -> int:
@@ -120,26 +126,32 @@ def _order(doc: int) -> int:
     return xxhash.xxh3_64_intdigest(str(doc))
 
 
+def fitted(sample: dict[int, list[bytes]], many: dict[int, int]) -> tuple[list, np.ndarray | None]:
+    """Dictionaries, and the weights of the calibration; without labels of both kinds, none."""
+    if any(len(v) < 2 for v in sample.values()):
+        return [], None
+    cut = {k: min(DICTIONARY_DOCS, len(v) // 2) for k, v in sample.items()}
+    dictionaries = trained(*(sample[k][: cut[k]] for k in (1, 0)))
+    differences = Differences(dictionaries)
+    seen = [(differences.of(t), k) for k in (0, 1) for t in sample[k][cut[k] :]]
+    kinds = np.asarray([k for _, k in seen], float)
+    each = {k: many[k] / max(1, (kinds == k).sum()) for k in (0, 1)}
+    weight = np.where(kinds == 1, each[1], each[0])
+    return dictionaries, logistic(curve(np.asarray([d for d, _ in seen])), kinds, weight * len(seen) / weight.sum())
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out and score of every document."""
     lean_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels)
-    cut = {k: min(DICTIONARY_DOCS, len(v) // 2) for k, v in sample.items()}
-    dictionaries = [dictionary(sample[k][: cut[k]]) for k in (1, 0)]
-    weights = None
-    if all(len(v) >= 2 for v in sample.values()):
-        features = Features(*dictionaries)
-        rows = [(features.of(t), k) for k in (0, 1) for t in sample[k][cut[k] :]]
-        # the sample has as many of each kind as it can; the weights restore even odds where it has not
-        weights = logistic(np.asarray([f for f, _ in rows]), np.asarray([k for _, k in rows], float))
+    dictionaries, weights = fitted(*labelled_sample(docs, labels))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(*dictionaries)
+        differences = Differences(dictionaries)
         for batch in batches:
             if weights is None:
                 scores = np.full(batch.num_rows, 0.5)
             else:
-                found = np.asarray([features.of((t.as_py() or "").encode()) for t in batch.column("text")]).reshape(-1, Features.COUNT)
+                found = curve(np.asarray([differences.of((t.as_py() or "").encode()) for t in batch.column("text")]))
                 scores = 1 / (1 + np.exp(-np.clip(found @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores)], ["doc_id", "held_out", "score"])
 
