@@ -79,13 +79,14 @@ def deal(block: int, found: dict[bytes, int], parts: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "words", "counts"])
 
 
-def word_parts(packed: DataFrame) -> int:
-    """Word partitions for a written table of text blocks."""
-    return max(shuffle_width(packed.sparkSession), packed.count() // PART_BLOCKS)
+def word_parts(docs: DataFrame) -> int:
+    """Word partitions for these documents."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(shuffle_width(docs.sparkSession), chars // (PART_BLOCKS * BLOCK_CHARS))
 
 
 def word_lists(packed: DataFrame, parts: int, count: Callable[[Iterable[tuple[int | None, bytes]]], dict[bytes, int]]) -> DataFrame:
-    """A packed list of words and counts for each (block, word partition); count gives them of a block's (doc_id, text)."""
+    """A packed list of words and counts for each (block, word partition) of text blocks; count gives those of a block's (doc_id, text)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

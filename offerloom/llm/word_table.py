@@ -1,14 +1,15 @@
 """Operator 8, BPE encoding and decoding through a table of distinct words.
 
-Words are what lies between white space (line feeds and spaces). Documents are written once as blocks; each block's
-distinct words are dealt to word partitions by a hash. A word partition encodes each of its distinct words once, and
-joins the ids with the vocabulary's pieces there, so that each word also has its decoded form. Ids and pieces go back to
-the blocks that asked, as lists in the order of the words, and a document's are put together by its words' positions:
-its ids are those of its words one after the other, and its decoding joins their pieces by single spaces, as the
-library does for a file without a decoder.
+Words are what lies between white space (line feeds and spaces). Documents form blocks; each block's distinct words are
+dealt to word partitions by a hash. A word partition encodes each of its distinct words once, and the ids go back to the
+blocks that asked, as lists in the order of the words. There the ids of each distinct word are joined with the
+vocabulary's pieces, once, and a document is put together by its words' positions: its ids are those of its words one
+after the other, and its decoding joins their pieces by single spaces, as the library does for a file without a decoder.
 
 A row for each (word, block) in place of lists would be the plainer join, but by the lists' own counts its two shuffles
-write about twice the input; the lists, sorted and compressed, stay under 1.5 times with the texts.
+write about twice the input; the lists, sorted and compressed, stay under 1.5 times with the texts. For the same reason
+blocks are not written as a table: both scans cut them alike, and a word that a second scan should find elsewhere is
+encoded where it is found.
 
 Defined cases: null and empty texts give no ids and decode to the empty text; a null doc_id stays null; repeated rows
 give repeated results; an empty table gives an empty table; other columns are ignored.
@@ -18,13 +19,14 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm.common import table, written
+from offerloom.llm.common import table
 from offerloom.llm.subword import encoder, tokenizer_path
 from offerloom.llm.word_blocks import met, opened, squeeze, text_blocks, unsqueeze, word_lists, word_parts
 
@@ -44,12 +46,11 @@ def distinct_words(docs: Iterable[tuple[int | None, bytes]]) -> dict[bytes, int]
 
 
 def encode_words(lists: DataFrame, path: str, parts: int) -> DataFrame:
-    """For each list its words' ids and decoded forms, in order: sizes of both, all ids, all forms."""
+    """For each list its words' ids, in order: their sizes, then all ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        pieces = [enc.lib.id_to_token(i) or "" for i in range(enc.lib.get_vocab_size(with_added_tokens=True))]
-        known: dict[bytes, tuple[bytes, bytes]] = {}  # the partition's distinct words
+        known: dict[bytes, bytes] = {}  # the partition's distinct words
         for batch in batches:
             for block, packed in zip(batch.column("block").to_pylist(), batch.column("words")):
                 packed = packed.as_py()
@@ -57,12 +58,10 @@ def encode_words(lists: DataFrame, path: str, parts: int) -> DataFrame:
                 new = [w for w in words if w not in known]
                 if new:
                     ids, offsets = enc.many(pa.array([w.decode() for w in new]))
-                    for word, a, b in zip(new, offsets[:-1].tolist(), offsets[1:].tolist()):
-                        own = ids[a:b]
-                        known[word] = own.tobytes(), " ".join(map(pieces.__getitem__, own.tolist())).encode()
-                ids, forms = zip(*map(known.__getitem__, words))
-                sizes = np.asarray([*map(len, ids), *map(len, forms)], "<u4")
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed], pa.binary()), pa.array([squeeze(sizes.tobytes() + b"".join(ids) + b"".join(forms))], pa.binary())], ["block", "words", "given"])
+                    known.update(zip(new, cut(ids.tobytes(), (4 * np.diff(offsets)).tolist(), 0)))
+                given = [*map(known.__getitem__, words)]
+                sizes = np.fromiter(map(len, given), "<u4", len(given))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed], pa.binary()), pa.array([squeeze(sizes.tobytes() + b"".join(given))], pa.binary())], ["block", "words", "given"])
 
     return lists.select("part", "block", "words").repartition(parts, "part").mapInArrow(encode, "block long, words binary, given binary")
 
@@ -71,33 +70,54 @@ def cut(raw: bytes, sizes: list[int], at: int) -> list[bytes]:
     return [raw[a : a + n] for n, a in zip(sizes, itertools.accumulate(sizes, initial=at))]
 
 
+class Held(dict):
+    """A block's words and their ids; a word that its replies lack is encoded here."""
+
+    def __init__(self, enc):
+        super().__init__({b"": b""})
+        self.enc = enc
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.enc.ids(word.decode())
+
+
+class Forms(dict):
+    """Pieces of packed ids, joined once for each distinct word of a block."""
+
+    def __init__(self, pieces: list[bytes]):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, ids: bytes) -> bytes:
+        form = self[ids] = b" ".join(map(self.pieces.__getitem__, array("I", ids)))
+        return form
+
+
 def encode_and_decode(docs: DataFrame, path: str, with_values: bool = False) -> DataFrame:
     """Digests of each document's ids and of their decoding; with_values adds ids (packed unsigned 32 bits) and text."""
-    packed = written(text_blocks(docs), "text-blocks")  # written once: words and texts must come from the same blocks
-    parts = word_parts(packed)
+    packed = text_blocks(docs)
+    parts = word_parts(docs)
     told = encode_words(word_lists(packed, parts, distinct_words), path, parts)
     schema = ENCODED + (", ids binary, decoded string" if with_values else "")
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids_of, form_of = None, {}, {}
+        enc = encoder(path)
+        pieces = [(enc.lib.id_to_token(i) or "").encode() for i in range(enc.lib.get_vocab_size(with_added_tokens=True))]
+        now, ids_of, forms = None, Held(enc), Forms(pieces)
         for batch in batches:
             for n in range(batch.num_rows):
                 block, role, words, given, known, texts = (batch.column(k)[n].as_py() for k in ("block", "role", "words", "given", "docs", "texts"))
                 if block != now:
-                    now, ids_of, form_of = block, {}, {}
+                    now, ids_of, forms = block, Held(enc), Forms(pieces)
                 if role == 0:
                     names, raw = unsqueeze(words).split(b"\n"), unsqueeze(given)
-                    sizes = np.frombuffer(raw, "<u4", 2 * len(names)).tolist()
-                    ids = cut(raw, sizes[: len(names)], 8 * len(names))
-                    ids_of.update(zip(names, ids))
-                    form_of.update(zip(names, cut(raw, sizes[len(names) :], 8 * len(names) + sum(sizes[: len(names)]))))
+                    ids_of.update(zip(names, cut(raw, np.frombuffer(raw, "<u4", len(names)).tolist(), 4 * len(names))))
                     continue
                 out: list[tuple] = []
                 for doc, text in opened(known, texts):
-                    found = [w for w in words_of(text) if w]
-                    ids = b"".join(map(ids_of.__getitem__, found))
-                    decoded = b" ".join(filter(None, map(form_of.__getitem__, found)))  # a word may have no ids
+                    each = [i for i in map(ids_of.__getitem__, words_of(text)) if i]  # a word may have no ids
+                    ids, decoded = b"".join(each), b" ".join(map(forms.__getitem__, each))
                     row = (doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
                     out.append(row + (ids, decoded.decode()) if with_values else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [f.split()[0] for f in schema.split(", ")])
