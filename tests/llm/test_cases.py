@@ -175,6 +175,27 @@ def test_windows_score_each_token_once():
     assert sorted(seen) == list(range(lengths.sum()))
 
 
+def test_score_tokens_equals_plain_attention():
+    """Every token's score, worked out by the layer's formula window by window."""
+    model, r = attention_lm.Attention(seed=9), np.random.default_rng(10)
+    width, step = attention_lm.WIDTH, attention_lm.STEP
+    model.w = {k: (v + r.normal(size=v.shape) * 0.2).astype(np.float32) for k, v in model.w.items()}
+    model.starts = (r.random(attention_lm.CLASSES) < 0.4).astype(np.float32)
+    lengths = np.asarray([1, 7, width, width + 1, 90, 3])
+    classes = r.integers(1, attention_lm.CLASSES, lengths.sum())
+    got, at, w = attention_lm.score_tokens(model, classes, lengths, batch=3), 0, model.w
+    for n in lengths.tolist():
+        y = classes[at : at + n]
+        x = np.append(0, y[:-1])
+        for t in range(n):
+            begin = 0 if t < width else (t - (width - step)) // step * step
+            h = w["embed"][x[begin : t + 1]] + w["place"][: t + 1 - begin]
+            a = np.exp((h[-1] @ w["query"]) @ (h @ w["key"]).T / 4)
+            z = np.exp((h[-1] + (a / a.sum()) @ (h @ w["value"])) @ w["out"] + w["bias"])
+            assert abs(got[0, at + t] - np.log(z[y[t]] / z.sum())) < 1e-3 and abs(got[1, at + t] - np.log(z @ model.starts / z.sum())) < 1e-3
+        at += n
+
+
 def test_attention_gradients():
     model, r = attention_lm.Attention(), np.random.default_rng(4)
     x, y = r.integers(0, attention_lm.CLASSES, (2, 3, attention_lm.WIDTH))
@@ -201,23 +222,35 @@ def test_nearest(spark):
     x = r.normal(size=(300, 7)).astype(np.float32)
     x[100:140] = x[7]
     rows = [(i, [float(v) for v in x[i]], "clash") for i in range(300)]
-    rows += [(1000, None, ""), (1020, [0.0] * 7, ""), (1040, [1.0, None, 2.0], ""), (1060, [float("nan")] * 7, ""), (1080, [float("inf")] * 7, ""), (None, [1.0] * 7, ""), (1100, [1.0, 2.0], ""), (1120, [], ""), (20, [float(v) for v in x[20]], "again")]
+    rows += [(1000, None, ""), (1020, [0.0] * 7, ""), (1040, [1.0, None, 2.0], ""), (1060, [float("nan")] * 7, ""), (1080, [float("inf")] * 7, ""), (None, [1.0] * 7, ""), (1100, [1.0, 2.0], ""), (1120, [], ""), (20, [float(v) for v in x[20]], "again"), (1200, [1.0] * 2500, ""), (1201, [0.5] * 2500, ""), (1202, [0.1] * 2500, "")]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     got = ann.nearest(vectors, F.col("id") % 20 == 0, 5).collect()
     pool = [(i, np.float64(v)) for i, v, _ in rows[:300]] + [(20, np.float64(x[20]))]
     for q in range(0, 300, 20):
         near = sorted(((-sum(a * b for a, b in zip(np.float64(x[q]), v)), i) for i, v in pool if i != q))[:5]
-        mine = sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == q and g.rank <= 5)
-        if q != 20:
-            assert [(i, -s) for s, i in near] == [(v, s) for _, v, s in mine]
+        mine = sorted((g.rank, g.vec_id, g.score) for g in got if g.query_id == q)
+        assert [(i, -s) for s, i in near] == [(v, s) for _, v, s in mine]
+    # vectors of their own length, longer than int8 products add up exactly, and not exact in 32 bits
+    assert [(g.rank, g.vec_id, g.score) for g in got if g.query_id == 1200] == [(1, 1201, 1250.0), (2, 1202, sum([np.float64(np.float32(0.1))] * 2500))]
+    # rows of one id with different vectors are queries of their own
+    two = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 4.0]), (2, [4.0, 3.0])], "vec_id long, embedding array<double>")
+    assert sorted((g.query_id, g.rank, g.vec_id, g.score) for g in ann.nearest(two, F.col("id") % 20 == 0, 1).collect()) == [(20, 1, 1, 4.0), (20, 1, 2, 4.0)]
     assert not {g.query_id for g in got} & {1000, 1020, 1040, 1060, 1080, 1100, 1120}
     assert ann.nearest(vectors.limit(0), F.col("id") % 20 == 0, 5).count() == 0
 
 
+def test_grid_covers_all_pairs_of_blocks():
+    for q, c, w in ((1, 1, 8), (3, 7, 12), (1, 50, 200), (400, 1000, 200), (6100, 15300, 200)):
+        down, across = ann.grid(q, c, w)
+        assert 1 <= down <= q and 1 <= across <= c and down * across >= min(w, q * c) // 2
+        assert c < 1000 or q * across + 8 * c * down <= 0.5 * (q * c + 8 * c)
+
+
 def test_tile_bound_keeps_the_nearest():
     r = np.random.default_rng(6)
     q, c = r.normal(size=(40, 33)) * 10 ** r.uniform(-3, 3, (40, 1)), r.normal(size=(900, 33)) * 10 ** r.uniform(-3, 3, (900, 1))
     ids, vecs, scores = ann.tile(np.arange(40), q, np.arange(1000, 1900), c, 6)
+    assert set(ids) == set(range(40))
     for i in range(40):
         assert list(vecs[ids == i] - 1000) == list(np.argsort(-(c @ q[i]), kind="stable")[:6])
 
