@@ -1,8 +1,10 @@
 """Operator 10, nearest neighbours by a block matrix join: int8 product tiles with error bounds, exact recomputation, heaps.
 
-Usable vectors (not null, not zero, all components finite) are packed into blocks of the same length of vector. Query
-blocks meet candidate blocks in a grid: each query block is sent to every candidate block's tile and back, so a tile is
-one join row whose size is fixed by the block sizes, and there are as many tiles as products of blocks.
+Usable vectors (not null, not zero, all components finite) are packed into blocks of the same length of vector. Blocks
+meet in a grid of tasks, near to square in bytes: a query block goes to one row of the grid and is copied to its columns,
+a candidate block to one column and copied to its rows, so each two blocks meet once. A tile is one join row whose size
+is fixed by the block sizes; copies grow with the sides of the grid, and the work with its area. Blocks travel as 32-bit
+floats where these hold every component exactly, else as 64-bit ones.
 
 In a tile both sides are rounded to int8 with a scale for each row. The integer products (exact in float32 below 2^24,
 so vectors up to 1040 components; longer ones are taken in runs of components) give each inner product within
@@ -13,16 +15,18 @@ The tiles' lists of k are merged by a heap of k for each query.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of different
 lengths are never compared; a null vec_id takes no part; rows that repeat a vec_id are separate candidates, though a
-query never finds its own vec_id; ties go to the smaller vec_id; an empty table gives an empty table.
+query never finds its own vec_id; as queries, rows of one vec_id are one query for each different vector; ties go to the smaller vec_id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ from offerloom.llm.common import shuffle_width, table
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 #: Components whose int8 products add up exactly in float32.
 EXACT_RUN = 1040
+#: Tiles that a task multiplies, on average, once there are more than tasks.
+TASK_TILES = 256
 FOUND = "query_id long, rank int, vec_id long, score double"
 
 
@@ -48,7 +54,9 @@ def blocked(rows: DataFrame, size: int, count: int) -> DataFrame:
 
         def out(dim):
             ids, values = held.pop(dim)
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.asarray(ids, "<i8").tobytes()], pa.binary()), pa.array([np.asarray(values, "<f8").tobytes()], pa.binary())], ["dim", "ids", "data"])
+            values = np.asarray(values, "<f8")
+            narrow = values.astype("<f4")
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.asarray(ids, "<i8").tobytes()], pa.binary()), pa.array([(narrow if (narrow == values).all() else values).tobytes()], pa.binary())], ["dim", "ids", "data"])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -65,6 +73,19 @@ def blocked(rows: DataFrame, size: int, count: int) -> DataFrame:
     return dealt.mapInArrow(pack, "dim int, ids binary, data binary")
 
 
+def opened(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's ids and its vectors in double precision."""
+    ids = np.frombuffer(ids, "<i8")
+    return ids, np.frombuffer(data, "<f4" if len(data) == 4 * dim * len(ids) else "<f8").reshape(-1, dim).astype(np.float64)
+
+
+def grid(q_blocks: int, blocks: int, width: int) -> tuple[int, int]:
+    """Rows (of query blocks) and columns (of candidate blocks) of the grid of tasks."""
+    tasks = max(min(width, q_blocks * blocks), q_blocks * blocks // TASK_TILES)
+    columns = min(blocks, max(1, math.ceil(math.sqrt(tasks * blocks * VECTOR_BLOCK / (q_blocks * QUERY_BLOCK)))))
+    return min(q_blocks, -(-tasks // columns)), columns
+
+
 def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """int8 values (in float32) and the scale of each row."""
     scale = np.abs(x).max(1) / 127
@@ -72,7 +93,7 @@ def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, vector ids, scores) that hold each query's k nearest among c, nearest first, ties to the smaller id."""
+    """(places of queries, vector ids, scores) that hold each query's k nearest among c, nearest first, ties to the smaller id."""
     qi, qs = rounded(q)
     ci, cs = rounded(c)
     dim = q.shape[1]
@@ -93,46 +114,49 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     rows, cols, scores = rows[order], cols[order], scores[order]
     starts = np.searchsorted(rows, np.arange(len(q)))
     best = np.arange(len(rows)) - starts[rows] < k
-    return q_ids[rows[best]], c_ids[cols[best]], scores[best]
+    return rows[best], c_ids[cols[best]], scores[best]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest of every query row by inner product; is_query is a condition on the id, named "id"."""
-    spark = vectors.sparkSession
-    n = vectors.count()
-    blocks, rows = max(1, -(-n // VECTOR_BLOCK)), usable(vectors, id_col, vec_col)
-    # every query block meets every candidate block: grid lines are numbers dealt to the candidate blocks' rows
-    right = blocked(rows, VECTOR_BLOCK, blocks)
-    lanes = blocks
-    right = right.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    left = blocked(rows.where(is_query), QUERY_BLOCK, 0 if n <= QUERY_BLOCK else max(1, n // (20 * QUERY_BLOCK)))
-    left = left.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    tiles = left.hint("shuffle_hash").join(right, ["dim", "lane"])
+    width = shuffle_width(vectors.sparkSession)
+    rows = usable(vectors, id_col, vec_col)
+    asked = rows.where(is_query).dropDuplicates(["id", "v"])
+    n, m = (f.count() for f in (vectors, asked))
+    blocks, q_blocks = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-m // QUERY_BLOCK))
+    down, across = grid(q_blocks, blocks, width)
+    right = blocked(rows, VECTOR_BLOCK, blocks).withColumn("column", F.pmod(F.xxhash64("ids"), F.lit(across)).cast("int"))
+    right = right.select("dim", "ids", "data", "column", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("line"))
+    left = blocked(asked, QUERY_BLOCK, q_blocks).withColumn("line", F.pmod(F.xxhash64("ids"), F.lit(down)).cast("int"))
+    left = left.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "line", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("column"))
+    tiles = left.join(right.hint("shuffle_hash"), ["dim", "line", "column"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, q_ids, q_data, ids, data in zip(*(batch.column(x).to_pylist() for x in ("dim", "q_ids", "q_data", "ids", "data"))):
-                q_ids, q = np.frombuffer(q_ids, "<i8"), np.frombuffer(q_data, "<f8").reshape(-1, dim)
-                c_ids, c = np.frombuffer(ids, "<i8"), np.frombuffer(data, "<f8").reshape(-1, dim)
+            for r in range(batch.num_rows):
+                dim, q_ids, q_data, ids, data = (batch.column(x)[r].as_py() for x in ("dim", "q_ids", "q_data", "ids", "data"))
+                q_ids, q = opened(q_ids, q_data, dim)
+                c_ids, c = opened(ids, data, dim)
+                prints = np.asarray([xxhash.xxh3_64_intdigest(v.tobytes()) for v in q], np.uint64).view(np.int64)  # tell vectors of one id apart
                 for a in range(0, len(q), 256):
-                    got = tile(q_ids[a : a + 256], q[a : a + 256], c_ids, c, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["query_id", "vec_id", "score"])
+                    at, vecs, scores = tile(q_ids[a : a + 256], q[a : a + 256], c_ids, c, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[a + at], prints[a + at], vecs, scores)], ["query_id", "print", "vec_id", "score"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[int, list[tuple[float, int]]] = {}
+        heaps: dict[tuple[int, int], list[tuple[float, int]]] = {}
         for batch in batches:
-            for query, vec, score in zip(*(batch.column(x).to_pylist() for x in ("query_id", "vec_id", "score"))):
-                heap = heaps.setdefault(query, [])
+            for query, own, vec, score in zip(*(batch.column(x).to_pylist() for x in ("query_id", "print", "vec_id", "score"))):
+                heap = heaps.setdefault((query, own), [])
                 if len(heap) < k:
                     heapq.heappush(heap, (score, -vec))
                 else:
                     heapq.heappushpop(heap, (score, -vec))
-        for query, heap in heaps.items():
+        for (query, _), heap in heaps.items():
             heap.sort(reverse=True)
             yield pa.RecordBatch.from_arrays([pa.array([query] * len(heap)), pa.array(range(1, len(heap) + 1), pa.int32()), pa.array([-v for _, v in heap]), pa.array([s for s, _ in heap])], ["query_id", "rank", "vec_id", "score"])
 
-    found = tiles.mapInArrow(multiply, "query_id long, vec_id long, score double")
-    return found.repartition(shuffle_width(spark), "query_id").mapInArrow(merge, FOUND)
+    found = tiles.mapInArrow(multiply, "query_id long, print long, vec_id long, score double")
+    return found.repartition(width, "query_id").mapInArrow(merge, FOUND)
 
 
 def op10_nearest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,10 +172,10 @@ WITH usable AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
-  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+  SELECT q.vec_id AS query_id, q.v AS v, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
+  FROM (SELECT DISTINCT vec_id, v FROM usable WHERE vec_id % 20 = 0) q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
