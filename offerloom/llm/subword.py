@@ -74,6 +74,8 @@ def by_rank(path: str, pattern: str) -> tiktoken.Encoding | None:
     return tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=ids, special_tokens={})
 
 
+#: Distinct chunks whose ids one call gives.
+_AT_ONCE = 50_000
 _WORD_CHARS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+")
 
 
@@ -234,26 +236,32 @@ class Encoder:
             ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         return ids, offsets
 
+    def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words with a mark at most laid end to end, and where each word's end."""
+        if self.words:
+            joined = "\0".join(words.to_pylist()).lower() + "\0"
+            for mark in ",.":
+                joined = joined.replace(mark, "\0" + mark)
+            ids = np.asarray(self.ranked.encode_ordinary(joined), np.uint32)
+            pieces = 1 + pc.match_substring_regex(words, "[,.]$").to_numpy(zero_copy_only=False)
+            return ids, np.flatnonzero(self.bound[ids])[np.cumsum(pieces) - 1] + 1
+        ids = np.asarray(self.ranked.encode_ordinary(" " + " ".join(words.to_pylist())), np.uint32)
+        return ids, np.append(np.flatnonzero(self.bound[ids])[1:], len(ids))
+
     def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids of distinct chunks laid end to end, the number of each chunk's, and the chunks that need their surroundings."""
         sizes, odd = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), bool)
         plain = np.zeros(len(chunks), bool)
         if self.ranked:
             plain = pc.match_substring_regex(chunks, f"^{_WORD_CHARS.pattern}[,.]?$").to_numpy(zero_copy_only=False)
-        ids = np.empty(0, np.uint32)
-        if plain.any():
-            some = chunks.filter(pa.array(plain))
-            if self.words:
-                joined = "\0".join(some.to_pylist()).lower() + "\0"
-                for mark in ",.":
-                    joined = joined.replace(mark, "\0" + mark)
-                ids = np.asarray(self.ranked.encode_ordinary(joined), np.uint32)
-                pieces = 1 + pc.match_substring_regex(some, "[,.]$").to_numpy(zero_copy_only=False)
-                ends = np.flatnonzero(self.bound[ids])[np.cumsum(pieces) - 1] + 1
-            else:
-                ids = np.asarray(self.ranked.encode_ordinary(" " + " ".join(some.to_pylist())), np.uint32)
-                ends = np.append(np.flatnonzero(self.bound[ids])[1:], len(ids))
-            sizes[plain] = np.diff(ends, prepend=0)
+        some, parts, counts = chunks.filter(pa.array(plain)), [np.empty(0, np.uint32)], []
+        for a in range(0, len(some), _AT_ONCE):  # a call's ids are a list of numbers
+            found, ends = self._merged(some.slice(a, _AT_ONCE))
+            parts.append(found)
+            counts.append(np.diff(ends, prepend=0))
+        ids = np.concatenate(parts)
+        if counts:
+            sizes[plain] = np.concatenate(counts)
         rest = []
         for k in np.flatnonzero(~plain).tolist():
             chunk = chunks[k].as_py()

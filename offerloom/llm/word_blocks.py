@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm.common import lean_batches, shuffle_width
@@ -41,7 +41,7 @@ def unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
+def blocks(batches: Iterable[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, list, list[str]]]:
     """(block, doc_ids, texts) of a partition's rows; a block's name is a hash of its documents."""
     size, ids, texts = 0, [], []
     for batch in batches:
@@ -50,7 +50,7 @@ def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, list[
             ids.append(doc)
             texts.append(text)
             size += len(text)
-            if size >= BLOCK_CHARS:
+            if size >= chars:
                 yield _name(ids, texts), ids, texts
                 size, ids, texts = 0, [], []
     if ids:
@@ -79,10 +79,9 @@ def deal(block: int, found: dict[bytes, int], parts: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "words", "counts"])
 
 
-def word_parts(docs: DataFrame) -> int:
-    """Word partitions for these documents."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(shuffle_width(docs.sparkSession), chars // (PART_BLOCKS * BLOCK_CHARS))
+def word_parts(spark: SparkSession, blocks: int) -> int:
+    """Word partitions for the words of so many blocks."""
+    return max(shuffle_width(spark), blocks // PART_BLOCKS)
 
 
 def word_lists(packed: DataFrame, parts: int, count: Callable[[Iterable[tuple[int | None, bytes]]], dict[bytes, int]]) -> DataFrame:
@@ -96,11 +95,11 @@ def word_lists(packed: DataFrame, parts: int, count: Callable[[Iterable[tuple[in
     return packed.select("block", "docs", "texts").mapInArrow(pack, LISTS)
 
 
-def text_blocks(docs: DataFrame) -> DataFrame:
+def text_blocks(docs: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents of each block in one compressed row, role 1."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in blocks(batches):
+        for block, ids, texts in blocks(batches, chars):
             raw = [t.encode() for t in texts]
             known = np.asarray([[d or 0, d is not None, len(r)] for d, r in zip(ids, raw)], "<i8").reshape(-1, 3)
             yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "role": pa.array([1], pa.int32()), "words": pa.array([None], pa.binary()), "given": pa.array([None], pa.binary()), "docs": pa.array([squeeze(known.tobytes())], pa.binary()), "texts": pa.array([squeeze(b"".join(raw))], pa.binary())})

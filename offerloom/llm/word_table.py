@@ -25,10 +25,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from offerloom.llm.common import table
 from offerloom.llm.subword import encoder, tokenizer_path
-from offerloom.llm.word_blocks import met, opened, squeeze, text_blocks, unsqueeze, word_lists, word_parts
+from offerloom.llm.word_blocks import BLOCK_CHARS, met, opened, squeeze, text_blocks, unsqueeze, word_lists, word_parts
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -96,7 +97,8 @@ class Forms(dict):
 def encode_and_decode(docs: DataFrame, path: str, with_values: bool = False) -> DataFrame:
     """Digests of each document's ids and of their decoding; with_values adds ids (packed unsigned 32 bits) and text."""
     packed = text_blocks(docs)
-    parts = word_parts(docs)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = word_parts(docs.sparkSession, chars // BLOCK_CHARS)
     told = encode_words(word_lists(packed, parts, distinct_words), path, parts)
     schema = ENCODED + (", ids binary, decoded string" if with_values else "")
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
