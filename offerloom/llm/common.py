@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset, on a local master) a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or _local()).rstrip("/")
 
 
@@ -40,9 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def lean_batches(spark: SparkSession) -> None:
-    """Fewer rows of whole texts in each batch that goes to Python, unless the session has chosen a number of its own."""
+    """Fewer rows of whole texts in each batch that goes to Python, unless the session has set a number of its own.
+
+    The plans are lazy, so this holds for the session from then on; a number set by the user, even the default one, stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
+    if key not in spark.conf.getAll:
         spark.conf.set(key, "1000")
 
 

@@ -140,10 +140,11 @@ def fitted(sample: dict[int, list[bytes]], many: dict[int, int]) -> tuple[list,
     return dictionaries, logistic(curve(np.asarray([d for d, _ in seen])), kinds, weight * len(seen) / weight.sum())
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out and score of every document."""
+def quality_scores(docs: DataFrame, labels: DataFrame, text_print: bool = False) -> DataFrame:
+    """doc_id, held_out and score of every document; text_print adds a hash of the text (null: empty)."""
     lean_batches(docs.sparkSession)
     dictionaries, weights = fitted(*labelled_sample(docs, labels))
+    more = ["text_print"] if text_print else []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differences = Differences(dictionaries)
@@ -153,10 +154,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             else:
                 found = curve(np.asarray([differences.of((t.as_py() or "").encode()) for t in batch.column("text")]))
                 scores = 1 / (1 + np.exp(-np.clip(found @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores)], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), *(batch.column(c) for c in more)], ["doc_id", "held_out", "score", *more])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
-    return kept.mapInArrow(score, SCORED)
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text", *([F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_print")] if text_print else []))
+    return kept.mapInArrow(score, SCORED + (", text_print long" if text_print else ""))
 
 
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@
    pairs follows the number of bucket entries. Each pair is confirmed on full sets.
 4. What a star may miss (members alike, but unlike both centres) is settled afterwards. In a bucket whose members are
    still in several components, the largest component is host and the members of others are its guests; every guest is
-   compared with all the host's members and with its fellow guests, inside tasks that hold a share of either, so no pair
-   becomes a row. Then each two members of a bucket are in one component or have been compared.
+   compared with all the host's members and with its fellow guests, inside tasks that hold a share of either; a task gives
+   the links of a spanning forest of what it holds, so rows follow its members and not their pairs. Then each two members
+   of a bucket are in one component or have been compared.
 
 A pair at the threshold of 0.8 escapes all 42 bands of 6 rows with probability 3e-6, a closer pair less often.
 
@@ -135,26 +136,34 @@ def alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
 def compared(rows: DataFrame, bodies: DataFrame, words: int, percent: int, every: bool) -> DataFrame:
     """Links (a, b) between the rows of role 1 and those of role 0 with the same (lead, share); rows: lead, share, role, doc_id.
 
-    The sets of role 0 are held, those of role 1 streamed. every: all links of a row count, else the first is enough.
+    The sets of role 0 are held, those of role 1 streamed. every: the links of a row to all components that the task has
+    found so far among its rows (a spanning forest), else a row's first link is enough.
     """
     met = rows.join(bodies, "doc_id").repartition("lead", "share").sortWithinPartitions("lead", "share", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, now, held = zstandard.ZstdDecompressor(), None, []
+        d, now, held, above = zstandard.ZstdDecompressor(), None, [], {}
+
+        def top(x: int) -> int:
+            while x in above:
+                above[x] = x = above.get(above[x], above[x])
+            return x
+
         for batch in batches:
             out: list[tuple[int, int]] = []
             for lead, share, role, doc, body in zip(*(batch.column(k).to_pylist() for k in ("lead", "share", "role", "doc_id", "body"))):
                 found = shingle_set(d.decompress(body), words)
                 if (lead, share) != now:
-                    now, held = (lead, share), []
+                    now, held, above = (lead, share), [], {}
                 if role == 0:
                     held.append((doc, found))
                     continue
                 for other, its in held:
-                    if other != doc and alike(found, its, percent):
+                    if top(other) != top(doc) and alike(found, its, percent):
                         out.append((other, doc))
                         if not every:
                             break
+                        above[top(doc)] = top(other)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[], []])], ["a", "b"])
         _hashes.clear()
 
