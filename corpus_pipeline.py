@@ -3,6 +3,12 @@
 Each stage works on all its predecessor kept and writes its verdict into effect: documents that the classifier or the
 rules reject go, one document of each group of near-duplicates stays, and the rest is packed into sequences. All stages
 but the last return the columns of documents.
+
+Defined cases: a document's text decides, whatever its id. Null and empty texts fail the rules' least number of words.
+A null doc_id is kept through all stages: rows without an id and with the same text are one document, others are
+compared as any. Rows that repeat a doc_id are one document to near-dedup, which keeps the least of them by its columns'
+order; the classifier and the rules judge each by its own text. Of equal documents the least doc_id stays. Other columns
+are handed on, whatever their names. An empty table gives empty tables at every stage.
 """
 
 from __future__ import annotations
@@ -20,15 +26,12 @@ from offerloom.llm.packing import pack
 from offerloom.llm.subword import tokenizer_path
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows of these doc_ids; ids are joined without a null match, so a null doc_id stays."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose compression score is under the threshold."""
-    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, written(scores.where(F.col("score") < THRESHOLD), "low-quality"))
+    """Drops documents whose compression score, which is of the text alone, is under the threshold."""
+    print_ = F.xxhash64(F.coalesce("text", F.lit("")))
+    scores = quality_scores(docs, table(spark, sf_dir, "labels"), text_print=True)
+    gone = written(scores.where(F.col("score") < THRESHOLD).select(F.col("text_print").alias("gone_print")).distinct(), "low-quality")
+    return docs.join(gone, print_ == F.col("gone_print"), "left_anti").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +41,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the least doc_id of each group of documents with similar five-word shingles (0.8)."""
-    return _without(docs, written(near_duplicates(docs, words=5, percent=80).where("not kept"), "duplicates"))
+    # a text without an id stands for itself, under a number of its own beyond all ids
+    key = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), words=5, percent=80)
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "duplicates")
+    left = docs.join(gone, key == F.col("gone_id"), "left_anti").select(*docs.columns)
+    again = written(left.groupBy(key.alias("again_id")).count().where("count > 1").select("again_id"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    # of rows that repeat an id, the least; only these are grouped
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    once = left.select(row, key.alias("row_id")).join(again, F.col("row_id") == F.col("again_id"), "left_semi").groupBy("row_id").agg(F.min("row").alias("row")).select("row.*")
+    return left.join(again, key == F.col("again_id"), "left_anti").select(*docs.columns).union(once)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
