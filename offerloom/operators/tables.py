@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or, only where that is unset, a local folder."""
+    """spark.checkpoint.dir of the session, or, only where that is unset and the master is local, a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or _local()).rstrip("/")
 
 
@@ -32,16 +34,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replaces a Parquet table: writes beside it first, so that a reader of path sees the old rows or the new ones."""
+    """Replaces a Parquet table: the new rows are written beside it, the old table is renamed away, the new one renamed
+    in, and the old one deleted last, so that either is whole at any time. A failed rename puts the old table back."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    beside = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(beside)
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(old, True)
-    fs.rename(new, old)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    run = uuid.uuid4().hex
+    beside, away, here = to(f"{path}.{run}"), to(f"{path}.old-{run}"), to(path)
+    df.write.parquet(beside.toString())
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = fs.exists(here)
+    if had and not fs.rename(here, away):
+        raise OSError(f"{path} cannot be renamed")
+    if not fs.rename(beside, here):
+        if had:
+            fs.rename(away, here)
+        raise OSError(f"{beside} cannot be renamed to {path}")
+    if had:
+        fs.delete(away, True)
 
 
 def replace_partitions(df: DataFrame, path: str, key: str) -> None:

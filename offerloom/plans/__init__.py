@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.plans import catalogue, dialect, frames, relational, resolution, scalars  # noqa: F401  (importing a module of plans registers them)
+from offerloom.plans import catalogue, dialect, frames, loading, ranked, relational, resolution, scalars  # noqa: F401  (importing a module of plans registers them)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -298,6 +298,17 @@ def frame(name: str, oracle: str | Callable | None = None):
     return register
 
 
+def runs(name: str):
+    """Lets a DataFrame function (spark, sf_dir) answer a registered plan, whose text stays its oracle."""
+
+    def register(f: Callable):
+        assert name in _PLANS and name not in _FRAMES, name
+        _FRAMES[name] = f
+        return f
+
+    return register
+
+
 def run_text(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Runs Spark SQL over the tables of a folder that it names, under view names of their own: the user's views stay."""
     for t in TABLES:

@@ -161,16 +161,35 @@ def q38(spark, sf_dir):
     return listing.facets(products(spark, sf_dir), FILTERS, [("brands", "brand"), ("categories", "category"), ("sizes", "size")])
 
 
-PROMO = "SELECT o_orderkey AS page_id, concat('<p>Offre &amp; remise</p> ', CASE o_orderkey % 3 WHEN 0 THEN concat('code promo : MOTO', o_orderkey % 90 + 10, ' -', o_orderkey % 50 + 10, '%') WHEN 1 THEN concat('avec SOLDE', o_orderkey % 9 + 1, ' ici') ELSE 'HTTP RGPD' END, ' jusqu au ', o_orderkey % 28 + 1, '/2/2024 <b>fin</b>') AS html FROM orders"
-
-
-@frame("x16_frame_promo_codes", f"""WITH p AS ({PROMO}) SELECT page_id, concat('MOTO', page_id % 90 + 10) AS code, 2 AS score, make_date(2024, 2, page_id % 28 + 1) AS ends, concat('-', page_id % 50 + 10, '%') AS discount FROM p WHERE page_id % 3 = 0
-UNION ALL SELECT page_id, concat('SOLDE', page_id % 9 + 1), 1, make_date(2024, 2, page_id % 28 + 1), NULL FROM p WHERE page_id % 3 = 1""")
+_DAY = "o_orderkey % 28 + 1"
+#: Pages with a code, its validity in one of five forms on either side of it, an older one far above, and conditions.
+PROMO = f"""SELECT o_orderkey AS page_id, concat('<p>Offre &amp; remise du 01/01/2020 au 02/01/2020</p> ', repeat('mot ', 80), CASE o_orderkey % 5 WHEN 1 THEN concat('valable jusqu au : 2024-02-', lpad(CAST({_DAY} AS VARCHAR(2)), 2, '0'), ' ') WHEN 3 THEN concat('du 01/02/2024 au ', {_DAY}, '/02/24 ') ELSE '' END,
+  CASE o_orderkey % 3 WHEN 0 THEN concat('code promo : MOTO', o_orderkey % 90 + 10, ' -', o_orderkey % 50 + 10, '%') WHEN 1 THEN concat('avec SOLDE', o_orderkey % 9 + 1, ' ici') ELSE 'HTTP RGPD' END,
+  CASE o_orderkey % 5 WHEN 0 THEN concat(' jusqu au ', {_DAY}, '/2/2024') WHEN 2 THEN concat(' du 1er février au ', {_DAY}, ' février') WHEN 4 THEN concat(' jusqu au jeudi ', {_DAY}, ' févr') ELSE '' END,
+  CASE WHEN o_orderkey % 2 = 0 THEN ' dès 79,90 € d achat, hors soldes, non cumulable' ELSE '' END, ' <b>fin</b>') AS html FROM orders"""
+#: What the pages say, from the rule that makes them.
+_SAID = """said AS (SELECT o_orderkey AS page_id, CASE o_orderkey % 3 WHEN 0 THEN concat('MOTO', o_orderkey % 90 + 10) WHEN 1 THEN concat('SOLDE', o_orderkey % 9 + 1) END AS code, CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 1 END AS score FROM orders WHERE o_orderkey % 3 < 2)"""
+
+
+@frame("x16_frame_promo_codes", f"""WITH {_SAID} SELECT page_id, code, score, CASE WHEN page_id % 5 IN (2, 3) THEN make_date(2024, 2, 1) END AS starts, make_date(2024, 2, page_id % 28 + 1) AS ends,
+  CASE score WHEN 2 THEN concat('-', page_id % 50 + 10, ' % avec le code ', code) ELSE concat('Code promo ', code) END AS discount, CASE WHEN page_id % 2 = 0 THEN 'dès 79,90 € d''achat · hors soldes · non cumulable' ELSE '' END AS conditions FROM said""")
 def x16(spark, sf_dir):
-    """Codes of page texts with their score, end date and discount (X16 to X18)."""
-    pages = run_text(spark, sf_dir, PROMO).withColumn("text", promo.page_text(F.col("html")))
+    """Codes of page texts with their score, validity, discount label and conditions (X16 to X18)."""
+    pages = run_text(spark, sf_dir, PROMO.replace("VARCHAR(2)", "STRING")).withColumn("text", promo.page_text(F.col("html")))
     found = promo.codes(pages, "page_id", "text").join(pages.select("page_id", "text"), "page_id")
-    return found.select("page_id", "code", "score", promo.valid_until(F.col("text"), F.col("code"), F.lit("2024-01-15").cast("date")).alias("ends"), promo.discount_label(F.col("text"), F.col("code")).alias("discount"))
+    said = found.withColumn("valid", promo.validity(F.col("text"), F.col("code"), F.lit("2024-01-15").cast("date")))
+    return said.select("page_id", "code", "score", "valid.starts", "valid.ends", promo.discount_label(F.col("text"), F.col("code")).alias("discount"), promo.conditions(F.col("text")).alias("conditions"))
+
+
+@frame("x26_frame_scan_of_pages", f"""WITH {_SAID}, c AS (SELECT DISTINCT page_id % 50 AS merchant, code, page_id % 4 AS lot FROM said), state AS (SELECT DISTINCT merchant, code FROM c WHERE lot <> 1), found AS (SELECT DISTINCT merchant, code FROM c WHERE lot <> 0)
+SELECT merchant, code FROM state WHERE merchant % 5 = 0 UNION SELECT merchant, code FROM found""")
+def x26(spark, sf_dir):
+    """Yesterday's codes after today's scan, in which every fifth merchant's pages did not answer."""
+    pages = run_text(spark, sf_dir, PROMO.replace("VARCHAR(2)", "STRING")).withColumn("text", promo.page_text(F.col("html")))
+    read = promo.codes(pages, "page_id", "text").selectExpr("page_id % 50 as merchant", "code", "page_id % 4 as lot")
+    state, found = (read.where(c).select("merchant", "code").distinct() for c in ("lot <> 1", "lot <> 0"))
+    answered = read.select("merchant").where("merchant % 5 <> 0").distinct()
+    return promo.live_codes(state, found, answered, "merchant")
 
 
 @frame("q29_frame_value_families", f"""WITH {OFFER}, v AS (SELECT product_id, merchant_id, max(wide) AS wide FROM offer GROUP BY product_id, merchant_id), f AS (SELECT a.product_id, a.wide, count(*) AS members, max(b.wide) AS top FROM v a JOIN v b ON b.product_id = a.product_id AND abs(a.wide - b.wide) <= 0.01 * greatest(a.wide, b.wide) GROUP BY a.product_id, a.merchant_id, a.wide),

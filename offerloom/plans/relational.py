@@ -224,7 +224,7 @@ def _(d):
 
 @plan("c06_anti_joins")
 def _(d):
-    return f"""WITH {OFFER} SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM offer WHERE merchant_id = s_suppkey AND size = 50 AND position = 7 AND live AND in_stock) AND s_suppkey NOT IN (SELECT merchant_id FROM offer WHERE merchant_id IS NOT NULL AND position = 7 AND size = 1 AND live AND brand = 'Brand#2')"""
+    return f"""WITH {OFFER} SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM offer WHERE merchant_id = s_suppkey AND size = 50 AND position = 7 AND live AND in_stock) AND NOT EXISTS (SELECT 1 FROM offer WHERE merchant_id = s_suppkey AND position = 7 AND size = 1 AND live AND brand = 'Brand#2')"""
 
 
 @plan("c07_left_null_anti")
@@ -617,3 +617,14 @@ def _(d):
 def _(d):
     a, b = d.split("a.p_name", " "), d.split("b.p_name", " ")
     return f"""SELECT a.p_partkey, {d.join(d.sorted(d.union(d.minus(a, b), d.minus(b, a))), " ")} AS differing FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"""
+
+
+@plan("c23_dictionary_join")
+def _(d):
+    """Keys of a merchant to products, as one looks a read text's product up."""
+    return f"""WITH {OFFER}, known AS (SELECT merchant_id, sku, min(product_id) AS product FROM offer WHERE live GROUP BY merchant_id, sku) SELECT o.offer_id, k.product FROM offer o JOIN known k ON k.merchant_id = o.merchant_id AND k.sku = o.sku WHERE o.position <= 3"""
+
+
+@plan("d11_medians_of_groups")
+def _(d):
+    return f"""WITH {OFFER}, p AS (SELECT product_id, category, count(*) AS n, CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY cents) AS DOUBLE) AS price FROM offer GROUP BY product_id, category) SELECT category, CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY n) AS DOUBLE) AS median_offers, CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY price) AS DOUBLE) AS median_price FROM p GROUP BY category"""

@@ -39,6 +39,9 @@ unit AS (SELECT g.gtin, g.n, coalesce(g.brand, 'unknown') AS brand, CASE WHEN g.
 def model_unit(d) -> str:
     return f"""mu AS (SELECT p_partkey AS gtin, p_brand AS brand, p_size % 4 AS key_size, {d.sorted(d.distinct(d.split("p_name", " ")))} AS toks, CASE WHEN p_partkey % 3 = 0 THEN 'U' WHEN p_size % 2 = 0 THEN 'F' ELSE 'H' END AS sex, p_type AS kind FROM part)"""
 
+#: Changes above which a pass holds its rows for the owner's look, in place of applying them.
+REATTACH_MOST, DETACH_OFFERS, DETACH_PRODUCTS = 2000, 150, 40
+
 
 @plan("q01_normalise_with_breaker")
 def _(d):
@@ -98,7 +101,7 @@ def _(d):
     return f"""WITH {unit(d)}, holder AS (SELECT gtin, gtin % 400 AS product FROM unit WHERE NOT conflict AND gtin % 3 <> 0 UNION SELECT gtin, gtin % 90 FROM unit WHERE gtin % 50 = 1), load_of AS (SELECT product FROM holder GROUP BY product HAVING count(*) <= 25),
 target AS (SELECT u.gtin, min(h.product) AS product FROM unit u JOIN holder h ON h.gtin = u.gtin JOIN load_of l ON l.product = h.product WHERE NOT u.conflict GROUP BY u.gtin HAVING count(DISTINCT h.product) = 1),
 cap AS (SELECT count(*) AS n FROM target)
-SELECT gtin, product FROM target, cap WHERE cap.n <= 2000"""
+SELECT gtin, product, cap.n > {REATTACH_MOST} AS held FROM target, cap"""
 
 
 @plan("q10_refusal_reasons")
@@ -140,7 +143,7 @@ SELECT m, sku, category, h, price, others, far AND NOT (near = 0 AND k = 1) AS s
 def _(d):
     return f"""WITH {OFFER}, o AS (SELECT offer_id, product_id, category, wide FROM offer WHERE live), m AS (SELECT a.offer_id, a.product_id, a.category, a.wide, CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY b.wide) AS DOUBLE) AS others FROM o a JOIN o b ON b.product_id = a.product_id AND b.offer_id <> a.offer_id GROUP BY a.offer_id, a.product_id, a.category, a.wide),
 far AS (SELECT * FROM m WHERE wide >= 9 * others OR wide <= others / 9), cap AS (SELECT count(*) AS offers, count(DISTINCT product_id) AS products FROM far)
-SELECT offer_id, product_id FROM far, cap WHERE cap.offers <= 1000000 AND cap.products <= 1000000"""
+SELECT offer_id, product_id, cap.offers > {DETACH_OFFERS} OR cap.products > {DETACH_PRODUCTS} AS held FROM far, cap"""
 
 
 @plan("q15_variants")
@@ -189,7 +192,7 @@ SELECT k.p_partkey, g.survivor FROM k JOIN g ON g.p_brand = k.p_brand AND g.s =
 @plan("q22_merge_and_undo")
 def _(d):
     return f"""WITH {OFFER}, merge AS (SELECT p_partkey AS id, p_partkey - p_partkey % 10 AS survivor FROM part WHERE p_partkey % 10 IN (1, 2)), undone AS (SELECT id FROM merge WHERE id % 100 = 1),
-live_merge AS (SELECT id, survivor FROM merge WHERE id NOT IN (SELECT id FROM undone))
+live_merge AS (SELECT id, survivor FROM merge WHERE NOT EXISTS (SELECT 1 FROM undone WHERE undone.id = merge.id))
 SELECT coalesce(m.survivor, o.product_id) AS product, count(*) AS offers, count(m.id) AS moved FROM offer o LEFT JOIN live_merge m ON m.id = o.product_id GROUP BY 1"""
 
 

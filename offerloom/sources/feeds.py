@@ -67,19 +67,32 @@ def read_feed(spark: SparkSession, path: str | list[str], spec: FeedSpec) -> Dat
     return rows.select(F.lit(spec.merchant).alias("merchant"), F.create_map(*pairs).alias("row"), F.col("_corrupt").isNotNull().alias("corrupt"))
 
 
+def ragged(staged: DataFrame) -> DataFrame:
+    """(merchant, rows, ragged): records of a staged feed, and those whose number of fields is not the header's."""
+    read = F.length(F.array_join(F.map_values("row"), "")) >= 0  # Spark refuses to read the flag of a file alone
+    return staged.groupBy("merchant").agg(F.count("*").alias("rows"), F.count_if(F.col("corrupt") & read).alias("ragged"))
+
+
 def first_of(row: str, names: Sequence[str]) -> Column:
     """The first alias with a value that is not blank."""
     return F.coalesce(*[F.nullif(F.trim(F.try_element_at(F.col(row), F.lit(n.lower()))), F.lit("")) for n in names], F.lit(None).cast("string"))
 
 
-def offers(staged: DataFrame, spec: FeedSpec, as_of: str) -> DataFrame:
-    """Typed offers of a staged feed: in scope, complete, prices in cents, one row for each key (the last by key order)."""
+def in_scope(staged: DataFrame, spec: FeedSpec) -> DataFrame:
+    """The columns that offers are made of, and reason: why a record is left out at the door (null: it is kept)."""
     aliases = {**DEFAULT_ALIASES, **spec.aliases}
     rows = staged.select("merchant", *[first_of("row", names).alias(f) for f, names in aliases.items()])
-    for pattern, column in ((spec.rejected_paths, "category"), (spec.rejected_titles, "title")):
-        if pattern:
-            rows = rows.where(~F.coalesce(F.lower(column).rlike(pattern), F.lit(False)))
-    rows = rows.where("title is not null and url is not null")
+
+    def hit(pattern: str | None, column: str) -> Column:
+        return F.coalesce(F.lower(column).rlike(pattern), F.lit(False)) if pattern else F.lit(False)
+
+    reason = F.when(hit(spec.rejected_paths, "category"), "category").when(hit(spec.rejected_titles, "title"), "title").when(F.col("title").isNull() | F.col("url").isNull(), "incomplete")
+    return rows.withColumn("reason", reason)
+
+
+def offers(staged: DataFrame, spec: FeedSpec, as_of: str) -> DataFrame:
+    """Typed offers of a staged feed: in scope, complete, prices in cents, one row for each key (that of the greatest title)."""
+    rows = in_scope(staged, spec).where("reason is null").drop("reason")
     live = F.expr(t.sale_is_live("coalesce(sale_window, '')", f"DATE'{as_of}'")) if "sale_window" in rows.columns else F.lit(True)
     rows = rows.select("merchant", F.expr(t.merchant_key("coalesce(sku, '')", "url")).alias("offer_key"), "title", "url", "brand", "colour", "size", "category", F.when(F.expr(t.valid_gtin("coalesce(gtin, '')")), F.col("gtin")).alias("gtin"), F.expr(t.money("price")).alias("list_cents"), F.expr(t.money("sale_price")).alias("sale_cents"), F.expr(t.in_stock("stock")).alias("in_stock"), live.alias("_live"))
     rows = rows.withColumn("cents", F.expr(t.effective_price("list_cents", "sale_cents", "_live"))).drop("_live")
