@@ -11,7 +11,8 @@ so vectors up to 1040 components; longer ones are taken in runs of components) g
     |q.c - sq*sc*Q.C| <= sq/2 * |c|_1 + sc/2 * |q|_1 + n/4 * sq*sc,
 and a pair whose upper bound lies under the query's k-th best lower bound in the tile cannot be among its k nearest
 there. The others are recomputed in double precision, component after component, so equal vectors get equal scores.
-The tiles' lists of k are merged by a heap of k for each query.
+A task merges the lists of k of a query block's tiles, and leaves out what the block has found k nearer of; the tasks'
+lists are merged by a heap of k for each query.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of different
 lengths are never compared; a null vec_id takes no part; rows that repeat a vec_id are separate candidates, though a
@@ -92,8 +93,10 @@ def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(x / scale[:, None]).astype(np.float32), scale
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of queries, vector ids, scores) that hold each query's k nearest among c, nearest first, ties to the smaller id."""
+def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, least: np.ndarray | float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of queries, vector ids, scores) that hold each query's k nearest among c, nearest first, ties to the smaller id.
+
+    least: of each query, a score under which nothing is wanted."""
     qi, qs = rounded(q)
     ci, cs = rounded(c)
     dim = q.shape[1]
@@ -105,7 +108,7 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     low = np.where(own, -np.inf, near - slack)
     m = low.shape[1]
     bar = np.partition(low, m - k, axis=1)[:, m - k] if m > k else np.full(len(q), -np.inf)
-    keep = (near + slack >= bar[:, None]) & ~own
+    keep = (near + slack >= np.maximum(bar, least)[:, None]) & ~own
     rows, cols = np.nonzero(keep)
     scores = np.zeros(len(rows))
     for d in range(dim):
@@ -117,6 +120,34 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     return rows[best], c_ids[cols[best]], scores[best]
 
 
+class Best:
+    """The k nearest that a block of queries has met so far, from tile to tile."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int):
+        self.q_ids, self.q, self.k = q_ids, q, k
+        self.least = np.full(len(q), -np.inf)
+        self.found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def meet(self, c_ids: np.ndarray, c: np.ndarray) -> None:
+        parts = [self.found]
+        for a in range(0, len(self.q), 256):
+            b = a + 256
+            at, vecs, scores = tile(self.q_ids[a:b], self.q[a:b], c_ids, c, self.k, self.least[a:b])
+            parts.append((at + a, vecs, scores))
+        at, vecs, scores = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((vecs, -scores, at))
+        at, vecs, scores = at[order], vecs[order], scores[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, np.arange(len(self.q)))[at]
+        self.least[at[nth == self.k - 1]] = scores[nth == self.k - 1]
+        keep = nth < self.k
+        self.found = at[keep], vecs[keep], scores[keep]
+
+    def batch(self) -> pa.RecordBatch:
+        at, vecs, scores = self.found
+        prints = np.asarray([xxhash.xxh3_64_intdigest(v.tobytes()) for v in self.q], np.uint64).view(np.int64)  # tell vectors of one id apart
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.q_ids[at], prints[at], vecs, scores)], ["query_id", "print", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest of every query row by inner product; is_query is a condition on the id, named "id"."""
     width = shuffle_width(vectors.sparkSession)
@@ -132,15 +163,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
     tiles = left.join(right.hint("shuffle_hash"), ["dim", "line", "column"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best = None, None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                yield best.batch()
+
         for batch in batches:
             for r in range(batch.num_rows):
                 dim, q_ids, q_data, ids, data = (batch.column(x)[r].as_py() for x in ("dim", "q_ids", "q_data", "ids", "data"))
-                q_ids, q = opened(q_ids, q_data, dim)
-                c_ids, c = opened(ids, data, dim)
-                prints = np.asarray([xxhash.xxh3_64_intdigest(v.tobytes()) for v in q], np.uint64).view(np.int64)  # tell vectors of one id apart
-                for a in range(0, len(q), 256):
-                    at, vecs, scores = tile(q_ids[a : a + 256], q[a : a + 256], c_ids, c, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[a + at], prints[a + at], vecs, scores)], ["query_id", "print", "vec_id", "score"])
+                if (dim, q_ids, q_data) != now:  # the tiles of one query block follow each other
+                    yield from told()
+                    now, best = (dim, q_ids, q_data), Best(*opened(q_ids, q_data, dim), k)
+                best.meet(*opened(ids, data, dim))
+        yield from told()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[tuple[int, int], list[tuple[float, int]]] = {}
