@@ -99,15 +99,15 @@ def said(d, x, pattern, value=None):
 
 @frame("x09_frame_helmet_attributes", lambda d: f"""WITH b AS ({description(d)}), r AS (
   SELECT id, 'shell' AS name, coalesce({said(d, "body", "carbone", "carbon")}, {said(d, "body", "polycarbonate", "polycarbonate")}) AS value FROM b UNION ALL SELECT id, 'standard', {said(d, "body", "22[.]06", "22.06").replace("body", "lower(body)")} FROM b
-  UNION ALL SELECT id, 'buckle', {said(d, "lower(body)", "double-d", "double D")} FROM b UNION ALL SELECT id, 'insert', {said(d, "body", "pinlock")} FROM b UNION ALL SELECT id, 'intercom', {said(d, "body", "intercom")} FROM b
+  UNION ALL SELECT id, 'buckle', {said(d, "lower(body)", "double-d", "double D")} FROM b UNION ALL SELECT id, 'insert', CASE WHEN {d.matches("body", "pinlock")} THEN 'supplied' END FROM b UNION ALL SELECT id, 'intercom', CASE WHEN {d.matches("body", "sans intercom")} THEN 'no' END FROM b
   UNION ALL SELECT id, 'weight', CASE WHEN {d.extract("body", "([0-9]{{4}}) g", 1).replace("{{4}}", "{4}")} <> '' THEN '1350' END FROM b UNION ALL SELECT id, 'vents', {d.extract("body", "([0-9]+) ventilations", 1)} FROM b) SELECT id, name, value FROM r WHERE value IS NOT NULL""")
 def x09(spark, sf_dir):
     return extract.attributes(run_text(spark, sf_dir, description(SparkDialect())), "id", "body", "helmet")
 
 
 @frame("x10_frame_jacket_attributes", lambda d: f"""WITH b AS ({description(d)}), r AS (
-  SELECT id, 'material' AS name, CASE WHEN {d.matches("body", "cuir")} THEN 'leather' WHEN {d.matches("body", "textile")} THEN 'textile' END AS value FROM b UNION ALL SELECT id, 'waterproof', {said(d, "body", "impermeable")} FROM b UNION ALL SELECT id, 'back protector', {said(d, "body", "dorsale")} FROM b
-  UNION ALL SELECT id, 'elbow protectors', {said(d, "body", "coudes")} FROM b UNION ALL SELECT id, 'pockets', CASE WHEN CAST({d.extract("body", "([0-9]+) poches", 1)} AS INT) <= 20 THEN {d.extract("body", "([0-9]+) poches", 1)} END FROM b) SELECT id, name, value FROM r WHERE value IS NOT NULL""")
+  SELECT id, 'material' AS name, CASE WHEN {d.matches("body", "cuir")} THEN 'leather' WHEN {d.matches("body", "textile")} THEN 'textile' END AS value FROM b UNION ALL SELECT id, 'waterproof', {said(d, "body", "impermeable")} FROM b UNION ALL SELECT id, 'back protector', CASE WHEN {d.matches("body", "pas de dorsale")} THEN 'no' END FROM b
+  UNION ALL SELECT id, 'ventilation', 'yes' FROM b UNION ALL SELECT id, 'elbow protectors', 'supplied' FROM b UNION ALL SELECT id, 'pockets', CASE WHEN CAST({d.extract("body", "([0-9]+) poches", 1)} AS INT) <= 20 THEN {d.extract("body", "([0-9]+) poches", 1)} END FROM b) SELECT id, name, value FROM r WHERE value IS NOT NULL""")
 def x10(spark, sf_dir):
     return extract.attributes(run_text(spark, sf_dir, description(SparkDialect())), "id", "body", "jacket")
 
@@ -122,9 +122,9 @@ def category_frame(name: str, category: str, rules: dict[str, tuple[tuple[str, s
     frame(name, oracle)(lambda spark, sf_dir: extract.attributes(run_text(spark, sf_dir, description(SparkDialect())), "id", "body", category))
 
 
-category_frame("x11_frame_glove_attributes", "glove", {"material": (("cuir", "leather"), ("textile", "textile")), "waterproof": (("impermeable", None),)})
-category_frame("x12_frame_trouser_attributes", "trousers", {"material": (("cuir", "leather"), ("textile", "textile")), "waterproof": (("impermeable", None),)})
-category_frame("x13_frame_boot_attributes", "boots", {"material": (("cuir", "leather"),), "waterproof": (("impermeable", None),)})
+category_frame("x11_frame_glove_attributes", "glove", {"material": (("cuir", "leather"), ("textile", "textile")), "waterproof": (("impermeable", None),), "ventilation": (("ventilations", None),)})
+category_frame("x12_frame_trouser_attributes", "trousers", {"material": (("cuir", "leather"), ("textile", "textile")), "waterproof": (("impermeable", None),), "ventilation": (("ventilations", None),)})
+category_frame("x13_frame_boot_attributes", "boots", {"material": (("cuir", "leather"), ("textile", "textile")), "waterproof": (("impermeable", None),), "ventilation": (("ventilations", None),)})
 
 
 @frame("x14_frame_merge_readings", """WITH r AS (SELECT l_partkey AS product, CASE l_linenumber % 2 WHEN 0 THEN 'safety' ELSE 'shell' END AS name, CASE l_suppkey % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'web' ELSE 'feed' END AS source, concat('v', CAST(l_quantity AS INT) % 3) AS value FROM lineitem),

@@ -105,7 +105,7 @@ def test_components(spark):
 def test_extraction(spark):
     df = spark.createDataFrame([(1, "Casque en carbone, 1250 g, sans intercom, <b>Pinlock</b> fourni"), (2, "rien"), (3, None)], "id int, body string")
     got = {(r.id, r.name): r.value for r in extract.attributes(df, "id", "body", "helmet").collect()}
-    assert got == {(1, "shell"): "carbon", (1, "weight"): "1250", (1, "intercom"): "no", (1, "insert"): "yes"}
+    assert got == {(1, "shell"): "carbon", (1, "weight"): "1250", (1, "intercom"): "no", (1, "insert"): "supplied"}
     read = spark.createDataFrame([(1, "shell", "a", "web"), (1, "shell", "b", "manual"), (1, "norm", "x", "web"), (1, "norm", "y", "feed")], "id int, name string, value string, source string")
     assert rows(extract.merge_readings(read, "id", ["manual", "web"], ["norm"]), "name", "value", "source") == [("shell", "b", "manual")]
 
@@ -193,3 +193,33 @@ def test_views_of_the_session_stay(spark):
     plans.queries()["h02_brand_alias"](spark, SMALL).count()
     assert spark.table("part").count() == 3
     spark.catalog.dropTempView("part")
+
+
+READ = {
+    "helmet": {"Casque fibre, prêt à recevoir un intercom. Écran solaire; ventilations; intérieur amovible; double D; ECE 22.05; pinlock fourni; 2500 g": {"shell": "fibre", "intercom": "prepared", "sun visor": "yes", "liner": "yes", "buckle": "double D", "standard": "22.05", "insert": "supplied"}, "Écran de rechange carbone": {}},
+    "jacket": {
+        "Blouson cuir femme été. EN 17092 : AA. Coques coudes et épaules. Dorsale en option. Poche dorsale. Membrane Gore-Tex laminé, étanche. Doublure thermique amovible. Aérations, serrage à la taille, zip de liaison, réfléchissant. Touring": {
+            "material": "leather", "sex": "woman", "season": "summer", "en 17092": "yes", "approval": "AA", "elbow protectors": "supplied", "shoulder protectors": "supplied", "back protector": "prepared", "back pocket": "yes", "membrane": "gore-tex",
+            "gore-tex": "laminated", "waterproof": "yes", "thermal liner": "yes", "removable liner": "yes", "ventilation": "yes", "adjusters": "yes", "zip to trousers": "yes", "reflective": "yes", "riding": "touring"},
+        "Blouson textile. Doublure thermique en option. Sans membrane": {"material": "textile"},
+    },
+    "glove": {"Gants cuir et textile homme hiver: EN 13594 niveau 1 KP; paume en cuir; coque carbone; slider; renfort paume; manchette longue; tactile; chauffants; scaphoïde": {"material": "leather and textile", "sex": "man", "season": "winter", "approval": "EN 13594", "level": "1", "kp": "yes", "palm": "leather", "shell": "carbon", "knuckles": "yes", "palm slider": "yes", "palm padding": "yes", "cuff": "long", "touch screen": "yes", "heated": "yes", "scaphoid": "yes"}},
+    "trousers": {"Jean slim denim. Renforts en kevlar. Coques genoux niveau 1; emplacement hanches; genouillères réglables. Classe A": {"kind": "jeans", "cut": "slim", "material": "denim", "named fabric": "kevlar", "aramid": "yes", "aramid extent": "zones", "knee protectors": "supplied", "knee level": "1", "hip protectors": "prepared", "adjustable knees": "yes", "approval": "A"}},
+    "boots": {"Bottes cuir montantes. EN 13634:2017 2 1 2 2. Malléoles; sélecteur; tibia; lacets et zip; semelle antidérapante; bout de pied": {"material": "leather", "kind": "boots", "height": "high", "approval": "EN 13634", "height index": "2", "abrasion index": "1", "cut index": "2", "rigidity index": "2", "ankle protectors": "supplied", "shift pad": "yes", "shin protectors": "supplied", "closing": "laces and zip", "anti slip sole": "yes"}, "Chaussettes cuir imperméables": {}},
+}
+
+
+@pytest.mark.parametrize("category", READ)
+def test_attributes_of_a_category(spark, category):
+    texts = list(READ[category])
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    got = {}
+    for r in extract.attributes(df, "id", "body", category).collect():
+        got.setdefault(texts[r.id], {})[r.name] = r.value
+    assert {t: got.get(t, {}) for t in texts} == READ[category]
+
+
+def test_cautious_merge(spark):
+    read = spark.createDataFrame([(1, "back protector", "supplied", "manual"), (1, "back protector", "prepared", "web"), (1, "material", "leather", "web"), (1, "material", "textile", "manual")], "id int, name string, value string, source string")
+    got = {r.name: r.value for r in extract.merge_readings(read, "id", ["manual", "web"], cautious=["back protector"]).collect()}
+    assert got == {"back protector": "prepared", "material": "textile"}
