@@ -287,6 +287,20 @@ def trigram_similarity(a, b, d=SPARK):
     return f"({d.size(d.intersect(x, y))} / CAST({d.size(d.union(x, y))} AS DOUBLE))"
 
 
+def strict_word_similarity(typed, text, d=SPARK):
+    """The best trigram similarity of a typed word with a run of whole words of a text (its normal form): 0 to 1."""
+    words = d.split(text, " ")
+    n = f"CAST({d.size('ws')} AS INT)"
+    run = "slice(ws, i, j - i + 1)" if d.spark else "list_slice(ws, i, j)"
+    of_run = d.distinct(f"flatten({d.map(run, 'v', trigrams('v', d))})")
+    both, whole = d.size(d.intersect("tq", of_run)), d.size(d.union("tq", of_run))
+    best = d.map(d.sequence("1", n), "i", d.map(d.sequence("i", n), "j", f"{both} / CAST({whole} AS DOUBLE)"))
+    top = f"{'array_max' if d.spark else 'list_max'}(flatten({best}))"
+    # the words and the typed word's trigrams are bound once, as single elements of an array
+    bound = d.map(d.array(words), "ws", d.item(d.map(d.array(trigrams(typed, d)), "tq", top), 1))
+    return f"coalesce({d.item(bound, 1)}, 0.0)"
+
+
 def near_word(a, b, d=SPARK):
     """Damerau-Levenshtein distance of one at most: one edit, or two neighbours swapped."""
     swapped = f"exists(sequence(1, char_length({a}) - 1), i -> concat(substring({a}, 1, i - 1), substring({a}, i + 1, 1), substring({a}, i, 1), substring({a}, i + 2)) = {b})"

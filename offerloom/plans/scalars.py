@@ -127,10 +127,16 @@ plan("h28_unaccent")(lambda d: f"SELECT doc_id, md5({t.unaccent('text', d)}) AS
 plan("h29_search_text")(lambda d: f"SELECT doc_id, md5({t.search_text('text', d)}) AS search_md5 FROM documents")
 
 
+#: What a visitor typed, and the likeness above which a word counts as found.
+TYPED, FOUND_AT = ("widge", "red"), 0.5
+
+
 @plan("h30_trigram_search")
 def _(d):
-    best = f"max({t.trigram_similarity('w', chr(39) + 'wigdet' + chr(39), d)})"
-    return f"WITH w AS (SELECT p_partkey, {d.unnest(d.split('p_name', ' '))} AS w FROM part) SELECT p_partkey, {best} AS similarity FROM w GROUP BY p_partkey HAVING {best} >= 0.2"
+    """Titles in which every typed word is found, by the sum of their likenesses."""
+    each = ", ".join(f"{t.strict_word_similarity(f"'{w}'", 'title', d)} AS s{k}" for k, w in enumerate(TYPED))
+    every, total = (x.join(f"s{k}{y}" for k in range(len(TYPED))) for x, y in ((" AND ", f" > {FOUND_AT}"), (" + ", "")))
+    return f"WITH n AS (SELECT p_partkey, {t.norm_text('p_name', d)} AS title FROM part), s AS (SELECT p_partkey, {each} FROM n) SELECT p_partkey, {total} AS similarity FROM s WHERE {every}"
 
 
 plan("h31_near_words")(lambda d: f"WITH w AS (SELECT DISTINCT {d.unnest(d.split('p_name', ' '))} AS w FROM part), typed(q) AS (VALUES ('rde'), ('rnig'), ('wiget'), ('blolt'), ('smal')) SELECT q, w FROM typed JOIN w ON {t.near_word('q', 'w', d)}")

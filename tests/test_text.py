@@ -56,3 +56,11 @@ def test_sizes(spark, d):
 @pytest.mark.parametrize("d", [SparkDialect(), OracleDialect()], ids=["spark", "oracle"])
 def test_people(spark, d):
     assert answers(spark, [lambda d, g=g: t.genre_age(*map(quoted, g), d) for g, _ in PEOPLE])(d) == [want for _, want in PEOPLE]
+
+
+@pytest.mark.parametrize("d", [SparkDialect(), OracleDialect()], ids=["spark", "oracle"])
+def test_strict_word_similarity(spark, d):
+    """By the definition: shared three-letter pieces over all pieces of the typed word and the best run of whole words."""
+    cases = [("widget", "red widget", 1.0), ("widge", "a widget b", 5 / 8), ("ara", "ostara vest", 2 / 9), ("blanky", "ixon blanky", 1.0), ("x", "", 0.0)]
+    got = answers(spark, [lambda d, q=q, x=x: t.strict_word_similarity(f"'{q}'", f"'{x}'", d) for q, x, _ in cases])(d)
+    assert [round(float(g), 6) for g in got] == [round(w, 6) for _, _, w in cases]
