@@ -7,7 +7,8 @@ and the pages' rows are shuffled, and that join's keys can be split where one pa
 with one member for each record, written under a temporary name and renamed, so a repeated task is harmless.
 
 Reading: archives are streamed record by record. Records meet on the id of the capture's main record (their own for a
-response or revisit, WARC-Concurrent-To for the others), and each capture becomes one nested row.
+response or revisit, WARC-Concurrent-To for the others), and each capture becomes one nested row; what a revisit refers
+to is found through WARC-Refers-To among the captures.
 
 Defined cases: a null html is an empty payload; a null url leaves out the target header; control characters of a url
 are percent-encoded; rows that repeat a page_id and its payload share their record ids, and each gives its own
@@ -78,7 +79,7 @@ def capture(page: object, url: str | None, html: str, digest: str, refers: int |
     else:
         first = record([("WARC-Type", "revisit"), ("WARC-Record-ID", main), *shared, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn("main", refers, digest)), ("WARC-Payload-Digest", sha1), ("Content-Type", "application/http;msgtype=response")], http)
     ask = record([("WARC-Type", "request"), ("WARC-Record-ID", _urn("request", page, digest)), ("WARC-Concurrent-To", main), *shared, ("Content-Type", "application/http;msgtype=request")], f"GET {path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode())
-    fields = "".join(f"{k}: {v}\r\n" for k, v in (("page-id", page), ("payload-bytes", len(payload)), ("refers-page-id", refers)) if v is not None)
+    fields = "".join(f"{k}: {v}\r\n" for k, v in (("page-id", page), ("payload-bytes", len(payload))) if v is not None)
     about = record([("WARC-Type", "metadata"), ("WARC-Record-ID", _urn("metadata", page, digest)), ("WARC-Concurrent-To", main), *shared, ("Content-Type", "application/warc-fields")], fields.encode())
     return [first, ask, about]
 
@@ -139,7 +140,7 @@ def parsed(raw: bytes) -> dict:
         out["payload_digest"] = base64.b32decode(h["warc-payload-digest"].split(":", 1)[1]).hex()
     if out["type"] == "metadata":
         fields = dict(line.split(": ", 1) for line in block.decode().split("\r\n") if ": " in line)
-        out |= {"page_id": int(fields["page-id"]) if "page-id" in fields else None, "payload_bytes": int(fields["payload-bytes"]), "refers_to": fields.get("refers-page-id")}
+        out |= {"page_id": int(fields["page-id"]) if "page-id" in fields else None, "payload_bytes": int(fields["payload-bytes"])}
     return out
 
 
@@ -167,24 +168,30 @@ def read_records(spark: SparkSession, folder: str, names: list[str]) -> DataFram
 
 
 def transactions(records: DataFrame) -> DataFrame:
-    """One nested row for each capture: its main record joined with its request and metadata through WARC-Concurrent-To."""
+    """One nested row for each capture: its main record joined with its request and metadata through WARC-Concurrent-To, and
+    with the capture that it revisits (original) through WARC-Refers-To. Records are read more than once: a written table."""
     main = records.where("type in ('response', 'revisit')").select(F.col("record_id").alias("capture_id"), F.struct(*[f.split()[0] for f in RECORD.split(", ")]).alias("main"))
     sides = records.where("concurrent_to is not null").groupBy(F.col("concurrent_to").alias("of")).agg(
-        *[F.min(F.when(F.col("type") == kind, F.struct("record_id", "target", "date", "page_id", "payload_bytes", F.col("refers_to").cast("long").alias("refers_page"), "block_bytes", "archive", "at"))).alias(kind) for kind in ("request", "metadata")]
+        *[F.min(F.when(F.col("type") == kind, F.struct("record_id", "target", "date", "page_id", "payload_bytes", "block_bytes", "archive", "at"))).alias(kind) for kind in ("request", "metadata")]
     )
-    # by merge: the planner takes the size of a few archive names for that of their records, and would broadcast them
-    return main.hint("merge").join(sides, F.col("capture_id") == F.col("of"), "left").drop("of")
+    captures = main.join(sides, F.col("capture_id") == F.col("of"), "left").drop("of")
+    # the captures that others refer to, each once, so that one which very many revisit is one row of the join's side
+    wanted = records.where("type = 'revisit'").select(F.col("refers_to").alias("wanted")).distinct()
+    known = captures.select("capture_id", F.col("metadata.page_id").alias("page_id")).join(wanted, F.col("capture_id") == F.col("wanted"), "left_semi")
+    known = written(known.groupBy("capture_id").agg(F.min("page_id").alias("page_id")).select(F.col("capture_id").alias("known_id"), "page_id"), "referred-captures")
+    joined = captures.join(known, F.col("main.refers_to") == F.col("known_id"), "left")
+    return joined.select("capture_id", "main", "request", "metadata", F.when(F.col("known_id").isNotNull(), F.struct(F.col("known_id").alias("record_id"), "page_id")).alias("original"))
 
 
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
-    captures = transactions(read_records(spark, folder, write_archives(table(spark, sf_dir, "pages"), folder)))
+    captures = transactions(written(read_records(spark, folder, write_archives(table(spark, sf_dir, "pages"), folder)), "warc-records"))
     return captures.select(
         F.col("metadata.page_id").alias("page_id"),
         F.coalesce("main.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"),
         F.col("main.payload_digest").alias("payload_digest"),
         F.col("main.type").alias("record_type"),
-        F.col("metadata.refers_page").alias("refers_to"),
+        F.col("original.page_id").alias("refers_to"),
     )
 
 

@@ -264,7 +264,7 @@ def test_warc(spark):
     folder = scratch(spark, "test-warc")
     records = warc.read_records(spark, folder, warc.write_archives(table, folder))
     assert records.count() == 3 * len(pages)
-    got = Counter((r.metadata.page_id, r.main.type, r.metadata.refers_page, r.main.payload_digest, r.main.payload_bytes or r.metadata.payload_bytes) for r in warc.transactions(records).collect())
+    got = Counter((r.metadata.page_id, r.main.type, r.original and r.original.page_id, r.main.payload_digest, r.main.payload_bytes or r.metadata.payload_bytes) for r in warc.transactions(records).collect())
     keeper = {}
     for p, _, h in pages:
         if h and len(h.encode()) >= 1000:
