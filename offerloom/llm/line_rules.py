@@ -79,7 +79,8 @@ def judged(docs: DataFrame, least_docs: int = LEAST_DOCS, host_percent: int = HO
     removed = boilerplate_words(docs, least_docs, host_percent).selectExpr("doc_id as d", "host as h", "print as p", "removed_words", "gone")
     rows = measures(docs).join(removed, F.expr("doc_id <=> d and host = h and print = p"), "left")
     rows = rows.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
-    return rows.selectExpr("*", f"not base_failed and 100 * (n_words - removed_words) >= {keep_percent} * n_words as kept", f"case when gone is null then row.text else {_CLEAN} end as clean_text")
+    # one expression of both sides of the join: a filter on it must not move below, where the measures would be worked out anew
+    return rows.selectExpr("*", f"case when base_failed then false else 100 * (n_words - removed_words) >= {keep_percent} * n_words end as kept", f"case when gone is null then row.text else {_CLEAN} end as clean_text")
 
 
 def line_rules(docs: DataFrame, least_docs: int = LEAST_DOCS, host_percent: int = HOST_PERCENT, keep_percent: int = KEEP_PERCENT) -> DataFrame:
