@@ -33,9 +33,9 @@ def test_near_dedup(spark, docs):
 
 
 def test_quality_classifier(spark, docs, tmp_path):
-    spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    good = [(k, prose(100 + k), "en", "s", 1) for k in range(1, 40, 2)]
-    bad = [(k, " ".join(w.upper() + "!!" for w in prose(200 + k).split()), "en", "s", 1) for k in range(0, 40, 2)]
+    spark.createDataFrame([(k, k % 2, 0) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = [(k, prose(1000 + k), "en", "s", 1) for k in range(1, 300, 2)]
+    bad = [(k, " ".join(w.upper() + "!!" for w in prose(2000 + k).split()), "en", "s", 1) for k in range(0, 300, 2)]
     more = [(None, prose(300), "en", "s", 1), (None, bad[1][1], "en", "s", 1), (1, bad[0][1], "en", "s", 1)]
     table = spark.createDataFrame(good + bad + more, DOC).withColumn("text_print", F.lit("clash"))
     got = pipeline.quality_classifier(spark, table, str(tmp_path))
