@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm.common import table, written
@@ -26,12 +26,17 @@ from offerloom.llm.packing import pack
 from offerloom.llm.subword import tokenizer_path
 
 
+def _rows(docs: DataFrame, key: Column) -> DataFrame:
+    """Each row as one value beside its key, so that no column of it can clash with ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose compression score, which is of the text alone, is under the threshold."""
-    print_ = F.xxhash64(F.coalesce("text", F.lit("")))
     scores = quality_scores(docs, table(spark, sf_dir, "labels"), text_print=True)
-    gone = written(scores.where(F.col("score") < THRESHOLD).select(F.col("text_print").alias("gone_print")).distinct(), "low-quality")
-    return docs.join(gone, print_ == F.col("gone_print"), "left_anti").select(*docs.columns)
+    gone = written(scores.where(F.col("score") < THRESHOLD).select(F.col("text_print").alias("gone")).distinct(), "low-quality")
+    rows = _rows(docs, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.join(gone, F.expr("key = gone"), "left_anti").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +49,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # a text without an id stands for itself, under a number of its own beyond all ids
     key = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
     found = near_duplicates(docs.select(key.alias("doc_id"), "text"), words=5, percent=80)
-    gone = written(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "duplicates")
-    left = docs.join(gone, key == F.col("gone_id"), "left_anti").select(*docs.columns)
-    again = written(left.groupBy(key.alias("again_id")).count().where("count > 1").select("again_id"), "repeated-ids")
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
+    left = _rows(docs, key).join(gone, F.expr("key = gone"), "left_anti")
+    again = written(left.groupBy("key").count().where("count > 1").select(F.col("key").alias("again")), "repeated-ids")
     if again.isEmpty():
-        return left
+        return left.select("row.*")
     # of rows that repeat an id, the least; only these are grouped
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    once = left.select(row, key.alias("row_id")).join(again, F.col("row_id") == F.col("again_id"), "left_semi").groupBy("row_id").agg(F.min("row").alias("row")).select("row.*")
-    return left.join(again, key == F.col("again_id"), "left_anti").select(*docs.columns).union(once)
+    once = left.join(again, F.expr("key = again"), "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    return left.join(again, F.expr("key = again"), "left_anti").select("row.*").union(once.select("row.*"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
