@@ -35,14 +35,20 @@ def test_pipeline_is_its_stages_by_hand(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     docs = table(spark, SMALL, "documents")
     good = {r.doc_id for r in quality_scores(docs, table(spark, SMALL, "labels")).where("score >= 0.3").collect()}
+    rows_of = docs.where(F.col("doc_id").isin(list(good))).orderBy("doc_id").collect()
+    plain = {r.doc_id: [x for x in (" ".join(line.lower().split()) for line in (r.text or "").split("\n")) if x] for r in rows_of}
+    sets = {(r.source, frozenset(plain[r.doc_id])) for r in rows_of if plain[r.doc_id]}
+    hosts, lines = Counter(h for h, _ in sets), Counter((h, x) for h, lines_of in sets for x in lines_of)
     kept = {}
-    for r in docs.where(F.col("doc_id").isin(list(good))).orderBy("doc_id").collect():
-        words = r.text.encode()
+    for r in rows_of:
+        words = (r.text or "").encode()
         split = words.split()
         count = Counter(tuple(split[k : k + 8]) for k in range(len(split) - 7))
         covered = {k + j for k in range(len(split) - 7) if count[tuple(split[k : k + 8])] > 1 for j in range(8)}
-        if len(split) >= 20 and 100 * len(covered) <= 30 * len(split):
-            low = words.lower().split()
+        gone = {x for x in plain[r.doc_id] if lines[r.source, x] > 5 and 100 * lines[r.source, x] > 2 * hosts[r.source]}
+        removed = sum(len(x.split()) for x in plain[r.doc_id] if x in gone)
+        if len(split) >= 20 and 100 * len(covered) <= 30 * len(split) and 100 * (len(split) - removed) >= 66 * len(split):
+            low = "\n".join(x for x in plain[r.doc_id] if x not in gone).encode().lower().split()
             kept[r.doc_id] = {tuple(low[k : k + 5]) for k in range(len(low) - 4)}
     ids, group = sorted(kept), {i: i for i in kept}
     for a in ids:
