@@ -84,7 +84,7 @@ _NAMED = r"^(licen[cs]e|copying|notice)([._-].*)?$"
 
 
 def licence_blocks(files: DataFrame) -> DataFrame:
-    """(path, file_words, block): the licence blocks of every file that has any, a row for each."""
+    """(path, file_words, block, block_words, line): the licence blocks (line, and its hash) of every file, a row for each."""
 
     def marked(x: str) -> str:
         return "(" + " or ".join(f"contains({x}, '{m}')" for m in MARKS) + ")"
@@ -94,36 +94,37 @@ def licence_blocks(files: DataFrame) -> DataFrame:
     tokens = f"array_distinct(regexp_extract_all(l, '{_TOKENS}', 0))"
     of_licences = f"(size({tokens}) >= {LEAST_TOKENS} and 100 * size(array_intersect({tokens}, array({_WORDS}))) >= {VOCABULARY_SHARE} * size({tokens}))"
     runs = f"split(array_join(transform(lines, l -> case when {marked('l')} or {of_licences} then l else '\\n' end), ' '), '\\n')"
-    return rows.selectExpr("path", "file_words", f"explode(filter(transform({runs}, b -> trim(b)), b -> {marked('b')})) as line")
+    blocks = rows.selectExpr("path", "file_words", f"explode(filter(transform({runs}, b -> trim(b)), b -> {marked('b')})) as line")
+    return blocks.selectExpr("path", "file_words", "md5(line) as block", "length(line) - length(replace(line, ' ', '')) + 1 as block_words", "line")
 
 
 def line_licences(lines: DataFrame, min_cosine: float) -> DataFrame:
-    """(line, licence, cosine) of each distinct block (line) that reaches the cosine."""
+    """(block, licence, cosine) of each distinct block that reaches the cosine; its tokens carry its hash, not its text."""
     spark = lines.sparkSession
-    distinct = written(lines.groupBy("line").agg(F.count("*").alias("n")).withColumn("terms", F.expr(f"regexp_extract_all(line, '{_TOKENS}', 0)")), "licence-lines")
+    distinct = written(lines.groupBy("block").agg(F.count("*").alias("n"), F.min("line").alias("line")).selectExpr("block", "n", f"regexp_extract_all(line, '{_TOKENS}', 0) as terms"), "licence-lines")
     frequency = distinct.selectExpr("explode(array_distinct(terms)) as term", "n").groupBy("term").agg(F.sum("n").alias("df"))
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     idf = written(frequency.crossJoin(total).selectExpr("term", "ln((1 + total) / (1 + df)) + 1 as idf", "total"), "licence-terms")
     whole = idf.agg(F.coalesce(F.max("total"), F.lit(0)).alias("whole"))
-    counts = distinct.selectExpr("line", "explode(terms) as term").groupBy("line", "term").agg(F.count("*").alias("tf"))
-    weights = written(counts.join(idf, "term").selectExpr("line", "term", "tf * idf as w"), "licence-weights")
+    counts = distinct.selectExpr("block", "explode(terms) as term").groupBy("block", "term").agg(F.count("*").alias("tf"))
+    weights = written(counts.join(idf, "term").selectExpr("block", "term", "tf * idf as w"), "licence-weights")
     templates = spark.sql(f"SELECT * FROM VALUES {_VALUES} AS t(template, licence, text)")
     wanted = templates.selectExpr("template", "licence", f"explode(regexp_extract_all(text, '{_TOKENS}', 0)) as term").groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
     wanted = wanted.join(idf, "term", "left").crossJoin(whole).selectExpr("template", "licence", "term", "tf * coalesce(idf, ln(1 + whole) + 1) as t")
     norms = wanted.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_norm"))
-    lengths = weights.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
-    dots = weights.join(F.broadcast(wanted), "term").groupBy("line", "template", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))  # the templates are constants
-    scored = dots.join(lengths, "line").join(F.broadcast(norms), "template").selectExpr("line", "licence", "round(dot / (w_norm * t_norm), 6) as cosine").where(f"cosine >= {min_cosine}")
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("x"))
-    return best.selectExpr("line", "x.licence as licence", "-x.c as cosine")
+    lengths = weights.groupBy("block").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("w_norm"))
+    dots = weights.join(F.broadcast(wanted), "term").groupBy("block", "template", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))  # the templates are constants
+    scored = dots.join(lengths, "block").join(F.broadcast(norms), "template").selectExpr("block", "licence", "round(dot / (w_norm * t_norm), 6) as cosine").where(f"cosine >= {min_cosine}")
+    best = scored.groupBy("block").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("x"))
+    return best.selectExpr("block", "x.licence as licence", "-x.c as cosine")
 
 
 def license_scan(files: DataFrame, min_cosine: float = MIN_COSINE, file_share: int = FILE_SHARE) -> DataFrame:
     """(path, own_license, cosine, license, inherited_from, found_licenses) of every file (path, text)."""
     lines = written(licence_blocks(files), "licence-occurrences")
     licensed = written(line_licences(lines, min_cosine), "line-licences")
-    found = lines.join(licensed, lines["line"] == licensed["line"]).select("path", "file_words", lines["line"], "licence", "cosine")
-    own = found.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("x"), F.max("file_words").alias("file_words"), F.sum(F.expr("length(line) - length(replace(line, ' ', '')) + 1")).alias("words"), F.concat_ws(",", F.array_sort(F.collect_set("licence"))).alias("found_licenses"))
+    found = lines.join(licensed, "block").select("path", "file_words", "block_words", "licence", "cosine")
+    own = found.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("x"), F.max("file_words").alias("file_words"), F.sum("block_words").alias("words"), F.concat_ws(",", F.array_sort(F.collect_set("licence"))).alias("found_licenses"))
     own = written(own.selectExpr("path as own_path", "x.licence as own_license", "-x.c as cosine", "file_words", "words", "found_licenses"), "own-licences")
     speaks = own.where(f"lower(element_at(split(own_path, '/'), -1)) rlike '{_NAMED}' or 100 * words >= {file_share} * file_words")
     folders = speaks.selectExpr("regexp_replace(own_path, '/[^/]*$', '') as folder", "own_license as folder_license", "own_path", "cosine as c")
