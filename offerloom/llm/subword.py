@@ -288,7 +288,7 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
 
-def runs(batches: Iterable[pa.RecordBatch], size: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+def runs(batches: Iterable[pa.RecordBatch], size: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of batches in runs of about so many bytes, for many(); a longer row is a run of its own."""
     held, room = [], size
     for batch in batches:
