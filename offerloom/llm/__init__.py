@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("warc", "line_rules", "compress_quality", "packing", "token_files", "licenses", "minhash", "word_table", "attention_lm", "ann", "hard_negatives")
+MODULES = ("warc", "line_rules", "compress_quality", "packing", "token_files", "licenses", "minhash", "word_table", "attention_lm", "ann", "hard_negatives", "reply_trees", "fill_middle")
 
 
 def queries() -> dict:

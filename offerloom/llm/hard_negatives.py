@@ -59,7 +59,7 @@ class Pivots:
         self.most = most
         self.of: dict[int, np.ndarray] = {}
         for dim in {len(v) for v in picked}:
-            own = np.asarray([v for v in picked if len(v) == dim], np.float64).reshape(-1, dim)
+            own = np.asarray([v for v in picked if len(v) == dim], np.float64).reshape(sum(len(v) == dim for v in picked), dim)
             apart = np.full(len(own), np.inf)
             order = []
             while len(order) < min(count, len(own)):
