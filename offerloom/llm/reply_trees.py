@@ -25,6 +25,8 @@ text; rows that repeat a turn are turns each; rows with a null conv_id are one c
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,18 +53,21 @@ def branches(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     now = messages.join(known, F.expr("parent = p"), "left").select("id", F.col("p").alias("up"), F.lit(1).alias("hops"), F.col("score").alias("sum"), "score")
     # up is null once a message's pointer has passed its root; root is then the last message of the way
     now = now.select("id", "up", F.when(F.col("up").isNull(), F.col("id")).alias("root"), F.col("hops").cast("long").alias("hops"), "sum")
-    pointers, left = [], -1
+    # a message whose pointer has passed its root is done: only the others go on, and look up where the one come to has got
+    done, pointers, left = [], [], -1
     while True:
         now = written(now, "reply-pointers")
         still = now.where("up is not null").count()
+        done.append(now.where("up is null"))
         if still == left or still == 0:  # as many as before: what is left never comes to a root
             break
-        pointers.append(now.where("up is not null").select("id", "up"))
+        going = now.where("up is not null")
+        pointers.append(going.select("id", "up"))
         left = still
-        far = now.select(F.col("id").alias("o_id"), F.col("up").alias("o_up"), F.col("root").alias("o_root"), F.col("hops").alias("o_hops"), F.col("sum").alias("o_sum"))
-        met = now.join(far, F.expr("up = o_id"), "left")
-        now = met.selectExpr("id", "o_up as up", "coalesce(root, o_root) as root", "hops + coalesce(o_hops, 0L) as hops", "sum + coalesce(o_sum, 0D) as sum")
-    whole = now.where("up is null and root is not null").select(F.col("id").alias("leaf"), "root", "hops", "sum")
+        far = functools.reduce(DataFrame.union, [going, *done]).select(F.col("id").alias("o_id"), F.col("up").alias("o_up"), F.col("root").alias("o_root"), F.col("hops").alias("o_hops"), F.col("sum").alias("o_sum"))
+        now = going.join(far, F.expr("up = o_id")).selectExpr("id", "o_up as up", "o_root as root", "hops + o_hops as hops", "sum + o_sum as sum")
+    whole = functools.reduce(DataFrame.union, done)
+    whole = whole.select(F.col("id").alias("leaf"), "root", "hops", "sum")
     inner = messages.where("parent is not null").select(F.col("parent").alias("p")).distinct()
     return whole.join(inner, F.expr("leaf = p"), "left_anti"), pointers
 
