@@ -162,23 +162,27 @@ def q38(spark, sf_dir):
 
 
 _DAY = "o_orderkey % 28 + 1"
+_NAME = "concat('MOTO', o_orderkey % 90 + 10)"
+#: What pages write of a code, by the remainder of their id: seven ways that lead to one, then words and offers that are none.
+_WAYS = (
+    f"concat('CODE ', {_NAME}, ' - ACTIF -', o_orderkey % 50 + 10, '%')", "'-20 % avec le code TVA ici'", f"concat('rien de mieux avec le code ', {_NAME})", f"concat('code promo : ', {_NAME}, ' -', o_orderkey % 50 + 10, '%')", f"concat('le code : ', {_NAME})", f"concat('saisissez le code ', {_NAME})",
+    f"concat('CODE ', {_NAME}, ' ici')", "'CODE POSTAL'", f"concat('CODE ', {_NAME}, ' inactif')", f"concat('CODE ', {_NAME}, ' GANTS ET CASQUES')", f"concat('inscription et rabais avec le code ', {_NAME})", f"concat('offre terminée avec le code ', {_NAME})", "'Code Promo CITROUILLE puis -20 % avec le code TVA ici'", "'CODE SUPER et CODE 2026'",
+)
 #: Pages with a code, its validity in one of five forms on either side of it, an older one far above, and conditions.
 PROMO = f"""SELECT o_orderkey AS page_id, concat('<p>Offre &amp; remise du 01/01/2020 au 02/01/2020</p> ', repeat('mot ', 80), CASE o_orderkey % 5 WHEN 1 THEN concat('valable jusqu au : 2024-02-', lpad(CAST({_DAY} AS VARCHAR(2)), 2, '0'), ' ') WHEN 3 THEN concat('du 01/02/2024 au ', {_DAY}, '/02/24 ') ELSE '' END,
-  CASE o_orderkey % 3 WHEN 0 THEN concat('code promo : MOTO', o_orderkey % 90 + 10, ' -', o_orderkey % 50 + 10, '%') WHEN 1 THEN concat('avec SOLDE', o_orderkey % 9 + 1, ' ici') ELSE 'HTTP RGPD' END,
+  CASE o_orderkey % {len(_WAYS)} {" ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_WAYS))} END,
   CASE o_orderkey % 5 WHEN 0 THEN concat(' jusqu au ', {_DAY}, '/2/2024') WHEN 2 THEN concat(' du 1er février au ', {_DAY}, ' février') WHEN 4 THEN concat(' jusqu au jeudi ', {_DAY}, ' févr') ELSE '' END,
   CASE WHEN o_orderkey % 2 = 0 THEN ' dès 79,90 € d achat, hors soldes, non cumulable' ELSE '' END, ' <b>fin</b>') AS html FROM orders"""
 #: What the pages say, from the rule that makes them.
-_SAID = """said AS (SELECT o_orderkey AS page_id, CASE o_orderkey % 3 WHEN 0 THEN concat('MOTO', o_orderkey % 90 + 10) WHEN 1 THEN concat('SOLDE', o_orderkey % 9 + 1) END AS code, CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 1 END AS score FROM orders WHERE o_orderkey % 3 < 2)"""
+_SAID = f"""said AS (SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 14 IN (1, 12) THEN 'TVA' ELSE {_NAME} END AS code, CASE o_orderkey % 14 WHEN 0 THEN 50 WHEN 1 THEN 45 WHEN 12 THEN 45 WHEN 2 THEN 40 WHEN 3 THEN 30 WHEN 4 THEN 25 WHEN 5 THEN 25 ELSE 10 END AS score FROM orders WHERE o_orderkey % 14 IN (0, 1, 2, 3, 4, 5, 6, 12))"""
 
 
 @frame("x16_frame_promo_codes", f"""WITH {_SAID} SELECT page_id, code, score, CASE WHEN page_id % 5 IN (2, 3) THEN make_date(2024, 2, 1) END AS starts, make_date(2024, 2, page_id % 28 + 1) AS ends,
-  CASE score WHEN 2 THEN concat('-', page_id % 50 + 10, ' % avec le code ', code) ELSE concat('Code promo ', code) END AS discount, CASE WHEN page_id % 2 = 0 THEN 'dès 79,90 € d''achat · hors soldes · non cumulable' ELSE '' END AS conditions FROM said""")
+  CASE WHEN code = 'TVA' THEN '-20 % avec le code TVA' WHEN score IN (30, 50) THEN concat('-', page_id % 50 + 10, ' % avec le code ', code) ELSE concat('Code promo ', code) END AS discount, CASE WHEN page_id % 2 = 0 THEN 'dès 79,90 € d''achat · hors soldes · non cumulable' ELSE '' END AS conditions FROM said""")
 def x16(spark, sf_dir):
     """Codes of page texts with their score, validity, discount label and conditions (X16 to X18)."""
     pages = run_text(spark, sf_dir, PROMO.replace("VARCHAR(2)", "STRING")).withColumn("text", promo.page_text(F.col("html")))
-    found = promo.codes(pages, "page_id", "text").join(pages.select("page_id", "text"), "page_id")
-    said = found.withColumn("valid", promo.validity(F.col("text"), F.col("code"), F.lit("2024-01-15").cast("date")))
-    return said.select("page_id", "code", "score", "valid.starts", "valid.ends", promo.discount_label(F.col("text"), F.col("code")).alias("discount"), promo.conditions(F.col("text")).alias("conditions"))
+    return promo.described(promo.find_codes(pages, "page_id", "text"), F.lit("2024-01-15").cast("date")).select("page_id", "code", "score", "starts", "ends", "discount", "conditions")
 
 
 @frame("x26_frame_scan_of_pages", f"""WITH {_SAID}, c AS (SELECT DISTINCT page_id % 50 AS merchant, code, page_id % 4 AS lot FROM said), state AS (SELECT DISTINCT merchant, code FROM c WHERE lot <> 1), found AS (SELECT DISTINCT merchant, code FROM c WHERE lot <> 0)
