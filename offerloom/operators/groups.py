@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,11 +68,69 @@ def split_by_gap(df: DataFrame, keys: Sequence[str], value: str, ratio: float) -
 
 
 def value_families(df: DataFrame, keys: Sequence[str], value: str, tolerance: float = 0.01) -> DataFrame:
-    """The largest family of values within a tolerance of each other, by each key; ties go to the higher values."""
-    x, y = df.select(*keys, F.col(value).alias("_x")), df.select(*keys, F.col(value).alias("_y"))
-    near = x.join(y, list(keys)).where(F.abs(F.col("_x") - F.col("_y")) <= tolerance * F.greatest("_x", "_y"))
-    families = near.groupBy(*keys, "_x").agg(F.count("*").alias("members"), F.max("_y").alias(value))
-    return families.groupBy(*keys).agg(F.max(F.struct("members", value)).alias("x")).select(*keys, f"x.{value}", "x.members")
+    """The largest family of values within a tolerance of one of them, by each key; ties go to the higher values.
+
+    Returns the keys, the family's greatest value under the value's name, its least one as family_low, and members (rows).
+    A key's distinct values are read in order, with two pointers that follow each value at the ends of its family, so a
+    task holds the values of one family's width and no pairs are formed. Null values are left out.
+    """
+    share = Fraction(str(tolerance))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("members"))
+    names = [f"`{k}`" for k in keys]
+    ordered = counted.repartition(*names).sortWithinPartitions(*names, f"`{value}`").select(F.struct(*names).alias("key"), F.col(value).alias("v"), "members")
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
+
+    def near(x, y) -> bool:
+        return abs(x - y) * share.denominator <= share.numerator * max(x, y)
+
+    class Scan:
+        """One key's values in order: the rows before each value, the families that may still grow, the best one so far."""
+
+        def __init__(self):
+            self.rows, self.last, self.best = 0, None, None
+            self.values: deque = deque()  # (value, rows before it), from the least that a later family may hold
+            self.open: deque = deque()  # (value whose family it is, the family's least value, rows before that)
+
+        def add(self, v, n: int) -> None:
+            self.close(lambda x: not near(x, v))
+            self.values.append((v, self.rows))
+            while not near(self.values[0][0], v):
+                self.values.popleft()
+            self.open.append((v, *self.values[0]))
+            self.rows, self.last = self.rows + n, v
+
+        def close(self, done) -> None:
+            while self.open and done(self.open[0][0]):
+                _, low, before = self.open.popleft()
+                found = (self.rows - before, self.last, low)
+                self.best = found if self.best is None or found[:2] > self.best[:2] else self.best
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, out = None, None, []
+
+        def told() -> pa.RecordBatch:
+            cols = zip(*((k, top, low, members) for k, (members, top, low) in out))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, of, of, pa.int64()))], ["key", "v", "family_low", "members"])
+
+        for batch in batches:
+            kind, of = batch.schema.field("key").type, batch.schema.field("v").type
+            for k, v, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is None or k != key:
+                    if now is not None:
+                        now.close(lambda x: True)
+                        out.append((key, now.best))
+                    key, now = k, Scan()
+                now.add(v, n)
+            if out:
+                yield told()
+                out = []
+        if now is not None:
+            now.close(lambda x: True)
+            out.append((key, now.best))
+            yield told()
+
+    found = ordered.mapInArrow(scan, f"key {kinds['key']}, v {kinds['v']}, family_low {kinds['v']}, members long")
+    return found.select("key.*", F.col("v").alias(value), "family_low", "members")
 
 
 def compare_gates(known: Sequence[tuple[str, object]], always: Sequence[str], left: str = "a", right: str = "b") -> Column:

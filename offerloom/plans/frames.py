@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from offerloom.operators import extract, graph, groups, listing, promo, state
+from offerloom.operators import extract, graph, groups, listing, prices, promo, state
 from offerloom.plans.dialect import OFFER, SparkDialect, frame, run_text
 
 
@@ -200,4 +200,20 @@ def x26(spark, sf_dir):
 r AS (SELECT product_id, top AS wide, members, row_number() OVER (PARTITION BY product_id ORDER BY members DESC, top DESC) AS k FROM f) SELECT product_id, wide, members FROM r WHERE k = 1""")
 def q29(spark, sf_dir):
     per = offers(spark, sf_dir).groupBy("product_id", "merchant_id").agg(F.max("wide").alias("wide"))
-    return groups.value_families(per, ["product_id"], "wide", 0.01)
+    return groups.value_families(per, ["product_id"], "wide", 0.01).drop("family_low")
+
+
+#: Three sources of a product's list price, some silent and some up to 2 % off; and what it costs.
+STATED = """SELECT o.product_id, concat('source', o.merchant_id % 3) AS source, max(CAST(floor(t.list * (1000 + CASE (o.product_id + o.merchant_id % 3) % 7 WHEN 0 THEN 9 WHEN 1 THEN 10 WHEN 2 THEN 21 ELSE 0 END) / 1000) AS BIGINT)) AS wide
+  FROM offer o JOIN (SELECT product_id, max(cents) AS list FROM offer GROUP BY product_id) t ON t.product_id = o.product_id WHERE (o.product_id + 2 * (o.merchant_id % 3)) % 5 < 2 OR o.product_id % 11 = 0 GROUP BY o.product_id, o.merchant_id % 3"""
+_BEST = "SELECT product_id, min(CASE product_id % 4 WHEN 0 THEN cents WHEN 1 THEN floor(cents / 4) ELSE floor(cents * 0.8) END) AS low FROM offer WHERE live GROUP BY product_id"
+
+
+@frame("q29_list_price_consensus", f"""WITH {OFFER}, s AS ({STATED}), b AS ({_BEST}), f AS (SELECT a.product_id, a.source, count(*) AS n, max(x.wide) AS top, string_agg(x.source, '+' ORDER BY x.source) AS sources FROM s a JOIN s x ON x.product_id = a.product_id AND abs(x.wide - a.wide) <= 0.01 * greatest(x.wide, a.wide) GROUP BY a.product_id, a.source),
+r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, top DESC, sources) AS k, count(*) OVER (PARTITION BY product_id) AS heard FROM f)
+SELECT product_id, top AS wide, CAST(CASE WHEN n > 1 THEN 1 ELSE 2 END AS INTEGER) AS tier, sources FROM r JOIN b USING (product_id) WHERE k = 1 AND (n > 1 AND top <= 3 * low OR heard = 1 AND sources = 'source1' AND top BETWEEN 1.03 * low AND 1.5 * low)""")
+def q29_prices(spark, sf_dir):
+    """List prices on which sources agree within 1 %, or which a trusted source states alone."""
+    stated = run_text(spark, sf_dir, f"WITH {OFFER} {STATED}")
+    best = run_text(spark, sf_dir, f"WITH {OFFER} {_BEST}")
+    return prices.list_price_consensus(stated, best, ["product_id"], "source", "wide", "low", trusted=["source1"])

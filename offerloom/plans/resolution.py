@@ -240,14 +240,6 @@ g AS (SELECT product_id, max(cents) / CAST(min(cents) AS DOUBLE) AS ratio, max(c
 SELECT coalesce(g.product_id, was.id) AS product_id, CASE WHEN g.product_id IS NULL THEN 'kept' WHEN g.two OR g.ratio >= 2 THEN 'strong' WHEN g.codes > 1 THEN 'medium' ELSE 'weak' END AS severity FROM g FULL JOIN was ON was.id = g.product_id WHERE g.product_id IS NOT NULL OR was.decided"""
 
 
-@plan("q29_list_price_consensus")
-def _(d):
-    return f"""WITH {OFFER}, ref AS (SELECT product_id, merchant_id % 3 AS m, wide, count(*) AS n FROM offer GROUP BY product_id, merchant_id % 3, wide), mode AS (SELECT product_id, m, wide FROM (SELECT *, row_number() OVER (PARTITION BY product_id, m ORDER BY n DESC, wide DESC) AS k FROM ref) x WHERE k = 1),
-best AS (SELECT product_id, min(wide) AS low FROM offer WHERE live GROUP BY product_id), f AS (SELECT a.product_id, a.wide, count(*) AS n, max(b.wide) AS top FROM mode a JOIN mode b ON b.product_id = a.product_id AND abs(b.wide - a.wide) <= 0.30 * greatest(a.wide, b.wide) GROUP BY a.product_id, a.wide),
-r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, top DESC, wide DESC) AS k FROM f)
-SELECT r.product_id, r.top AS list_cents, CASE WHEN r.n >= 2 THEN 1 ELSE 2 END AS tier FROM r JOIN best b ON b.product_id = r.product_id WHERE k = 1 AND (r.n >= 2 AND r.top <= 300 * b.low OR r.n = 1 AND r.top BETWEEN 1.03 * b.low AND 1.5 * b.low)"""
-
-
 @plan("q30_feed_vitality")
 def _(d):
     return f"""WITH {OFFER}, l AS (SELECT merchant_id, max(seen) AS last_day FROM offer GROUP BY merchant_id), b AS (SELECT o.merchant_id, l.last_day, max(CASE WHEN o.seen < l.last_day THEN o.seen END) AS prev_day FROM offer o JOIN l ON l.merchant_id = o.merchant_id GROUP BY o.merchant_id, l.last_day),
