@@ -1,9 +1,7 @@
 """Operator 10, nearest neighbours by a block matrix join: int8 product tiles with error bounds, exact recomputation, heaps.
 
-Usable vectors (not null, not zero, all components finite) are packed into blocks of the same length of vector. Blocks
-meet in a grid of tasks, near to square in bytes: a query block goes to one row of the grid and is copied to its columns,
-a candidate block to one column and copied to its rows, so each two blocks meet once. A tile is one join row whose size
-is fixed by the block sizes; copies grow with the sides of the grid, and the work with its area. Blocks travel as 32-bit
+Usable vectors (not null, not zero, all components finite) are packed into blocks of the same length of vector. Each
+two blocks meet once, in a grid of tasks (llm/grid.py). A tile is one join row whose size is fixed by the block sizes. Blocks travel as 32-bit
 floats where these hold every component exactly, else as 64-bit ones.
 
 In a tile both sides are rounded to int8 with a scale for each row. The integer products (exact in float32 below 2^24,
@@ -22,7 +20,6 @@ query never finds its own vec_id; as queries, rows of one vec_id are one query f
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm.common import shuffle_width, table
+from offerloom.llm.grid import sides, tiles
 
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 #: Components whose int8 products add up exactly in float32.
 EXACT_RUN = 1040
-#: Tiles that a task multiplies, on average, once there are more than tasks.
-TASK_TILES = 256
 FOUND = "query_id long, rank int, vec_id long, score double"
 
 
@@ -80,13 +76,6 @@ def opened(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(data, "<f4" if len(data) == 4 * dim * len(ids) else "<f8").reshape(-1, dim).astype(np.float64)
 
 
-def grid(q_blocks: int, blocks: int, width: int) -> tuple[int, int]:
-    """Rows (of query blocks) and columns (of candidate blocks) of the grid of tasks."""
-    tasks = max(min(width, q_blocks * blocks), q_blocks * blocks // TASK_TILES)
-    columns = min(blocks, max(1, math.ceil(math.sqrt(tasks * blocks * VECTOR_BLOCK / (q_blocks * QUERY_BLOCK)))))
-    return min(q_blocks, -(-tasks // columns)), columns
-
-
 def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """int8 values (in float32) and the scale of each row."""
     scale = np.abs(x).max(1) / 127
@@ -155,12 +144,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
     asked = rows.where(is_query).dropDuplicates(["id", "v"])
     n, m = (f.count() for f in (vectors, asked))
     blocks, q_blocks = max(1, -(-n // VECTOR_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    down, across = grid(q_blocks, blocks, width)
-    right = blocked(rows, VECTOR_BLOCK, blocks).withColumn("column", F.pmod(F.xxhash64("ids"), F.lit(across)).cast("int"))
-    right = right.select("dim", "ids", "data", "column", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("line"))
-    left = blocked(asked, QUERY_BLOCK, q_blocks).withColumn("line", F.pmod(F.xxhash64("ids"), F.lit(down)).cast("int"))
-    left = left.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "line", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("column"))
-    tiles = left.join(right.hint("shuffle_hash"), ["dim", "line", "column"])
+    met = tiles(blocked(asked, QUERY_BLOCK, q_blocks), blocked(rows, VECTOR_BLOCK, blocks), *sides(q_blocks, blocks, width, VECTOR_BLOCK / QUERY_BLOCK), "ids")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, best = None, None
@@ -171,7 +155,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
 
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, q_ids, q_data, ids, data = (batch.column(x)[r].as_py() for x in ("dim", "q_ids", "q_data", "ids", "data"))
+                dim, q_ids, q_data, ids, data = (batch.column(x)[r].as_py() for x in ("dim", "ids", "data", "c_ids", "c_data"))
                 if (dim, q_ids, q_data) != now:  # the tiles of one query block follow each other
                     yield from told()
                     now, best = (dim, q_ids, q_data), Best(*opened(q_ids, q_data, dim), k)
@@ -191,7 +175,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
             heap.sort(reverse=True)
             yield pa.RecordBatch.from_arrays([pa.array([query] * len(heap)), pa.array(range(1, len(heap) + 1), pa.int32()), pa.array([-v for _, v in heap]), pa.array([s for s, _ in heap])], ["query_id", "rank", "vec_id", "score"])
 
-    found = tiles.mapInArrow(multiply, "query_id long, print long, vec_id long, score double")
+    found = met.mapInArrow(multiply, "query_id long, print long, vec_id long, score double")
     return found.repartition(width, "query_id").mapInArrow(merge, FOUND)
 
 

@@ -41,7 +41,7 @@ THRESHOLD = 0.3
 
 
 def dictionary(texts: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """A dictionary trained on the texts; of too few texts to train on, their content as it is."""
+    """A dictionary trained on the texts; of texts too few or too alike to train on, their own content, of which a dictionary of that size holds the last DICTIONARY_BYTES."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=LEVEL)
     except zstandard.ZstdError:

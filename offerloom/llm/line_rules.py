@@ -33,7 +33,7 @@ _CLEAN = r"array_join(filter(split(row.text, '\n'), l -> not array_contains(gone
 
 def measures(docs: DataFrame) -> DataFrame:
     """The row, doc_id, host, print (a hash of the text) and the base measures of every row."""
-    rows = docs.select(F.struct(*docs.columns).alias("row")).selectExpr("row", "cast(row.doc_id as bigint) as doc_id", "coalesce(row.source, '') as host", "coalesce(row.text, '') as text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).selectExpr("row", "cast(row.doc_id as bigint) as doc_id", "coalesce(row.source, '') as host", "coalesce(row.text, '') as text")
     rows = rows.selectExpr("row", "doc_id", "host", "text", "xxhash64(text) as print", f"filter(split(text, '{_WS}'), w -> w <> '') as words", r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]') as lines")
     rows = rows.selectExpr(
         "row", "doc_id", "host", "print",

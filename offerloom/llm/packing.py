@@ -1,8 +1,8 @@
 """Operator 4, packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups of documents.
 
 Documents become token ids (null and empty text: the end id alone). A document longer than a sequence is cut into full
-sequences and a rest. All pieces are dealt to groups by a hash of (doc_id, start, ids), so that no key decides a group's
-size, and each group packs on its own: only piece records of a few numbers are shuffled, never text or ids.
+sequences and a rest. All pieces are dealt to groups by a hash of (doc_id, start, ids) and of the row's number within
+its input partition, so that neither a key nor rows that are equal in all decide a group's size, and each group packs on its own: only piece records of a few numbers are shuffled, never text or ids.
 
 Defined cases: null doc_id is kept as null; repeated rows give repeated pieces; an empty table gives an empty table;
 other columns of the input, whatever their names, are ignored.
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = 1024, grou
         rows["padded_length"] = np.where(fill & (fill - 1) == 0, fill, capacity)
         return rows[[c.split()[0] for c in PACKED.split(", ")]]
 
-    dealt = pieces(docs, path, end_id, capacity).withColumn("pack_group", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32, {int(seed)}), {groups})"))
+    dealt = pieces(docs, path, end_id, capacity).withColumn("pack_group", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32, monotonically_increasing_id(), {int(seed)}), {groups})"))
     return dealt.groupBy("pack_group").applyInPandas(fill, PACKED)
 
 

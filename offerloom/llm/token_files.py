@@ -6,11 +6,12 @@ the number of documents n, their n ids, a validity byte each, and n + 1 offsets
 each other in ascending doc_id; the first id of part K has the number of all ids in the parts before it, a prefix sum
 over one record a part.
 
-Rows are range-partitioned by doc_id and sorted inside each part by Spark, then streamed to the files: of a part, only
+Rows are range-partitioned by doc_id, the first 64 characters and the row's number within its input partition (so that
+rows which repeat an id, even equal ones, fill as many parts as they need) and sorted inside each part by Spark, then streamed to the files: of a part, only
 its ids and sizes are held. A vocabulary too large for the width of the integers is refused. A part is written under a temporary name and renamed, so a repeated task gives the same file again.
 
 Defined cases: a null text is empty (the end id alone); null doc_ids come first; repeated doc_ids follow each other in
-text order; an empty table gives no part; other columns are ignored.
+the order of their first 64 characters; an empty table gives no part; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +61,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, bits
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([n]), "tokens": pa.array([sum(sizes)])})
 
     lean_batches(docs.sparkSession)
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "head", "nth"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.substring("text", 1, 64).alias("head"), F.monotonically_increasing_id().alias("nth"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     parts = sorted((r.part, r.docs, r.tokens) for r in dealt.mapInArrow(write, PARTS).collect())
     bases = itertools.accumulate((t for _, _, t in parts), initial=0)
     return [(p, base, d, t) for (p, d, t), base in zip(parts, bases)]

@@ -243,7 +243,7 @@ def test_nearest(spark):
 
 def test_grid_covers_all_pairs_of_blocks():
     for q, c, w in ((1, 1, 8), (3, 7, 12), (1, 50, 200), (400, 1000, 200), (6100, 15300, 200)):
-        down, across = ann.grid(q, c, w)
+        down, across = ann.sides(q, c, w, ann.VECTOR_BLOCK / ann.QUERY_BLOCK)
         assert 1 <= down <= q and 1 <= across <= c and down * across >= min(w, q * c) // 2
         assert c < 1000 or q * across + 8 * c * down <= 0.5 * (q * c + 8 * c)
 
@@ -408,3 +408,33 @@ def test_merging_by_rank_equals_the_list_of_pairs(name):
 def test_narrow_files_refuse_a_large_vocabulary(spark, docs):
     with pytest.raises(Exception, match="bits"):
         token_files.write_token_files(docs, scratch(spark, "narrow"), tokenizer_path(WORDS), 2, bits=8)
+
+
+def test_vectors_longer_than_an_exact_run(spark):
+    r = np.random.default_rng(8)
+    rows = [(k, r.normal(size=2500).astype("float32").tolist()) for k in range(90)]
+    found = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 30 == 0, k=5).collect()}
+    for q in (0, 30, 60):
+        want = sorted((-sum(np.float64(a) * np.float64(b) for a, b in zip(rows[q][1], v)), k) for k, v in rows if k != q)[:5]
+        assert [found[q, n + 1] for n in range(5)] == [(k, -s) for s, k in want]
+
+
+def test_equal_rows_fill_more_than_one_group_and_part(spark):
+    same = spark.range(6000, numPartitions=4).selectExpr("7L as doc_id", "'the same text' as text")
+    packed_rows = packing.pack(same, tokenizer_path(BYTES), group_docs=2000).collect()
+    groups = Counter(r.sequence_id >> 32 for r in packed_rows)
+    assert len(packed_rows) == 6000 and len(groups) == 3 and max(groups.values()) < 3000
+    parts = token_files.write_token_files(same, scratch(spark, "same-rows"), tokenizer_path(WORDS), 2)
+    assert sum(docs for _, _, docs, _ in parts) == 6000
+
+
+def test_logits_of_any_size():
+    x = np.asarray([[900.0, 899.0], [-900.0, -1e9]], np.float32)
+    shares = np.exp(attention_lm.lowered(x))
+    assert np.isfinite(shares).all() and np.allclose(shares[0] / shares[0].sum(), [0.731, 0.269], atol=1e-3)
+
+
+def test_line_rules_with_odd_column_names(spark, docs):
+    odd = docs.withColumn("meta.x", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.lit(1))).withColumn("a b", F.lit(2))
+    assert Counter(map(tuple, line_rules.line_rules(odd).collect())) == Counter(map(tuple, line_rules.line_rules(docs).collect()))
+    assert line_rules.cleaned(odd).columns == odd.columns

@@ -56,3 +56,10 @@ def test_empty_tables(spark, docs, tmp_path):
     none = docs.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_stages_with_odd_columns(spark, docs):
+    odd = docs.withColumn("meta.x", F.lit(1)).withColumn("tags", F.create_map(F.lit("k"), F.lit(1)))
+    got = pipeline.near_dedup(spark, odd, "")
+    assert got.columns == odd.columns and Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect())
+    assert pipeline.quality_rules(spark, odd, "").columns == odd.columns
