@@ -6,8 +6,9 @@ but the last return the columns of documents.
 
 Defined cases: a document's text decides, whatever its id. Null and empty texts fail the rules' least number of words.
 A null doc_id is kept through all stages: rows without an id and with the same text are one document, others are
-compared as any. Rows that repeat a doc_id are one document to near-dedup, which keeps the least of them by its columns'
-order; the classifier and the rules judge each by its own text. Of equal documents the least doc_id stays. Other columns
+compared as any. Rows that repeat a doc_id are one document to near-dedup, which keeps the least of them by its row
+as JSON; the classifier and the rules judge each by its own text. Of equal documents the least doc_id stays. A null id stands as a
+number from 2^62 on to near-dedup, so ids must be below that. Other columns
 are handed on, whatever their names. An empty table gives empty tables at every stage.
 """
 
@@ -55,7 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if again.isEmpty():
         return left.select("row.*")
     # of rows that repeat an id, the least; only these are grouped
-    once = left.join(again, F.expr("key = again"), "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    once = left.join(again, F.expr("key = again"), "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return left.join(again, F.expr("key = again"), "left_anti").select("row.*").union(once.select("row.*"))
 
 
