@@ -59,14 +59,25 @@ def unaccent(x, d=SPARK):
 
 
 def ascii_text(x, d=SPARK):
-    """Compatibility forms taken apart (ligatures, fractions, full widths), marks and what has no ASCII form left out."""
-    return d.gsub(d.spelt(f"translate({x}, '{d.letters[0]}', '{d.letters[1]}')"), "[^\\x00-\\x7F]")
+    """Compatibility forms taken apart (ligatures, fractions, full widths), marks and what has no ASCII form left out.
+
+    ASCII texts, also such that are so once single letters are replaced, skip what is left of it."""
+    rest = d.gsub(d.spelt("one"), "[^\\x00-\\x7F]")
+    letters = f"translate({x}, '{d.letters[0]}', '{d.letters[1]}')"
+    return f"CASE WHEN {d.ascii(x)} THEN {x} ELSE {d.bound(letters, 'one', f'CASE WHEN {d.ascii("one")} THEN one ELSE {rest} END')} END"
+
+
+class Normal(str):
+    """A column that holds a normal form already, so that functions of a text do not work it out again."""
 
 
 def norm_text(x, d=SPARK):
     """Lower-case ASCII, II and III as numbers, one space between runs of letters and digits; null gives the empty text."""
+    if isinstance(x, Normal):
+        return str(x)
     plain = f"lower({ascii_text(f"coalesce({x}, '')", d)})"
-    return f"trim({d.gsub(d.gsub(d.gsub(plain, '\\biii\\b', '3'), '\\bii\\b', '2'), '[^a-z0-9]+', ' ')})"
+    numbered = d.gsub(d.gsub("low", "\\biii\\b", "3"), "\\bii\\b", "2")
+    return f"trim({d.gsub(d.bound(plain, 'low', f"CASE WHEN contains(low, 'ii') THEN {numbered} ELSE low END"), '[^a-z0-9]+', ' ')})"
 
 
 def search_text(x, d=SPARK):

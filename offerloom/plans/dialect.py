@@ -33,9 +33,17 @@ class Dialect:
         return f"CASE WHEN {self.matches(x, f'[{"".join(self.several)}]')} THEN {self.join(self.map(self.digits(x), 'ch', f"coalesce({self.item(known, 'ch')}, ch)"), '')} ELSE {x} END"
 
 
+    def bound(self, x, name, body):
+        """body with x worked out once, under a name."""
+        return self.item(self.map(self.array(x), name, body), 1)
+
+
 class SparkDialect(Dialect):
     spark = True
 
+    def ascii(self, x):
+        return f"(octet_length({x}) = char_length({x}))"
+
     def literal_map(self, table):
         return f"map({', '.join(f"'{k}', '{v}'" for k, v in table.items())})"
 
@@ -146,6 +154,9 @@ class SparkDialect(Dialect):
 class OracleDialect(Dialect):
     spark = False
 
+    def ascii(self, x):
+        return f"(strlen({x}) = length({x}))"
+
     def literal_map(self, table):
         return f"MAP {{{', '.join(f"'{k}': '{v}'" for k, v in table.items())}}}"
 

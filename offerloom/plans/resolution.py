@@ -52,8 +52,9 @@ SELECT r.offer_id, r.cents, c.live >= 500 AND 5 * c.gone > c.live AS held FROM r
 
 @plan("q02_signature")
 def _(d):
-    title = "concat(p_name, ' ', CASE p_partkey % 2 WHEN 0 THEN 'Homme' ELSE 'noir' END, ' ', p_size)"
-    return f"SELECT p_partkey, {t.brand_code('p_brand', {'brand1': 'one'}, d)} AS brand, {t.colour_code(title, d)} AS colour, {t.genre_age(title, 'p_type', 'NULL', d)} AS genre, {t.is_pack(title, d)} AS pack, {t.model_year(title, d)} AS year, {t.norm_text(title, d)} AS norm FROM part"
+    title, norm = "concat(p_name, ' ', CASE p_partkey % 2 WHEN 0 THEN 'Homme' ELSE 'noir' END, ' ', p_size)", t.Normal("norm")
+    return f"""WITH n AS (SELECT p_partkey, p_brand, p_type, {title} AS title, {t.norm_text(title, d)} AS norm FROM part)
+SELECT p_partkey, {t.brand_code('p_brand', {'brand1': 'one'}, d)} AS brand, {t.colour_code(norm, d)} AS colour, {t.genre_age(norm, 'p_type', 'NULL', d)} AS genre, {t.is_pack(norm, d)} AS pack, {t.model_year("title", d)} AS year, norm FROM n"""
 
 
 @plan("q03_barcode_units")
