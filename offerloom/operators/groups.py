@@ -133,6 +133,25 @@ def value_families(df: DataFrame, keys: Sequence[str], value: str, tolerance: fl
     return found.select("key.*", F.col("v").alias(value), "family_low", "members")
 
 
+def mutually_only(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, value: str, ratio: float) -> DataFrame:
+    """(a, b): rows of a key whose values lie within a ratio of each other, each being the other's only such row.
+
+    What fits a value is a run of the other side's values in order, around it, so a row's two neighbours on either side tell
+    whether there is none, one or more: no pairs are formed. Values must be above zero; nulls match nothing."""
+    one = left.select(*keys, F.col(value).alias("v"), F.struct(F.col(value).alias("v"), F.col(a).alias("id")).alias("l"), F.lit(None).alias("r"))
+    two = right.select(*keys, F.col(value).alias("v"), F.lit(None).alias("l"), F.struct(F.col(value).alias("v"), F.col(b).alias("id")).alias("r"))
+    names = ", ".join(f"`{k}`" for k in keys)
+
+    def neighbours(side: str) -> str:
+        return f"array({', '.join(f'{way}({side}, {n}) ignore nulls over w' for way in ('lag', 'lead') for n in (1, 2))})"
+
+    rows = one.unionByName(two).where("v > 0")
+    around = rows.withColumns({k: F.expr(neighbours(k[0]).replace("over w", f"over (partition by {names} order by v)")) for k in ("ls", "rs")})
+    fits = lambda others: F.filter(others, lambda x: x.isNotNull() & (F.greatest(x["v"], F.col("v")) <= ratio * F.least(x["v"], F.col("v"))))
+    only = lambda own, others, mine, its: around.where(F.col(own).isNotNull()).select(F.col(f"{own}.id").alias(mine), fits(others).alias("f")).where(F.size("f") == 1).select(mine, F.col("f")[0]["id"].alias(its))
+    return only("l", "rs", a, b).join(only("r", "ls", b, a), [a, b])
+
+
 def compare_gates(known: Sequence[tuple[str, object]], always: Sequence[str], left: str = "a", right: str = "b") -> Column:
     """Whether two rows disagree: by a column that is known on both sides (its unknown value given), or always compared."""
     out = F.lit(False)

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from offerloom.operators import groups
-from offerloom.plans import relational  # noqa: F401  (registers the texts)
-from offerloom.plans.dialect import OFFER, run_text, runs
+from offerloom.functions import text as t
+from offerloom.operators import groups, passages, words
+from offerloom.plans import relational, scalars  # noqa: F401  (register the texts)
+from offerloom.plans.dialect import OFFER, SparkDialect, run_text, runs
 from offerloom.plans.frames import offers
 from offerloom.plans.resolution import DETACH_OFFERS, DETACH_PRODUCTS
+from offerloom.plans.scalars import FOUND_AT, TYPED
 
 
 @runs("c03_same_code_other_merchant")
@@ -72,3 +74,65 @@ def q14(spark, sf_dir):
     cap = far.groupBy("product_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("offers"), F.count("*").alias("products"))
     held = (F.col("offers") > DETACH_OFFERS) | (F.col("products") > DETACH_PRODUCTS)
     return far.crossJoin(cap).select("offer_id", "product_id", held.alias("held"))  # one row
+
+
+@runs("c10_prefix_join")
+def c10(spark, sf_dir):
+    """Partners of each key by counts for each prefix; a row is its own partner and is taken off."""
+    ref = run_text(spark, sf_dir, f"SELECT p_partkey AS id, p_brand AS brand, upper({SparkDialect().gsub('concat(p_name, p_type)', '[^A-Za-z0-9]', '')}) AS k FROM part")
+    met = words.prefix_counts(ref.where("length(k) >= 8"), ref.where("length(k) >= 8"), ["brand"], "k", "id")
+    return met.selectExpr("id", "partners - 1 as n").where("n > 0")
+
+
+@runs("q12_link_by_reference_prefix")
+def q12(spark, sf_dir):
+    """Offers with exactly one candidate, which a count and a least value for each prefix tell."""
+    ref = f"upper({SparkDialect().gsub('concat(title, brand, size)', '[^A-Za-z0-9]', '')})"
+    p = run_text(spark, sf_dir, f"WITH {OFFER} SELECT DISTINCT product_id, brand, size, {ref} AS k FROM offer")
+    o = run_text(spark, sf_dir, f"WITH {OFFER} SELECT offer_id, merchant_id, brand, size, concat({ref}, CASE WHEN position = 2 THEN 'X' ELSE '' END) AS k FROM offer WHERE live")
+    only = words.prefix_counts(o.where("length(k) >= 8"), p.where("length(k) >= 8"), ["brand", "size"], "k", "product_id").where("partners = 1")
+    first = only.groupBy(F.col("first_partner").alias("product_id"), "merchant_id").agg(F.min("offer_id").alias("offer_id"))
+    return first.selectExpr("offer_id", "product_id", "CAST(0.70 AS DOUBLE) AS confidence")
+
+
+@runs("q24_short_long_pairs")
+def q24(spark, sf_dir):
+    """A long model's words less one of the listed ones are the short model's: they meet by equality, and prices tell which are each other's only."""
+    models = run_text(spark, sf_dir, f"WITH {OFFER} SELECT product_id AS id, brand, size, array_sort(array_distinct(split(CASE WHEN product_id % 2 = 0 THEN concat(title, ' pro') ELSE title END, ' '))) AS toks, CAST(percentile_cont(0.5) WITHIN GROUP (ORDER BY cents) AS DOUBLE) AS price FROM offer GROUP BY product_id, brand, size, title")
+    short = models.selectExpr("brand", "size", "toks", "id as short_id", "price")
+    long = models.selectExpr("brand", "size", "id as long_id", "price", "toks as whole", "explode(array_intersect(toks, array('pro', 'evo'))) as w").selectExpr("brand", "size", "array_remove(whole, w) as toks", "long_id", "price")
+    return groups.mutually_only(short, long, ["brand", "size", "toks"], "short_id", "long_id", "price", 1.5)
+
+
+@runs("h30_trigram_search")
+def h30(spark, sf_dir):
+    """The typed words' rarest trigrams lead to titles; only these are compared."""
+    titles = run_text(spark, sf_dir, f"SELECT p_partkey, {t.norm_text('p_name')} AS title FROM part")
+    typed = spark.createDataFrame([(1, w) for w in TYPED], "query int, word string")
+    return words.trigram_search(typed, words.trigram_index(titles, "p_partkey", "title"), titles, "p_partkey", "title", FOUND_AT).select("p_partkey", "similarity")
+
+
+@runs("h31_near_words")
+def h31(spark, sf_dir):
+    known = run_text(spark, sf_dir, "SELECT explode(split(p_name, ' ')) AS w FROM part")
+    typed = run_text(spark, sf_dir, "SELECT q FROM (VALUES ('rde'), ('rnig'), ('wiget'), ('blolt'), ('smal')) AS typed(q)")
+    return words.near_words(typed, known, "q", "w")
+
+
+@runs("h49_brand_recognition")
+def h49(spark, sf_dir):
+    """Exact and begun brands by prefixes, near ones by deletions; the best tier, in which a near brand must be alone."""
+    brands = run_text(spark, sf_dir, f"SELECT DISTINCT lower({SparkDialect().gsub('p_brand', '#', '')}) AS brand FROM part")
+    typed = run_text(spark, sf_dir, "SELECT q FROM (VALUES ('brand1'), ('brnad12'), ('brand2'), ('brand2x'), ('zzz')) AS typed(q)")
+    begun = words.prefix_partners(typed.selectExpr("q as k").distinct(), brands.selectExpr("brand as k", "brand"), [], "k", F.count("*").alias("n"), F.min("brand").alias("brand"))
+    begun = begun.where("startswith(brand, k)").selectExpr("k as q", "n", "brand", "if(brand = k, 1, 2) as tier")  # the exact one sorts first
+    near = words.near_words(typed, brands, "q", "brand").groupBy("q").agg(F.count("*").alias("n"), F.min("brand").alias("brand")).withColumn("tier", F.lit(3))
+    best = begun.unionByName(near.select(*begun.columns)).groupBy("q").agg(F.min(F.struct("tier", "brand", "n")).alias("b"))
+    return best.where("b.tier < 3 or b.n = 1").selectExpr("q", "b.brand", "b.tier")
+
+
+@runs("x20_cited_passage")
+def x20(spark, sf_dir):
+    texts = run_text(spark, sf_dir, f"SELECT doc_id, {t.norm_text('text')} AS said FROM documents")
+    given = run_text(spark, sf_dir, f"SELECT item_id, {t.norm_text('text')} AS cited FROM benchmark")
+    return passages.cited(texts, given, "doc_id", "item_id", "said", "cited")
