@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from offerloom.operators import extract, graph, groups, listing, prices, promo, state
+from offerloom.operators import extract, graph, groups, journal, listing, prices, promo, state
 from offerloom.plans.dialect import OFFER, SparkDialect, frame, run_text
 
 
@@ -217,3 +217,22 @@ def q29_prices(spark, sf_dir):
     stated = run_text(spark, sf_dir, f"WITH {OFFER} {STATED}")
     best = run_text(spark, sf_dir, f"WITH {OFFER} {_BEST}")
     return prices.list_price_consensus(stated, best, ["product_id"], "source", "wide", "low", trusted=["source1"])
+
+
+#: Blocks of ten products with chains of merges, some undone in the middle, and merged again.
+_MERGES = "SELECT p_partkey * 10 + k AS seq, p_partkey * 10 + k AS merge, p_partkey + a AS product, p_partkey + b AS survivor FROM part JOIN (VALUES (1, 1, 2, 1), (1, 6, 2, 1), (2, 2, 3, 1), (4, 1, 4, 4), (6, 3, 5, 1), (7, 7, 5, 3)) AS v(k, a, b, every) ON p_partkey % 10 = 0 AND p_partkey / 10 % every = 0"
+_UNDOS = "SELECT p_partkey * 10 + k AS seq, p_partkey * 10 + undone AS merge FROM part JOIN (VALUES (3, 1, 2), (5, 2, 3), (8, 6, 5), (9, 1, 4)) AS v(k, undone, every) ON p_partkey % 10 = 0 AND p_partkey / 10 % every = 0"
+
+
+@frame("q22_merge_chains", f"""WITH RECURSIVE {OFFER}, m AS ({_MERGES.replace("/ 10", "// 10")}), u AS ({_UNDOS.replace("/ 10", "// 10")}), back AS (SELECT u.merge, min(u.seq) AS seq FROM u JOIN (SELECT merge, min(seq) AS made FROM m GROUP BY merge) x ON x.merge = u.merge AND u.seq > x.made GROUP BY u.merge),
+life(product, holder, since, trace) AS (SELECT DISTINCT product, product, CAST(0 AS BIGINT), CAST([] AS STRUCT(merge BIGINT, place BIGINT)[]) FROM m
+  UNION ALL SELECT product, place, seq, trace FROM (SELECT l.product, e.place, e.seq, CASE WHEN e.merge IS NULL THEN l.trace ELSE list_append(l.trace, {{'merge': e.merge, 'place': l.holder}}) END AS trace, row_number() OVER (PARTITION BY l.product ORDER BY e.seq) AS k
+    FROM life l JOIN LATERAL (SELECT m.seq, m.merge, m.survivor AS place FROM m WHERE m.product = l.holder AND m.seq > l.since UNION ALL SELECT b.seq, NULL, t.h.place FROM (SELECT unnest(l.trace) AS h) t JOIN back b ON b.merge = t.h.merge WHERE b.seq > l.since) e ON TRUE) x WHERE k = 1),
+ends AS (SELECT product, arg_max(holder, since) AS holder, max(len(trace)) AS merges FROM life GROUP BY product)
+SELECT coalesce(e.holder, o.product_id) AS product, count(*) AS offers, count(e.product) AS of_merged FROM offer o LEFT JOIN ends e ON e.product = o.product_id GROUP BY 1""")
+def q22_chains(spark, sf_dir):
+    """Offers of each product after a journal of merges, chains among them, and undoings in the middle."""
+    merges, undos = (run_text(spark, sf_dir, text.replace("/ 10", "DIV 10")) for text in (_MERGES, _UNDOS))
+    held = journal.replayed(merges, undos).select(F.col("product").alias("merged"), "holder")
+    moved = offers(spark, sf_dir).select("product_id").join(held, F.expr("product_id = merged"), "left")
+    return moved.groupBy(F.coalesce("holder", "product_id").alias("product")).agg(F.count("*").alias("offers"), F.count("merged").alias("of_merged"))
