@@ -9,6 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def active_chips(given: Sequence[str]) -> Column:
+    """Names of the active criteria of requests that are rows, in the order of Filters.chips; given: the criteria's columns that there are."""
+    found = []
+    for f in fields(Filters):
+        if f.name == "words" and f.name in given:
+            found.append(F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.concat(F.lit("word "), w)))
+        elif f.name in given:
+            several = isinstance(f.default, tuple)
+            active = F.coalesce(F.size(f.name) > 0 if several else F.col(f.name) if f.default is False else F.col(f.name).isNotNull(), F.lit(False))
+            found.append(F.when(active, F.array(F.lit(f.name))).otherwise(F.array().cast("array<string>")))
+    return F.concat(*found)
+
+
 @dataclass(frozen=True)
 class Filters:
     """Criteria of a listing; unset ones (None, empty) add no predicate, so that the scan is pruned by the set ones."""

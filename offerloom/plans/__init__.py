@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.plans import catalogue, dialect, frames, loading, ranked, relational, resolution, scalars  # noqa: F401  (importing a module of plans registers them)
+#: Modules of plans; importing one registers them. They are imported when asked for, as the library below needs the dialect only.
+MODULES = ("catalogue", "frames", "loading", "ranked", "relational", "resolution", "scalars", "streams")
+
+
+def _dialect():
+    for name in MODULES:
+        import_module(f"{__name__}.{name}")
+    return import_module(f"{__name__}.dialect")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dialect.queries()
+    return _dialect().queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dialect.oracle_sql()
+    return _dialect().oracle_sql()

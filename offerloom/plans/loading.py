@@ -1,16 +1,13 @@
 """Plans that read and write files: feeds made of the driver's tables, staging, replacement, reports (survey section 2.1)."""
 
 import os
-import tempfile
 import zipfile
-from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
 from offerloom.operators import listing, tables
 from offerloom.plans.dialect import frame, plan, run_text
-from offerloom.plans.frames import FILTERS
-from offerloom.sources import feeds
+from offerloom.sources import archives, feeds
 
 _COLUMNS = "p_partkey AS id, concat(p_name, chr(10), '\"', p_brand, '\"; ', p_type) AS title, concat('https://shop.example/', p_partkey) AS link, p_type AS product_type, p_brand AS brand"
 SPEC = feeds.FeedSpec("shop", rejected_paths="^small$", rejected_titles="misty")
@@ -50,17 +47,40 @@ def a03(spark, sf_dir):
     return feeds.ragged(feeds.read_feed(spark, path, SPEC))
 
 
+def _archives(spark, rows, name, head):
+    """Rows (member, line) as archives in the shared folder, one for each task, written by the tasks."""
+    folder = _path(spark, name)
+
+    def write(frames):
+        members = {}
+        for frame_ in frames:
+            for member, line in zip(frame_["member"], frame_["line"]):
+                members.setdefault(member, []).append(line)
+        if members:
+            path = f"{folder}/{os.urandom(8).hex()}.zip"
+            with archives.opened(path, "w") as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
+                for member, lines in sorted(members.items()):
+                    archive.writestr(f"{member}.csv", "\n".join([head, *lines, ""]))
+            yield frame_.__class__({"path": [path]})
+
+    return [r.path for r in rows.mapInPandas(write, "path string").collect()]  # a path for each archive
+
+
 @frame("a04_zipped_feed", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS title FROM nation")
 def a04(spark, sf_dir):
-    """A zip archive, which one driver unpacks into the shared folder: archives are single files of a merchant."""
-    folder = urlparse(_path(spark, "zip")).path
-    os.makedirs(folder)
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").toLocalIterator()
-    with tempfile.TemporaryDirectory() as local:
-        with zipfile.ZipFile(f"{local}/feed.zip", "w") as archive:
-            archive.writestr("feed.csv", "id;title;link\n" + "".join(f"{k};{name};x\n" for k, name in rows))
-        found = feeds.read_feed(spark, [f"file://{p}" for p in feeds.unpacked(f"{local}/feed.zip", folder)], SPEC)
-    return found.select(F.col("row")["id"].alias("id"), F.col("row")["title"].alias("title"))
+    """Archives that executors write and read."""
+    rows = run_text(spark, sf_dir, "SELECT concat('feed', n_nationkey % 2) AS member, concat_ws(';', n_nationkey, n_name, 'x') AS line FROM nation")
+    return archives.read_archives(spark, _archives(spark, rows, "zip", "id;title;link"), SPEC).where("reason is null").select(F.col("sku").alias("id"), "title")
+
+
+@frame("a04_archive_members", """WITH f AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN 'ragged' WHEN lower(p_type) = 'small' THEN 'category' WHEN contains(lower(p_name), 'misty') THEN 'title' WHEN p_partkey % 17 = 0 THEN 'incomplete' ELSE 'kept' END AS reason, p_partkey FROM part)
+SELECT concat('feed', p_partkey % 3) AS member, reason, CAST(count(*) AS BIGINT) AS records, CAST(sum(CASE WHEN reason = 'kept' THEN p_partkey ELSE 0 END) AS BIGINT) AS ids FROM f GROUP BY 1, 2""")
+def a04_members(spark, sf_dir):
+    """Records of archives' members that are in scope, and those left out by reason."""
+    rows = run_text(spark, sf_dir, "SELECT concat('feed', p_partkey % 3) AS member, concat_ws(';', p_partkey, concat('\"', p_name, '\n', p_brand, '\"'), CASE WHEN p_partkey % 17 = 0 THEN '' ELSE 'x' END, p_type, CASE WHEN p_partkey % 13 = 0 THEN 'more' END) AS line FROM part").repartition(4)
+    read = archives.read_archives(spark, _archives(spark, rows, "members", "id;title;link;product_type"), SPEC)
+    read = read.select(F.regexp_extract("member", "#(.*)[.]csv$", 1).alias("member"), F.coalesce("reason", F.lit("kept")).alias("reason"), "records", F.coalesce(F.col("sku").cast("long"), F.lit(0)).alias("id"))
+    return read.groupBy("member", "reason").agg(F.sum("records").alias("records"), F.sum("id").alias("ids"))
 
 
 @frame("a06_scope_at_the_door", f"SELECT CASE WHEN lower(product_type) = 'small' THEN 'category' WHEN contains(lower(title), 'misty') THEN 'title' ELSE 'kept' END AS reason, count(*) AS n FROM (SELECT {_COLUMNS} FROM part) x GROUP BY 1")
@@ -96,7 +116,15 @@ def a23(spark, sf_dir):
     return spark.read.option("sep", ";").option("header", True).csv(path, schema="p_partkey string, p_name string")
 
 
-@frame("b19_active_filters", "SELECT unnest(['brands', 'categories', 'high', 'word red', 'merchants']) AS chip")
+@frame("b19_active_filters", """WITH r AS (SELECT c_custkey AS id, c_mktsegment AS brand, c_nationkey, c_acctbal FROM customer)
+SELECT id, CASE WHEN c_nationkey % 3 = 0 THEN 'brands' END AS c1, CASE WHEN c_nationkey % 4 = 0 THEN 'categories' END AS c2, CASE WHEN c_acctbal > 0 THEN 'high' END AS c3, CASE WHEN c_nationkey % 5 = 0 THEN concat('word ', lower(brand)) END AS c4, CASE WHEN c_acctbal > 5000 THEN 'merchants' END AS c5 FROM r""")
 def b19(spark, sf_dir):
-    """The names of a filter's active criteria, as a page lists them."""
-    return spark.createDataFrame([(c,) for c in listing.Filters(**vars(FILTERS)).chips()], "chip string")
+    """The names of each request's active criteria, as a page lists them; a request for each customer."""
+    asked = run_text(spark, sf_dir, "SELECT c_custkey AS id, c_mktsegment AS brand, c_nationkey, c_acctbal FROM customer").select(
+        "id",
+        F.expr("CASE WHEN c_nationkey % 3 = 0 THEN array('x') END").alias("brands"), F.expr("CASE WHEN c_nationkey % 4 = 0 THEN array('y') END").alias("categories"),
+        F.expr("CASE WHEN c_acctbal > 0 THEN 9 END").alias("high"), F.expr("CASE WHEN c_nationkey % 5 = 0 THEN array(lower(brand)) END").alias("words"), F.expr("CASE WHEN c_acctbal > 5000 THEN 2 END").alias("merchants"),
+    )
+    chips = asked.withColumn("chips", listing.active_chips(asked.columns))
+    known = {"c1": "chip = 'brands'", "c2": "chip = 'categories'", "c3": "chip = 'high'", "c4": "startswith(chip, 'word ')", "c5": "chip = 'merchants'"}
+    return chips.select("id", *(F.expr(f"get(filter(chips, chip -> {e}), 0)").alias(c) for c, e in known.items()))

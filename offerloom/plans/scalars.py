@@ -175,7 +175,7 @@ plan("h47_adjacent_gtins")(lambda d: f"WITH {GTIN} SELECT a.id, {t.adjacent_gtin
 
 @plan("h48_query_words")
 def _(d):
-    return f"""WITH typed(q) AS (VALUES ('red rings femme'), ('casques noirs'), ('small widget')), w AS (SELECT q, {d.unnest(d.split("q", " "))} AS w FROM typed)
+    return f"""WITH typed AS (SELECT DISTINCT concat(p_name, CASE p_partkey % 4 WHEN 0 THEN 's femme' WHEN 1 THEN 's noirs' WHEN 2 THEN ' homme' ELSE ' rouges' END) AS q FROM part), w AS (SELECT q, {d.unnest(d.split("q", " "))} AS w FROM typed)
 SELECT q, w, CASE WHEN w IN ('femme', 'homme') THEN 'sex' WHEN {t.lookup(d.gsub('w', 's$'), t.COLOURS)} IS NOT NULL THEN 'colour' ELSE 'word' END AS kind, {d.gsub("w", "s$")} AS singular FROM w"""
 
 
