@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from offerloom.operators import extract, graph, groups, journal, listing, prices, promo, state
+from offerloom.operators import extract, graph, groups, journal, listing, prices, promo, state, verdicts
 from offerloom.plans.dialect import OFFER, SparkDialect, frame, run_text
 
 
@@ -236,3 +236,22 @@ def q22_chains(spark, sf_dir):
     held = journal.replayed(merges, undos).select(F.col("product").alias("merged"), "holder")
     moved = offers(spark, sf_dir).select("product_id").join(held, F.expr("product_id = merged"), "left")
     return moved.groupBy(F.coalesce("holder", "product_id").alias("product")).agg(F.count("*").alias("offers"), F.count("merged").alias("of_merged"))
+
+
+#: Groups of some three products with signals that agree in many of them.
+_BLOCK = "CAST(floor(product_id / 700.0) AS BIGINT)"
+SIGNALS = f"""SELECT product_id % 700 AS grp, product_id AS product, CASE product_id % 700 % 7 WHEN 0 THEN 'unknown' WHEN 1 THEN CASE WHEN product_id % 3 = 0 THEN 'WH' ELSE 'BK|MAT' END ELSE 'BK|MAT' END AS colour,
+  CASE WHEN product_id % 41 = 0 THEN 'F-E' WHEN product_id % 2 = 0 THEN 'H-A' ELSE 'U-A' END AS genre, CASE WHEN product_id % 43 = 0 THEN 2023 WHEN product_id % 4 = 0 THEN 2024 END AS year, concat('T', CASE WHEN product_id % 47 = 0 THEN 0 ELSE {_BLOCK} END) AS size,
+  concat(376000000000 + product_id % 700 * 1000 + CASE WHEN product_id % 37 = 0 THEN 0 ELSE {_BLOCK} * (5 + product_id % 700 % 3 * 8) END, '0') AS gtin, CASE WHEN product_id % 3 = 0 AND product_id % 5 > 0 OR product_id % 700 % 4 = 0 THEN concat('R', product_id % 700) END AS ref, CAST(cents AS DOUBLE) AS price FROM offer"""
+
+
+@frame("u05_group_verdicts", f"""WITH {OFFER}, o AS ({SIGNALS}), p AS (SELECT grp, product, max(nullif(colour, 'unknown')) AS colour, max(split_part(genre, '-', 1)) AS sex, max(split_part(genre, '-', 2)) AS age, max(year) AS year, median(price) AS price, max(size) AS size, max(gtin) AS gtin, max(ref) AS ref FROM o GROUP BY grp, product),
+pair AS (SELECT a.grp, a.product, bool_or(a.size = b.size) AS same_size, bool_or(a.size = b.size AND a.gtin <> b.gtin) AS clash, bool_or(a.gtin = b.gtin) AS shared, bool_or(left(a.gtin, 9) = left(b.gtin, 9) AND abs(CAST(left(a.gtin, 12) AS BIGINT) - CAST(left(b.gtin, 12) AS BIGINT)) <= 20) AS near FROM p a JOIN p b ON b.grp = a.grp AND b.product <> a.product GROUP BY a.grp, a.product),
+g AS (SELECT p.grp, count(DISTINCT colour) AS colours, max(colour) AS colour, bool_or(colour IS NULL) AS bare, count(DISTINCT nullif(sex, 'U')) AS sexes, count(DISTINCT age) AS ages, count(DISTINCT year) AS years, CASE WHEN count(*) > 1 THEN max(price) / min(price) ELSE 1.0 END AS ratio, coalesce(bool_or(same_size), FALSE) AS doubled, coalesce(bool_or(clash), FALSE) AS clash,
+  coalesce(bool_or(shared), FALSE) AS code, count(DISTINCT ref) = 1 AND count(ref) = count(*) AS one_ref, coalesce(bool_and(coalesce(near, FALSE)), FALSE) AS near FROM p LEFT JOIN pair ON pair.grp = p.grp AND pair.product = p.product GROUP BY p.grp)
+SELECT grp, CASE WHEN colours > 1 OR sexes > 1 OR ages > 1 OR years > 1 OR clash OR ratio > 3 THEN 'refused' WHEN colours = 1 AND NOT bare AND ratio <= 1.5 AND (code OR one_ref) THEN 'safe' WHEN colours = 1 AND NOT bare AND ratio <= 1.5 AND NOT doubled AND near THEN 'probable' ELSE 'doubtful' END AS verdict,
+  CASE WHEN colours > 1 OR sexes > 1 OR ages > 1 OR years > 1 OR clash OR ratio > 3 THEN (colours > 1)::INT + (sexes > 1)::INT + (ages > 1)::INT + (years > 1)::INT + clash::INT + (ratio > 3)::INT ELSE code::INT + one_ref::INT + (NOT doubled)::INT + (NOT doubled AND near)::INT + (bare OR colours = 1)::INT + 1 END AS reasons FROM g""")
+def u05(spark, sf_dir):
+    """Verdicts on groups of products that look alike, and how many reasons each has."""
+    signals = run_text(spark, sf_dir, f"WITH {OFFER} {SIGNALS}")
+    return verdicts.group_verdicts(signals).select("grp", "verdict", F.size("reasons").alias("reasons"))
