@@ -127,6 +127,30 @@ def encode_and_decode(docs: DataFrame, path: str, with_values: bool = False) ->
     return met(told, packed).mapInArrow(assemble, schema)
 
 
+def encode_and_decode_by_rows(docs: DataFrame, path: str) -> DataFrame:
+    """The same with a row for each word: split by Spark, each distinct word encoded once, its ids joined back by the
+    word's place, and pieces joined to ids by the id. Its figures are in README: several shuffles of all words as rows."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    words = rows.select("row", F.posexplode(F.split("text", "[ \n]")).alias("place", "word")).where("word <> ''")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            ids, offsets = enc.many(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["w", "ids"])
+
+    table_of = words.select(F.col("word").alias("w")).distinct().mapInArrow(encode, "w string, ids array<int>")
+    held = words.join(table_of, F.expr("word = w")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("of"))
+    encoded = rows.select("row", "doc_id").join(held.select(F.col("row").alias("r"), F.flatten(F.transform("of", lambda x: x["ids"])).alias("ids")), F.expr("row = r"), "left")
+    encoded = encoded.select("row", "doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    lib = encoder(path).lib
+    pieces = docs.sparkSession.createDataFrame([(i, lib.id_to_token(i) or "") for i in range(lib.get_vocab_size(with_added_tokens=True))], "id int, piece string")
+    spelt = encoded.select("row", F.posexplode("ids").alias("place", "i")).join(pieces, F.expr("i = id")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("of"))
+    whole = encoded.join(spelt.select(F.col("row").alias("r"), F.array_join(F.transform("of", lambda x: x["piece"]), " ").alias("decoded")), F.expr("row = r"), "left")
+    low = "transform(ids, i -> concat(lpad(hex(i & 255), 2, '0'), lpad(hex(shiftright(i, 8) & 255), 2, '0'), lpad(hex(shiftright(i, 16) & 255), 2, '0'), lpad(hex(shiftright(i, 24) & 255), 2, '0')))"
+    return whole.selectExpr("doc_id", "cast(size(ids) as bigint) as n_tokens", f"sha2(unhex(array_join({low}, '')), 256) as ids_sha256", "sha2(cast(coalesce(decoded, '') as binary), 256) as decoded_sha256")
+
+
 def op8_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 

@@ -96,6 +96,8 @@ def test_word_table(docs, none):
         want[doc, len(ids), hashlib.sha256(packed(ids)).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert Counter(map(tuple, word_table.encode_and_decode(docs, tokenizer_path(WORDS)).collect())) == want
     assert word_table.encode_and_decode(none, tokenizer_path(WORDS)).count() == 0
+    assert Counter(map(tuple, word_table.encode_and_decode_by_rows(docs, tokenizer_path(WORDS)).collect())) == want
+    assert word_table.encode_and_decode_by_rows(none, tokenizer_path(WORDS)).count() == 0
 
 
 @pytest.mark.parametrize("name", [BYTES, WORDS])
