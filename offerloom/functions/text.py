@@ -157,12 +157,36 @@ def comparable_gtin(x, d=SPARK):
 _LETTERS = "XXS|XS|S|M|L|XL|XXL|XXXL|2XL|3XL|4XL"
 
 
+def _numbers(low: int, high: int) -> str:
+    return "|".join(map(str, range(low, high + 1)))
+
+
+# What a size may look like once it is in capitals without marks, in order, and its code; {} is the shape's group.
+_FIT_LETTERS = "XXS|XS|S|M|L|XL|XXL|[2-6]XL"
+_CUT_WORDS = "SHORT|LONG|COURT|REGULAR|STANDARD|KING"
+HEAD_CM, SHOE_EU = (53, 65), (35, 52)
+SIZE_SHAPES = (
+    ("(XXS|XS|S|M|L|XL|[2-6]XL|TU)", "{}"),
+    ("TAILLE([0-9]{1,2})", "{}"),
+    ("((?:XXS|XS|S|M|L|XL|[2-4]XL)[0-9]{4})CM", "{}"),
+    (f"({_numbers(*HEAD_CM)})", "{}CM"),
+    (f"({_numbers(*SHOE_EU)})", "EU{}"),
+    (f"({'|'.join(w.upper() for w in sorted(COLOURS | LATE_COLOURS))})", ""),
+    (f"(?:{_CUT_WORDS})({_FIT_LETTERS})", "{}"),
+    (f"({_FIT_LETTERS})(?:{_CUT_WORDS})", "{}"),
+)
+SIZE_NAMES = {"XXL": "2XL", "XXXL": "3XL", "XXXXL": "4XL", "XXXXXL": "5XL", "XXXXXXL": "6XL", "TAILLEUNIQUE": "TU", "ONESIZE": "TU", "UNI": "TU"}
+#: The greatest age, the years that a range of ages may span, and the characters kept of what has no shape.
+AGE_MOST, AGE_SPAN, SIZE_CHARS = 16, 2, 24
+#: What stands at a reference's end for its size, in order, and what of it stays.
+SKU_TAILS = ((f"[-_ ](?:{_LETTERS}|TU|{_numbers(34, 65)})", ""), (f"([0-9])(?:{_LETTERS})", "\\1"))
+
+
 def base_sku(x, d=SPARK):
-    """The reference without the size at its end: letters after a digit, or a plausible size after a delimiter; kept whole if that is all."""
+    """The reference without the first kind of tail that it has; kept whole if that is all."""
     whole = f"trim(coalesce({x}, ''))"
-    cut = d.gsub(d.gsub(whole, f"(?i)[-_ ]({_LETTERS}|TU|3[4-9]|4[0-9]|5[0-9]|6[0-5])$"), f"(?i)([0-9])({_LETTERS})$", "\\1")
-    one = f"CASE WHEN {d.matches(whole, f'(?i)[-_ ]({_LETTERS}|TU|3[4-9]|4[0-9]|5[0-9]|6[0-5])$')} THEN {d.gsub(whole, f'(?i)[-_ ]({_LETTERS}|TU|3[4-9]|4[0-9]|5[0-9]|6[0-5])$')} ELSE {cut} END"
-    return f"coalesce(nullif({one}, ''), {whole})"
+    cut = f"CASE {' '.join(f"WHEN {d.matches(whole, f'(?i){tail}$')} THEN {d.gsub(whole, f'(?i){tail}$', rest)}" for tail, rest in SKU_TAILS)} ELSE {whole} END"
+    return f"coalesce(nullif({cut}, ''), {whole})"
 
 
 def _size_sources(raw, title, link, mpn, d):
@@ -180,28 +204,35 @@ def size_candidate(raw, title="NULL", link="NULL", mpn="NULL", d=SPARK):
     return f"coalesce({', '.join(x for _, x in found)}, '')", f"CASE {' '.join(f"WHEN {x} IS NOT NULL THEN '{name}'" for name, x in found)} ELSE '' END"
 
 
+def _age_range(cand, d):
+    """(condition, code) of two ages a short span apart."""
+    both = "^ *([0-9]{1,2}) *[/-] *([0-9]{1,2}) *(?:[aA][nN][sS]?)? *$"
+    first, last = (f"TRY_CAST({d.extract(cand, both, k)} AS INT)" for k in (1, 2))
+    return f"{first} >= 1 AND {first} < {last} AND {last} <= {AGE_MOST} AND {last} - {first} <= {AGE_SPAN}", f"concat({d.string(first)}, '-', {d.string(last)}, 'ANS')"
+
+
+def _decimal_size(cand, d):
+    """(condition, code) of a size with a decimal: with its unit, or as a shoe's where it can be one."""
+    shape = "(?i)^ *(?:taille *)?([0-9]{1,2}) *[.,] *([0-9]) *(eu|us|uk|mm)? *$"
+    whole, part, unit = (d.extract(cand, shape, k) for k in (1, 2, 3))
+    number = f"TRY_CAST({whole} AS INT)"
+    code = f"concat({d.string(number)}, ',', {part})"
+    return f"{whole} <> ''", f"CASE WHEN {unit} <> '' THEN concat({code}, upper({unit})) WHEN {number} BETWEEN {SHOE_EU[0]} AND {SHOE_EU[1]} THEN concat('EU', {code}) ELSE {code} END"
+
+
 def size_code(cand, source="'feed'", d=SPARK):
-    """A candidate's code: ages, half sizes, letters, head sizes in CM, shoe sizes as EU; what is else told apart is kept,
-    but for colours, and for words without a digit out of a title. Empty where there is no size."""
-    low = d.extract(cand, "^ *([0-9]{1,2}) *[/-] *[0-9]{1,2} *([aA][nN][sS]?)? *$", 1)
-    high = d.extract(cand, "^ *[0-9]{1,2} *[/-] *([0-9]{1,2}) *([aA][nN][sS]?)? *$", 1)
-    a, b = (f"TRY_CAST({x} AS INT)" for x in (low, high))
-    half = "(?i)^ *(taille *)?([0-9]{1,2}) *[.,] *([0-9]) *(eu|us|uk|mm)? *$"
-    whole, part, unit = (d.extract(cand, half, k) for k in (2, 3, 4))
-    base = f"concat({d.string(f'TRY_CAST({whole} AS INT)')}, ',', {part})"
+    """A candidate's code: of two ages, of a decimal, or by the first of SIZE_SHAPES; what has none is kept, but for words
+    without a digit out of a title. Empty where there is no size."""
     bare = f"upper({d.gsub(cand, '[^A-Za-z0-9]')})"
-    c = f"coalesce({lookup(bare, {'XXL': '2XL', 'XXXL': '3XL', 'XXXXL': '4XL', 'XXXXXL': '5XL', 'XXXXXXL': '6XL', 'TAILLEUNIQUE': 'TU', 'ONESIZE': 'TU', 'UNI': 'TU'})}, {bare})"
-    colours = ", ".join(f"'{w}'" for w in sorted(COLOURS | LATE_COLOURS))
-    fit, cuts = "(XXS|XS|S|M|L|XL|XXL|[2-6]XL)", "(SHORT|LONG|COURT|REGULAR|STANDARD|KING)"
-    return f"""CASE WHEN {a} BETWEEN 1 AND {b} - 1 AND {b} <= 16 AND {b} - {a} <= 2 THEN concat({d.string(a)}, '-', {d.string(b)}, 'ANS')
-    WHEN {whole} <> '' THEN CASE WHEN {unit} <> '' THEN concat({base}, upper({unit})) WHEN TRY_CAST({whole} AS INT) BETWEEN 35 AND 52 THEN concat('EU', {base}) ELSE {base} END
-    WHEN {d.matches(c, '^(XXS|XS|S|M|L|XL|[2-6]XL|TU)$')} THEN {c}
-    WHEN {d.matches(c, '^TAILLE[0-9]{1,2}$')} THEN substring({c}, 7)
-    WHEN {d.matches(c, '^(XXS|XS|S|M|L|XL|[2-4]XL)[0-9]{4}CM$')} THEN substring({c}, 1, CAST(length({c}) - 2 AS INT))
-    WHEN {d.matches(c, '^(5[3-9]|6[0-5])$')} THEN concat({c}, 'CM') WHEN {d.matches(c, '^(3[5-9]|4[0-9]|5[0-2])$')} THEN concat('EU', {c})
-    WHEN lower({c}) IN ({colours}) THEN ''
-    WHEN {d.matches(c, f'^{cuts}{fit}$')} THEN {d.extract(c, f'^{cuts}{fit}$', 2)} WHEN {d.matches(c, f'^{fit}{cuts}$')} THEN {d.extract(c, f'^{fit}{cuts}$', 1)}
-    WHEN {source} = 'title' AND NOT {d.matches(c, '[0-9]')} THEN '' ELSE substring({c}, 1, 24) END"""
+    named = f"coalesce({lookup(bare, SIZE_NAMES)}, {bare})"
+    shapes = []
+    for shape, code in SIZE_SHAPES:
+        before, _, after = code.partition("{}")
+        shapes.append((d.matches("nm", f"^{shape}$"), f"concat('{before}', {d.extract('nm', f'^{shape}$', 1)}, '{after}')" if "{}" in code else f"'{code}'"))
+    shapes.append((f"{source} = 'title' AND NOT {d.matches('nm', '[0-9]')}", "''"))
+    cases = lambda rules: " ".join(f"WHEN {when} THEN {code}" for when, code in rules)
+    shaped = d.bound(named, "nm", f"CASE {cases(shapes)} ELSE substring(nm, 1, {SIZE_CHARS}) END")
+    return f"CASE {cases([_age_range(cand, d), _decimal_size(cand, d)])} ELSE {shaped} END"
 
 
 def canonical_size(x, d=SPARK):
