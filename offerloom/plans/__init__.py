@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of plans; importing one registers them. They are imported when asked for, as the library below needs the dialect only.
-MODULES = ("catalogue", "frames", "loading", "ranked", "relational", "resolution", "scalars", "streams")
+MODULES = ("catalogue", "described", "frames", "loading", "ranked", "relational", "resolution", "scalars", "streams")
 
 
 def _dialect():
