@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from offerloom.operators import extract, graph, groups, journal, listing, prices, promo, state, verdicts
+from offerloom.operators import extract, graph, groups, journal, listing, prices, promo, reattach, state, verdicts
 from offerloom.plans.dialect import OFFER, SparkDialect, frame, run_text
 
 
@@ -255,3 +255,21 @@ def u05(spark, sf_dir):
     """Verdicts on groups of products that look alike, and how many reasons each has."""
     signals = run_text(spark, sf_dir, f"WITH {OFFER} {SIGNALS}")
     return verdicts.group_verdicts(signals).select("grp", "verdict", F.size("reasons").alias("reasons"))
+
+
+_OFFERS_TO_MOVE = "SELECT offer_id, product_id AS gtin, merchant_id % 9 > 0 OR feed_id % 5 > 0 AS resolved FROM offer"
+_UNITS = "SELECT p_partkey AS gtin, concat('h', p_partkey % 6) AS identity, p_partkey % 17 = 0 AS conflict FROM part"
+_LINKED = "SELECT p_partkey AS gtin, p_partkey % 400 AS product, concat('h', p_partkey % 400 % 6) AS identity FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, p_partkey % 9, concat('h', p_partkey % 9 % 6) FROM part WHERE p_partkey % 50 = 1"
+_REFUSED, _NIGHT = "SELECT p_partkey AS gtin FROM part WHERE p_partkey % 7 = 0", "2024-03-05"
+_LOG = "SELECT offer_id, product_id AS gtin, product_id AS product, 'h' AS own_hash, DATE '2024-03-04' AS night FROM offer WHERE feed_id % 10 = 0"
+
+
+@frame("q09_reattach_log", f"""WITH {OFFER}, o AS ({_OFFERS_TO_MOVE}), u AS ({_UNITS}), l AS ({_LINKED}), was AS ({_LOG}), t AS (SELECT gtin, min(product) AS product, max(identity) AS theirs FROM l GROUP BY gtin HAVING count(DISTINCT product) = 1),
+m AS (SELECT o.offer_id, o.gtin, t.product, u.identity AS own_hash FROM o JOIN u ON u.gtin = o.gtin JOIN t ON t.gtin = o.gtin WHERE NOT o.resolved AND NOT u.conflict AND u.identity <> t.theirs AND o.gtin NOT IN ({_REFUSED}) AND t.product IN (SELECT product FROM l GROUP BY product HAVING count(DISTINCT gtin) <= 25)),
+made AS (SELECT * FROM m WHERE (SELECT count(*) FROM m) <= 1000000)
+SELECT offer_id, gtin, product, own_hash, DATE '{_NIGHT}' AS night FROM made UNION ALL SELECT * FROM was WHERE offer_id NOT IN (SELECT offer_id FROM made)""")
+def q09_log(spark, sf_dir):
+    """The log of reattached offers after one more night."""
+    texts = {k: run_text(spark, sf_dir, f"WITH {OFFER} {text}") for k, text in (("offers", _OFFERS_TO_MOVE), ("units", _UNITS), ("linked", _LINKED), ("refused", _REFUSED), ("log", _LOG))}
+    moved = reattach.moves(texts["offers"], texts["units"], texts["linked"], texts["refused"], offers_most=1_000_000)
+    return reattach.logged(texts["log"], moved, _NIGHT)
