@@ -440,3 +440,19 @@ def test_line_rules_with_odd_column_names(spark, docs):
     odd = docs.withColumn("meta.x", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), F.lit(1))).withColumn("a b", F.lit(2))
     assert Counter(map(tuple, line_rules.line_rules(odd).collect())) == Counter(map(tuple, line_rules.line_rules(docs).collect()))
     assert line_rules.cleaned(odd).columns == odd.columns
+
+
+def test_large_buckets_of_unlike_members(spark):
+    """Buckets of one row hold very many documents that share a word and no more; links among them are all found."""
+    r = np.random.default_rng(21)
+    base = [[f"w{k}" for k in r.integers(0, 40, 12)] for _ in range(160)]
+    base += [[*b[:-1], f"x{k}"] for k, b in enumerate(base[:40])]
+    df = spark.createDataFrame([(k, " ".join(b)) for k, b in enumerate(base)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(df, words=1, percent=60, rows=1, bands=24).collect()}
+    sets, group = [set(b) for b in base], list(range(len(base)))
+    for a in range(len(base)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    assert got == dict(enumerate(group)) and len(set(group)) < len(base) - 30
