@@ -17,9 +17,14 @@ from offerloom.operators.tables import written
 WINDOW = 5
 
 
-def _windows(words: Column, size: int) -> Column:
-    """Hashes of all runs of so many words."""
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(size))))).otherwise(F.array().cast("array<bigint>"))
+def _windows(hashes: Column, size: int) -> Column:
+    """Hashes of all runs of so many words, from the words' hashes."""
+    run = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(size)))
+    return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), run)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def cited(texts: DataFrame, passages: DataFrame, text_id: str, passage_id: str, text: str, passage: str, window: int = WINDOW) -> DataFrame:
@@ -30,11 +35,12 @@ def cited(texts: DataFrame, passages: DataFrame, text_id: str, passage_id: str,
     given = passages.select(F.col(passage_id).alias("p"), F.col(passage).alias("cited")).where("cited <> ''").withColumn("w", F.split("cited", " "))
     # rows are told apart by what they say, as ids may repeat
     said, given = said.withColumn("tk", F.xxhash64("said")), given.withColumn("pk", F.xxhash64("cited"))
+    said, given = written(said, "texts"), written(given, "passages")  # their normal forms are worked out once
     inner = F.slice("w", F.lit(2), F.size("w") - 2)
     long, short = given.where(F.size("w") >= window + 2), given.where(F.size("w") < window + 2)
 
-    anchors = long.select("pk", F.explode(_windows(inner, window)).alias("anchor")).distinct()
-    each = said.select("tk", F.explode(F.array_distinct(_windows(F.col("words"), window))).alias("anchor"))
+    anchors = long.select("pk", _hashed(inner).alias("h")).select("pk", F.explode(_windows(F.col("h"), window)).alias("anchor")).distinct()
+    each = said.select("tk", _hashed(F.col("words")).alias("h")).select("tk", F.explode(F.array_distinct(_windows(F.col("h"), window))).alias("anchor"))
     hits = written(each.join(anchors.select("anchor").distinct(), "anchor", "left_semi").distinct(), "anchor-hits")
     often = hits.groupBy("anchor").agg(F.count("*").alias("texts"))
     rarest = anchors.join(often, "anchor", "left").groupBy("pk").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "anchor")).alias("r")).where("r.texts > 0").select("pk", "r.anchor")

@@ -103,16 +103,20 @@ def readings_of(text: str) -> Iterator[Reading]:
 
 
 def readings(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, code, score, at, then): a row for each reading, by a function over Arrow batches; at counts code points from 0."""
+    """(key, code, score, at, then, context, near, after): a row for each reading, by a function over Arrow batches.
+
+    at counts code points from 0; context and near are what stands around the code, after what begins with it. So a page's
+    text goes no further than this function, and no row of it has to meet its page again."""
     kind = pages.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, *r) for n, page in enumerate(batch.column(1).to_pylist()) for r in readings_of(page)]
-            at, code, score, offset, then = zip(*found) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(code, pa.string()), pa.array(score, pa.int32()), pa.array(offset, pa.int32()), pa.array(then, pa.string())], [key, "code", "score", "at", "then"])
+            found = [(n, *r, *(page[max(0, r.at - before) : r.at + after] for before, after in (CONTEXT, NEAR, (0, TAKEN_BACK)))) for n, page in enumerate(batch.column(1).to_pylist()) if page for r in readings_of(page)]
+            row, code, score, at, then, *around = zip(*found) if found else [[]] * 8
+            strings = [pa.array(x, pa.string()) for x in (then, *around)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(code, pa.string()), pa.array(score, pa.int32()), pa.array(at, pa.int32()), *strings], [key, "code", "score", "at", "then", "context", "near", "after"])
 
-    return pages.select(key, text).where(F.col(text).rlike("(?i)code")).mapInArrow(read, f"`{key}` {kind}, code string, score int, at int, then string")
+    return pages.select(key, text).mapInArrow(read, f"`{key}` {kind}, code string, score int, at int, then string, context string, near string, after string")
 
 
 def find_codes(pages: DataFrame, key: str, text: str) -> DataFrame:
@@ -121,15 +125,9 @@ def find_codes(pages: DataFrame, key: str, text: str) -> DataFrame:
     Readings fall that are ordinary words, figures alone, or short words without a figure (not where "avec le code" makes
     them sure); that the page takes back, ends, or keeps for a newsletter or a first order; weak ones in front of further
     capitals, which are headings; and weak ones shortly before a sure code, which are its title."""
-    rows = readings(pages, key, text).join(pages.select(F.col(key).alias("page_key"), F.col(text).alias("page_text")), F.expr(f"`{key}` <=> page_key"))
-
-    def around(before: int, after: int) -> Column:
-        begin = F.greatest(F.lit(0), F.col("at") - before)
-        return F.substring("page_text", begin + 1, F.col("at") + after - begin)
-
-    rows = rows.select(key, "code", "score", "at", "then", around(*CONTEXT).alias("context"), around(*NEAR).alias("near"), F.upper(F.substring("page_text", F.col("at") + 1, F.lit(TAKEN_BACK))).alias("after"), F.least("at", F.lit(CONTEXT[0])).alias("place"))
+    rows = readings(pages, key, text).withColumn("place", F.least("at", F.lit(CONTEXT[0])))
     word = F.col("code").isin(*NOT_CODES) | ((F.length("code") < 6) & ~F.col("code").rlike("[0-9]"))
-    vetoes = ((F.col("score") < WITH_SHORT) & word) | F.col("code").rlike("^[0-9]+$") | F.contains("after", F.lit("INACTIF"))
+    vetoes = ((F.col("score") < WITH_SHORT) & word) | F.col("code").rlike("^[0-9]+$") | F.contains(F.upper("after"), F.lit("INACTIF"))
     vetoes = vetoes | ((F.col("score") < WITH) & F.col("then").rlike(r"^\p{Lu}{2}")) | F.col("context").rlike(r"(?i)offre\s+termin") | F.lower("near").rlike("|".join(PERSONAL))
     best = rows.where(~vetoes).groupBy(key, "code").agg(F.max_by(F.struct("score", "at", "context", "place"), F.struct("score", -F.col("at"))).alias("r")).select(key, "code", "r.*")
     sure = f"min(if(score >= {WITH_SHORT}, at, null)) over (partition by `{key}` order by at range between 1 following and {TITLE - 1} following)"
@@ -365,7 +363,9 @@ def described(found: DataFrame, as_of: Column) -> DataFrame:
         rows = [(*_nearest(of, at, day), _labelled(of, at, code), _conditions(text, of)) for text, at, code, day in zip(contexts, places, found, days) for of in (tokens(text),)]
         return pd.DataFrame(rows, columns=["starts", "ends", "discount", "conditions"], dtype=object)
 
-    return found.withColumn("said", read("context", "place", "code", as_of)).select("*", "said.*").drop("said")
+    # dealt out by hand: rows are few bytes and much work, of which adaptive planning knows nothing
+    width = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return found.repartition(width, "code", "at", "context").withColumn("said", read("context", "place", "code", as_of)).select("*", "said.*").drop("said")
 
 
 def last_years(code: Column, ends: Column, as_of: Column) -> Column:

@@ -62,31 +62,26 @@ def trigram_search(typed: DataFrame, index: DataFrame, titles: DataFrame, key: s
     return summed.where(F.col("worst") > least).select("query", key, F.aggregate("all", F.lit(0.0), lambda a, s: a + s).alias("similarity"))
 
 
-def prefix_partners(left: DataFrame, right: DataFrame, by: Sequence[str], key: str, *aggregates: Column) -> DataFrame:
-    """left's rows (each once) with aggregates over the right rows whose key begins with theirs or is a prefix of it, by's columns being equal.
+def prefix_counts(left: DataFrame, right: DataFrame, by: Sequence[str], key: str, of: str, longer_only: bool = False) -> DataFrame:
+    """left's rows that have partners, with their number (partners) and the least and greatest of among them (first_partner, last_partner).
 
-    Aggregates must be made of partial ones: counts, sums, least and greatest values under their aliases, as they are worked
-    out for each prefix first, so no pairs are formed and a prefix that a third of all keys share is one row. Prefixes are
-    cut at the lengths that the other side's keys have. Null keys have no partners; keys may be of any length, also empty."""
+    Partners of a row are the right rows with equal by's columns whose key begins with its own or, but for longer_only, is a
+    prefix of it. They are counted for each key and then for each prefix, so no pairs are formed, and a prefix that a third
+    of all keys share is one row. Prefixes are cut at the lengths that the other side's keys have. Null keys have no
+    partners; keys may be of any length, also empty."""
     by = list(by)
-    own = left.where(F.col(key).isNotNull()).select(*by, key).distinct()
-    theirs = right.where(F.col(key).isNotNull())
-    lengths = {name: df.agg(F.array_sort(F.collect_set(F.length(key))).alias(name)) for name, df in (("own_lengths", own), ("their_lengths", theirs))}  # one row each
+    own = written(left.where(F.col(key).isNotNull()).select(*by, key).distinct(), "own-keys")
+    theirs = written(right.where(F.col(key).isNotNull()).groupBy(*by, key).agg(F.count("*").alias("n"), F.min(of).alias("lo"), F.max(of).alias("hi")), "their-keys")
+    whole = (F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
-    def cut(df: DataFrame, at: str, proper: bool) -> DataFrame:
+    def cut(df: DataFrame, other: DataFrame, proper: bool) -> DataFrame:
+        lengths = other.agg(F.array_sort(F.collect_set(F.length(key))).alias("lengths"))  # one row
         fits = (lambda n: n < F.length(key)) if proper else (lambda n: n <= F.length(key))
-        return df.crossJoin(lengths[at]).withColumn("prefix", F.explode(F.transform(F.filter(at, fits), lambda n: F.substring(key, F.lit(1), n)))).drop(at)
+        return df.crossJoin(lengths).withColumn("prefix", F.explode(F.transform(F.filter("lengths", fits), lambda n: F.substring(key, F.lit(1), n)))).drop("lengths")
 
-    # right keys that begin with a left key: the right rows of each prefix; and left keys that go on from a right key
-    below = cut(theirs, "own_lengths", False).groupBy(*by, "prefix").agg(*aggregates).withColumnRenamed("prefix", key)
-    above = cut(own, "their_lengths", True).join(theirs.groupBy(*by, F.col(key).alias("prefix")).agg(*aggregates), [*by, "prefix"]).drop("prefix")
-    return left.join(own.join(below, [*by, key]).unionByName(above), [*by, key])
-
-
-def prefix_counts(left: DataFrame, right: DataFrame, by: Sequence[str], key: str, of: str) -> DataFrame:
-    """left with the number of right rows whose key is a prefix of its key or the reverse (partners), and the least and greatest of of's column among them."""
-    every = prefix_partners(left.select(*by, key).distinct(), right, by, key, F.count("*").alias("partners"), F.min(of).alias("first_partner"), F.max(of).alias("last_partner"))
-    summed = every.groupBy(*by, key).agg(F.sum("partners").alias("partners"), F.min("first_partner").alias("first_partner"), F.max("last_partner").alias("last_partner"))
+    # right keys that begin with a left key, by prefix; and left keys that go on from a right key
+    found = own.join(cut(theirs, own, False).groupBy(*by, "prefix").agg(*whole).withColumnRenamed("prefix", key), [*by, key])
+    if not longer_only:
+        found = found.unionByName(cut(own, theirs, True).join(theirs.withColumnRenamed(key, "prefix"), [*by, "prefix"]).drop("prefix"))
+    summed = found.groupBy(*by, key).agg(*whole).withColumnsRenamed({"n": "partners", "lo": "first_partner", "hi": "last_partner"})
     return left.join(summed, [*by, key])
-
-

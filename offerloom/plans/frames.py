@@ -6,6 +6,11 @@ from offerloom.operators import extract, graph, groups, journal, listing, prices
 from offerloom.plans.dialect import OFFER, SparkDialect, frame, run_text
 
 
+def _width(spark) -> int:
+    """Tasks for work that costs much more than its bytes tell."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def offers(spark, sf_dir):
     return run_text(spark, sf_dir, f"WITH {OFFER} SELECT * FROM offer")
 
@@ -181,7 +186,7 @@ _SAID = f"""said AS (SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 14 IN
   CASE WHEN code = 'TVA' THEN '-20 % avec le code TVA' WHEN score IN (30, 50) THEN concat('-', page_id % 50 + 10, ' % avec le code ', code) ELSE concat('Code promo ', code) END AS discount, CASE WHEN page_id % 2 = 0 THEN 'dès 79,90 € d''achat · hors soldes · non cumulable' ELSE '' END AS conditions FROM said""")
 def x16(spark, sf_dir):
     """Codes of page texts with their score, validity, discount label and conditions (X16 to X18)."""
-    pages = run_text(spark, sf_dir, PROMO.replace("VARCHAR(2)", "STRING")).withColumn("text", promo.page_text(F.col("html")))
+    pages = run_text(spark, sf_dir, PROMO.replace("VARCHAR(2)", "STRING")).repartition(_width(spark), "page_id").withColumn("text", promo.page_text(F.col("html")))
     return promo.described(promo.find_codes(pages, "page_id", "text"), F.lit("2024-01-15").cast("date")).select("page_id", "code", "score", "starts", "ends", "discount", "conditions")
 
 
@@ -189,7 +194,7 @@ def x16(spark, sf_dir):
 SELECT merchant, code FROM state WHERE merchant % 5 = 0 UNION SELECT merchant, code FROM found""")
 def x26(spark, sf_dir):
     """Yesterday's codes after today's scan, in which every fifth merchant's pages did not answer."""
-    pages = run_text(spark, sf_dir, PROMO.replace("VARCHAR(2)", "STRING")).withColumn("text", promo.page_text(F.col("html")))
+    pages = run_text(spark, sf_dir, PROMO.replace("VARCHAR(2)", "STRING")).repartition(_width(spark), "page_id").withColumn("text", promo.page_text(F.col("html")))
     read = promo.codes(pages, "page_id", "text").selectExpr("page_id % 50 as merchant", "code", "page_id % 4 as lot")
     state, found = (read.where(c).select("merchant", "code").distinct() for c in ("lot <> 1", "lot <> 0"))
     answered = read.select("merchant").where("merchant % 5 <> 0").distinct()

@@ -124,8 +124,8 @@ def h49(spark, sf_dir):
     """Exact and begun brands by prefixes, near ones by deletions; the best tier, in which a near brand must be alone."""
     brands = run_text(spark, sf_dir, f"SELECT DISTINCT lower({SparkDialect().gsub('p_brand', '#', '')}) AS brand FROM part")
     typed = run_text(spark, sf_dir, "SELECT q FROM (VALUES ('brand1'), ('brnad12'), ('brand2'), ('brand2x'), ('zzz')) AS typed(q)")
-    begun = words.prefix_partners(typed.selectExpr("q as k").distinct(), brands.selectExpr("brand as k", "brand"), [], "k", F.count("*").alias("n"), F.min("brand").alias("brand"))
-    begun = begun.where("startswith(brand, k)").selectExpr("k as q", "n", "brand", "if(brand = k, 1, 2) as tier")  # the exact one sorts first
+    begun = words.prefix_counts(typed.selectExpr("q as k").distinct(), brands.selectExpr("brand as k", "brand"), [], "k", "brand", longer_only=True)
+    begun = begun.selectExpr("k as q", "partners as n", "first_partner as brand", "if(first_partner = k, 1, 2) as tier")  # the exact one sorts first
     near = words.near_words(typed, brands, "q", "brand").groupBy("q").agg(F.count("*").alias("n"), F.min("brand").alias("brand")).withColumn("tier", F.lit(3))
     best = begun.unionByName(near.select(*begun.columns)).groupBy("q").agg(F.min(F.struct("tier", "brand", "n")).alias("b"))
     return best.where("b.tier < 3 or b.n = 1").selectExpr("q", "b.brand", "b.tier")
