@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import text as t
 from offerloom.operators import groups, passages, words
+from offerloom.operators.tables import written
 from offerloom.plans import relational, scalars  # noqa: F401  (register the texts)
 from offerloom.plans.dialect import OFFER, SparkDialect, run_text, runs
 from offerloom.plans.frames import offers
@@ -90,7 +91,8 @@ def q12(spark, sf_dir):
     ref = f"upper({SparkDialect().gsub('concat(title, brand, size)', '[^A-Za-z0-9]', '')})"
     p = run_text(spark, sf_dir, f"WITH {OFFER} SELECT DISTINCT product_id, brand, size, {ref} AS k FROM offer")
     o = run_text(spark, sf_dir, f"WITH {OFFER} SELECT offer_id, merchant_id, brand, size, concat({ref}, CASE WHEN position = 2 THEN 'X' ELSE '' END) AS k FROM offer WHERE live")
-    only = words.prefix_counts(o.where("length(k) >= 8"), p.where("length(k) >= 8"), ["brand", "size"], "k", "product_id").where("partners = 1")
+    o = written(o.where("length(k) >= 8"), "offers-with-references")  # read for their keys, and again for the offers of keys with one partner
+    only = words.prefix_counts(o, p.where("length(k) >= 8"), ["brand", "size"], "k", "product_id").where("partners = 1")
     first = only.groupBy(F.col("first_partner").alias("product_id"), "merchant_id").agg(F.min("offer_id").alias("offer_id"))
     return first.selectExpr("offer_id", "product_id", "CAST(0.70 AS DOUBLE) AS confidence")
 
