@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from offerloom.functions import text as t
 from offerloom.operators import groups, passages, words
 from offerloom.operators.tables import written
-from offerloom.plans import relational, scalars  # noqa: F401  (register the texts)
+from offerloom.plans import catalogue, relational, scalars  # noqa: F401  (register the texts)
 from offerloom.plans.dialect import OFFER, SparkDialect, run_text, runs
 from offerloom.plans.frames import offers
 from offerloom.plans.resolution import DETACH_OFFERS, DETACH_PRODUCTS
@@ -138,3 +138,18 @@ def x20(spark, sf_dir):
     texts = run_text(spark, sf_dir, f"SELECT doc_id, {t.norm_text('text')} AS said FROM documents")
     given = run_text(spark, sf_dir, f"SELECT item_id, {t.norm_text('text')} AS cited FROM benchmark")
     return passages.cited(texts, given, "doc_id", "item_id", "said", "cited")
+
+
+@runs("q33_true_price_drops")
+def q33(spark, sf_dir):
+    """First and last price of the period, and the prices known before it, from one grouping of the daily prices."""
+    days = offers(spark, sf_dir).groupBy("product_id", "merchant_id", "seen").agg(F.min("wide").alias("cents"))
+    start = run_text(spark, sf_dir, "SELECT CAST(max(l_shipdate) AS DATE) - INTERVAL 2000 DAY AS start FROM lineitem")
+    recent = F.col("seen") >= F.col("start")
+    of = days.crossJoin(start).groupBy("product_id", "merchant_id").agg(  # one row
+        F.min_by("cents", F.when(recent, F.col("seen"))).alias("before"), F.max_by("cents", F.when(recent, F.col("seen"))).alias("now"),
+        F.count_if(recent).alias("days"), F.collect_set(F.when(~recent, F.col("cents"))).alias("earlier"),
+    )
+    pairs = of.where("days > 1").withColumn("low", F.expr("min(now) over (partition by product_id)"))
+    fell = "now = low and now <= 0.9 * before and now >= 0.45 * before and before - now >= 2000"
+    return pairs.where(fell).where(~F.array_contains("earlier", F.col("now"))).select("product_id", "merchant_id", "before", "now")
