@@ -152,6 +152,37 @@ def mutually_only(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str
     return only("l", "rs", a, b).join(only("r", "ls", b, a), [a, b])
 
 
+def only_unlike(df: DataFrame, keys: Sequence[str], kind: str, key: str, value: str, ratio: float) -> DataFrame:
+    """(a, b), a < b: rows of a key of different kinds whose values lie within less than a ratio, each being the other's only such row.
+
+    In order of value, rows of one kind in succession are a run, and what fits a row are those next to it that are not of
+    its kind. The two nearest on either side tell whether there is none, one or more, and they are a run's and not a row's:
+    the end of the next run, and the row behind that, or, where it has one row, the end of a further run of another kind.
+    So no pairs are formed. Values must be above zero and ids distinct; nulls match nothing."""
+    known = df.dropna(subset=[*keys, kind]).where(F.col(value) > 0)
+    rows = known.select(F.struct(*keys).alias("of"), F.col(kind).alias("kind"), F.col(value).alias("v"), F.struct(F.col(value).alias("v"), F.col(key).alias("id")).alias("row"))
+    order = Window.partitionBy("of").orderBy("row")
+    rows = rows.withColumn("begins", F.coalesce(F.lag("kind").over(order) != F.col("kind"), F.lit(True)))
+    rows = rows.withColumn("run", F.count_if("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda n: F.coalesce(F.lag("run", n).over(order) if n > 0 else F.lead("run", -n).over(order), F.lit(-1)) == F.col("run")
+    marked = rows.withColumns({"second": at(1) & ~at(2), "last_but_one": at(-1) & ~at(-2)})
+    ends = marked.groupBy("of", "run").agg(
+        F.first("kind").alias("kind"), F.min("row").alias("first1"), F.min(F.when(F.col("second"), F.col("row"))).alias("first2"), F.max("row").alias("last1"), F.max(F.when(F.col("last_but_one"), F.col("row"))).alias("last2")
+    )
+    runs = Window.partitionBy("of").orderBy("run")
+
+    def nearest(way, end: str) -> list[Column]:
+        """The two nearest rows of other kinds on one side of a run."""
+        further = F.when(way("kind", 2).over(runs) != F.col("kind"), way(f"{end}1", 2).over(runs)).otherwise(way(f"{end}1", 3).over(runs))
+        return [way(f"{end}1", 1).over(runs), F.coalesce(way(f"{end}2", 1).over(runs), further)]
+
+    around = ends.select("of", "run", F.array(*nearest(F.lag, "last"), *nearest(F.lead, "first")).alias("near"))
+    fits = F.filter("near", lambda x: x.isNotNull() & (F.greatest(x["v"], F.col("v")) < ratio * F.least(x["v"], F.col("v"))))
+    only = rows.join(around, ["of", "run"]).select(F.col("row.id").alias("id"), fits.alias("f")).where(F.size("f") == 1).select("id", F.col("f")[0]["id"].alias("other"))
+    both = only.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.count("*").alias("n"))
+    return both.where("n = 2").select("a", "b")
+
+
 def compare_gates(known: Sequence[tuple[str, object]], always: Sequence[str], left: str = "a", right: str = "b") -> Column:
     """Whether two rows disagree: by a column that is known on both sides (its unknown value given), or always compared."""
     out = F.lit(False)

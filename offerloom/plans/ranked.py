@@ -106,6 +106,14 @@ def q24(spark, sf_dir):
     return groups.mutually_only(short, long, ["brand", "size", "toks"], "short_id", "long_id", "price", 1.5)
 
 
+@runs("q26_cut_by_size")
+def q26(spark, sf_dir):
+    """Products of one bare title and different sizes that are each other's only such in price: told from neighbours in price."""
+    bare = t.title_without_size("concat(p_name, ' - ', p_size)")
+    p = run_text(spark, sf_dir, f"SELECT p_partkey AS id, p_brand AS brand, p_type AS kind, p_size AS size, p_retailprice AS price, {bare} AS bare FROM part")
+    return groups.only_unlike(p, ["brand", "kind", "bare"], "size", "id", "price", 1.3)
+
+
 @runs("h30_trigram_search")
 def h30(spark, sf_dir):
     """The typed words' rarest trigrams lead to titles; only these are compared."""

@@ -2,7 +2,9 @@
 
 import datetime
 import zipfile
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +225,17 @@ def test_cautious_merge(spark):
     read = spark.createDataFrame([(1, "back protector", "supplied", "manual"), (1, "back protector", "prepared", "web"), (1, "material", "leather", "web"), (1, "material", "textile", "manual")], "id int, name string, value string, source string")
     got = {r.name: r.value for r in extract.merge_readings(read, "id", ["manual", "web"], cautious=["back protector"]).collect()}
     assert got == {"back protector": "prepared", "material": "textile"}
+
+
+def test_only_unlike_equals_all_pairs(spark):
+    """Few prices and kinds, so that ties, long runs of a kind, runs of one row and rows without partners all occur."""
+    r = np.random.default_rng(26)
+    rows = [(int(i), f"k{r.integers(0, 30)}", int(r.integers(0, 3)), float(r.choice([1.0, 1.2, 1.3, 1.31, 1.7, 2.5, 4.0, 9.0, 20.0]))) for i in r.permutation(220)]
+    rows += [(900, None, 1, 1.0), (901, "k1", None, 1.0), (902, "k1", 1, None), (903, "k1", 1, 0.0)]
+    known = [x for x in rows if None not in x and x[3] > 0]
+    partners = {a[0]: [b[0] for b in known if b[1] == a[1] and b[2] != a[2] and max(a[3], b[3]) < 1.3 * min(a[3], b[3])] for a in known}
+    want = {(a, found[0]) for a, found in partners.items() if len(found) == 1 and len(partners[found[0]]) == 1 and a < found[0]}
+    df = spark.createDataFrame(rows, "id long, k string, size int, price double")
+    got = groups.only_unlike(df, ["k"], "size", "id", "price", 1.3)
+    assert len(want) > 5 and Counter(map(tuple, got.collect())) == Counter(want)
+    assert groups.only_unlike(df.limit(0), ["k"], "size", "id", "price", 1.3).count() == 0
