@@ -5,16 +5,17 @@ sub-word ids, and p(id | class) from counts. The counts, like those of the base
 words are counted per block, summed in word partitions and brought back to the blocks, so what is gathered grows with
 the corpus. A token's class is one of the most frequent ids, or a cluster of ids by the frequent ids around them, which
 are counted over the windows of every training document and added up in the executors. The attention layer's weights are
-fitted on runs of RUN_WORDS words, the end included, that a hash of (doc_id, run) picks out of all training text: a share
-of RUN_SHARE, so their number grows with the corpus (and LEAST_RUNS where that is more). The runs' windows stand where
-those of the scores stand. A first slice of runs is fitted on the driver; then, ROUNDS times, each slice of about
-SLICE_RUNS runs goes on from the common weights in an executor, and the mean of all slices is the next start.
+fitted on all training text, ends included, in runs of RUN_WORDS words that a hash of (doc_id, text, run) deals into
+slices of about SLICE_RUNS runs. The first slice is fitted on the driver for a start; then, ROUNDS times, each slice
+(the first, too) goes on from the common weights in an executor, and the mean of all slices is the next start.
 
 A word's probability mixes three: its share of all training tokens; the attention's p(class of its first sub-word)
 times its share of the words with that class; and the attention's p(its sub-words), which includes the word's end (what
 follows the last sub-word starts a word or is the end) and takes the first sub-word given that one starts. The three
-weights are found by expectation maximisation over all words of the picked runs, each word's own occurrence left out of
-its counts: the executors count the words by the (rounded) ratios of the three, so the driver gets a table of ratios.
+weights are found by expectation maximisation over all training words, each word's own occurrence left out of its counts:
+the executors count the words by the (rounded) ratios of the three, so the driver gets a table of ratios. That count
+and the scores share one pass: scores are worked out at first weights, of one document in CENTRE, with the sums that
+carry them over to the final ones (see moved); where these are not close, scores are worked out again at the final ones.
 Neither the runs nor the sums depend on the order or the partitions of the rows.
 
 A text is its lower-cased words (A-Z) as sub-words that each begin with a space, then one end. Windows of WIDTH tokens
@@ -46,13 +47,16 @@ from offerloom.llm.word_blocks import opened, squeeze, text_blocks, unsqueeze, w
 
 WIDTH, STEP, DIM, CLASSES, SINGLE = 32, 24, 16, 64, 38
 TRAIN_STEPS, BATCH = 500, 192
-#: Runs of words that fit the weights: words of each, their share of all training text and their least number, runs of a slice, rounds over all slices.
-RUN_WORDS, RUN_SHARE, LEAST_RUNS, SLICE_RUNS, ROUNDS = 64, 1 / 32, 4000, 4096, 2
+#: Windows of a batch whose gradients are worked out together, so that their places stay in the cache.
+PART = 24
+#: Runs of words that all training text is dealt out by: words of each, runs of a slice, rounds over all slices.
+RUN_WORDS, SLICE_RUNS, ROUNDS = 256, 1024, 1
 FOLDS = 10
 #: Steps of a unit (natural logarithm) by which ratios of probabilities are told apart, and the most units.
 RATIO_STEPS, RATIO_MOST = 16, 50
-#: Runs whose words' probabilities are worked out together.
-RATIO_RUNS = 1000
+#: Scores are first worked out at weights of one document in CENTRE (and of CENTRE_WORDS words at least); these are CLOSE
+#: if no final weight differs by more than this share of it.
+CENTRE, CENTRE_WORDS, CLOSE = 16, 1 << 18, 0.1
 #: Parts of the table of ids met in windows, for its sum.
 MET_PARTS = 16
 #: Characters of a block of texts, which the steps hold as words, ids and counts.
@@ -60,7 +64,9 @@ BLOCK = 6_000_000
 #: Added to each id's count within its class.
 SMOOTH = 0.5
 INDEXED = "kind int, key long, docs binary, per binary, at binary, sizes binary, ids binary, counts binary"
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log10 double, score double"
+RUNS = "key long, at binary, ids binary"
+CELLS = "led long, spelt long, n long"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log10 double, near double, a double, b double, aa double, ab double, bb double, aaa double, aab double, abb double, bbb double"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -288,27 +294,45 @@ class Attention:
                 self.w[name] = (self.w[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean loss over the valid places; places are rows of plain matrices wherever windows do not matter."""
-        w, at = self.w, x.reshape(-1)
-        h, q, k, v, a, o = self.hidden(x)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        p = flat(o) @ w["out"]
-        p += w["bias"]
-        p -= p.max(-1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(-1, keepdims=True)
-        p[np.arange(len(at)), y.reshape(-1)] -= 1
-        p *= (valid.reshape(-1, 1) / max(1, valid.sum())).astype(np.float32)
-        d_o = (p @ w["out"].T).reshape(o.shape)
-        d_s = d_o @ v.transpose(0, 2, 1)
-        d_s -= np.einsum("bij,bij->bi", d_s, a)[..., None]
-        d_s *= a
-        d_s *= np.float32(DIM**-0.5)
-        d_q, d_k, d_v = flat(d_s @ k), flat(d_s.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ d_o)
-        d_h = flat(d_o) + d_q @ w["query"].T + d_k @ w["key"].T + d_v @ w["value"].T
-        place, rows = d_h.reshape(o.shape).sum(0), flat(h).T
-        embed = np.eye(CLASSES, dtype=np.float32)[at].T @ d_h
-        return {"embed": embed, "place": place, "query": rows @ d_q, "key": rows @ d_k, "value": rows @ d_v, "out": flat(o).T @ p, "bias": p.sum(0)}
+        """Of the mean loss over the valid places. What follows the lookups by class and by place is summed for each class and place first."""
+        w, scale, each = self.w, np.float32(DIM**-0.5), np.float32(1 / max(1, valid.sum()))
+        by = np.concatenate([w["query"] * scale, w["key"], w["value"], np.eye(DIM, dtype=np.float32)], 1)
+        looked, looked_at, ones = w["embed"] @ by, w["place"] @ by, np.ones(CLASSES, np.float32)
+        by_class, by_place = np.zeros_like(looked), np.zeros_like(looked_at)
+        d_out, d_bias = np.zeros_like(w["out"]), np.zeros_like(w["bias"])
+        for s in range(0, len(x), PART):
+            at, share = x[s : s + PART], valid[s : s + PART].reshape(-1) * each
+            all_of = np.take(looked, at, axis=0)
+            all_of += looked_at
+            q, k, v, h = (all_of[..., i * DIM : (i + 1) * DIM] for i in range(4))
+            a = q @ k.transpose(0, 2, 1)
+            a += self.mask
+            a = lowered(a)
+            np.exp(a, out=a)
+            a /= a.sum(-1, keepdims=True)
+            o = a @ v
+            o += h
+            rows = o.reshape(-1, DIM)
+            p = rows @ w["out"]
+            p += w["bias"]
+            p = lowered(p)
+            np.exp(p, out=p)
+            p *= (share / (p @ ones))[:, None]
+            p[np.arange(len(p)), y[s : s + PART].reshape(-1)] -= share
+            d_out += rows.T @ p
+            d_bias += p.sum(0)
+            d_o = (p @ w["out"].T).reshape(o.shape)
+            d_s = d_o @ v.transpose(0, 2, 1)
+            d_s *= a
+            d_s -= a * d_s.sum(-1, keepdims=True)
+            grad = np.concatenate([d_s @ k, d_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d_o, d_o], -1)
+            by_place += grad.sum(0)
+            order = np.argsort(at.reshape(-1).astype(np.uint8), kind="stable")
+            named = at.reshape(-1)[order]
+            first = np.flatnonzero(np.append(True, named[1:] != named[:-1]))
+            by_class[named[first]] += np.add.reduceat(grad.reshape(-1, 4 * DIM)[order], first, axis=0)
+        inner = w["embed"].T @ by_class + w["place"].T @ by_place
+        return {"embed": by_class @ by.T, "place": by_place @ by.T, "query": inner[:, :DIM] * scale, "key": inner[:, DIM : 2 * DIM], "value": inner[:, 2 * DIM : 3 * DIM], "out": d_out, "bias": d_bias}
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -322,7 +346,7 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.where(nth == 0, 0, WIDTH - STEP), np.minimum(WIDTH, left)
 
 
-def score_tokens(model: Attention, classes: np.ndarray, lengths: np.ndarray, batch: int = 512, first: int | np.ndarray = 0) -> np.ndarray:
+def score_tokens(model: Attention, classes: np.ndarray, lengths: np.ndarray, batch: int = 128, first: int | np.ndarray = 0) -> np.ndarray:
     """Rows of log p(class) and log p(a word starts) for each token of texts laid end to end, each after the class first."""
     ends = np.cumsum(lengths)
     before = np.concatenate([[0], classes[:-1]])
@@ -360,62 +384,68 @@ def cut_run(flat: np.ndarray, heads: np.ndarray, first: int, last: int) -> tuple
 
 
 def run_windows(runs: list[tuple[int, np.ndarray]], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and valid places of all windows of runs (id before, ids)."""
+    """Inputs, targets and valid places of all windows of runs (id before, ids); each token of a run is the target of one place."""
     if not runs:
         return np.zeros((0, WIDTH), np.int64), np.zeros((0, WIDTH), np.int64), np.zeros((0, WIDTH), bool)
     lengths = np.asarray([len(ids) for _, ids in runs])
     y = classes[np.concatenate([ids for _, ids in runs])].astype(np.int64)
     before = np.concatenate([[0], y[:-1]])
     before[np.cumsum(lengths) - lengths] = [classes[b] if b >= 0 else 0 for b, _ in runs]
-    start, _, stop = windows(lengths)
+    per = -(-lengths // WIDTH)
+    skipped = (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * WIDTH
+    start, left = np.repeat(np.cumsum(lengths) - lengths, per) + skipped, np.repeat(lengths, per) - skipped
     at, place = np.minimum(start[:, None] + np.arange(WIDTH), len(y) - 1), np.arange(WIDTH)
-    return before[at], y[at], place < stop[:, None]
+    return before[at], y[at], place < left[:, None]
 
 
-def opened_runs(frame: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
-    return [(int(np.frombuffer(at, "<i8")[0]), np.frombuffer(ids, "<u4").astype(np.int64)) for at, ids in zip(frame["at"], frame["ids"])]
-
-
-def runs_end_to_end(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Runs laid end to end: the id before each, all ids, and of all their words the places, sizes and counts; the runs' lengths."""
-    opened_all = opened_runs(frame)
-    lengths = np.asarray([len(ids) for _, ids in opened_all])
-    each = [np.frombuffer(v, "<u4").astype(np.int64) for v in frame["sizes"]]
-    begin = np.cumsum(lengths) - lengths + np.asarray([np.frombuffer(at, "<i8")[1] for at in frame["at"]])
-    heads = np.concatenate([b + np.cumsum(sizes) - sizes for b, sizes in zip(begin.tolist(), each)])
-    counts = np.concatenate([np.frombuffer(c, "<i8") for c in frame["counts"]])
-    return np.asarray([b for b, _ in opened_all]), np.concatenate([ids for _, ids in opened_all]), heads, np.concatenate(each), counts, lengths
+def opened_runs(packed: bytes) -> list[tuple[int, np.ndarray]]:
+    """Of each run of a slice: the class before it and its own."""
+    raw = unsqueeze(packed)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    each = np.split(np.frombuffer(raw, "u1", offset=8 + 8 * n), np.cumsum(np.frombuffer(raw, "<i8", n, 8))[:-1])
+    return [(int(run[0]), run[1:]) for run in each]
 
 
 def fitted(runs: DataFrame, classes: np.ndarray, slices: int) -> Attention:
     """The attention layer: the first slice on the driver, then the mean of all slices, each fitted further in an executor."""
-    sliced = runs.select("key", "at", "ids", F.expr(f"cast(key % {slices} as int)").alias("slice"))
-    first = sliced.where("slice = 0").drop("slice").toPandas().sort_values(["key", "ids"])
+    own = np.arange(CLASSES, dtype=np.uint8)
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A byte for the class before a run and for each of its tokens."""
+        for batch in batches:
+            keys, ats, ids = (batch.column(k).to_pylist() for k in ("key", "at", "ids"))
+            before = [int.from_bytes(at[:8], "little", signed=True) for at in ats]
+            packed = [bytes([classes[b] if b >= 0 else 0]) + classes[np.frombuffer(i, "<u4")].tobytes() for b, i in zip(before, ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([k % slices for k in keys], pa.int32()), pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["slice", "key", "classes"])
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        each = frame.sort_values(["key", "classes"])["classes"].tolist()
+        return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "runs": [squeeze(np.asarray([len(each), *map(len, each)], "<i8").tobytes() + b"".join(each))]})
+
+    rows = runs.select("key", "at", "ids").mapInArrow(classed, "slice int, key long, classes binary")
+    sliced = written(rows.groupBy("slice").applyInPandas(joined, "slice int, runs binary"), "slices")
     model = Attention()
-    model.fit(*run_windows(opened_runs(first), classes))
+    first = sliced.where("slice = 0").toPandas()
+    model.fit(*run_windows([run for packed in first["runs"] for run in opened_runs(packed)], own))
 
     def further(now: dict[str, np.ndarray], seed: int):
-        def fit(frame: pd.DataFrame) -> pd.DataFrame:
-            x, y, valid = run_windows(opened_runs(frame.sort_values(["key", "ids"])), classes)
-            mine = Attention()
-            mine.w = dict(now)
-            mine.refine(x, y, valid, seed)
-            return pd.DataFrame({"slice": [int(frame["slice"].iloc[0])], "n": [len(x)], "w": [np.concatenate([mine.w[k].ravel() for k in Attention.NAMES]).astype("<f4").tobytes()]})
+        def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The weights of a task's slices, added up."""
+            n, whole = 0, 0.0
+            for packed in (p for frame in frames for p in frame["runs"]):
+                x, y, valid = run_windows(opened_runs(packed), own)
+                mine = Attention()
+                mine.w = dict(now)
+                mine.refine(x, y, valid, seed)
+                n, whole = n + len(x), whole + len(x) * np.concatenate([mine.w[k].ravel() for k in Attention.NAMES]).astype(np.float64)
+            if n:
+                yield pd.DataFrame({"n": [n], "w": [whole.tobytes()]})
 
         return fit
 
-    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, whole = 0, 0.0
-        for frame in frames:
-            for many, w in zip(frame["n"], frame["w"]):
-                n, whole = n + many, whole + many * np.frombuffer(w, "<f4").astype(np.float64)
-        if n:
-            yield pd.DataFrame({"n": [n], "w": [whole.tobytes()]})
-
     for turn in range(ROUNDS if slices > 1 else 0):
         now = dict(model.w)
-        each = sliced.groupBy("slice").applyInPandas(further(now, 7 + turn), "slice int, n long, w binary")
-        sums = each.select("n", "w").mapInPandas(added, "n long, w binary").toPandas()
+        sums = sliced.mapInPandas(further(now, 7 + turn), "n long, w binary").toPandas()
         mean = sum(np.frombuffer(w, "<f8") for w in sums["w"]) / sums["n"].sum()
         at = 0
         for name in Attention.NAMES:
@@ -446,6 +476,23 @@ class Block:
     ids: np.ndarray
     counts: np.ndarray
 
+    def only(self, use: np.ndarray) -> Block:
+        return Block([d for d, u in zip(self.docs, use.tolist()) if u], self.per[use], self.at[np.repeat(use, self.per)], self.sizes, self.ids, self.counts)
+
+    def training(self) -> np.ndarray:
+        return np.fromiter(map(trains, self.docs), bool, len(self.docs))
+
+
+def laid_out(block: Block, words: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of a block's documents of about so many words: doc_ids, words in each, and of all words the place in the
+    block's list, sub-words and first sub-word's place; the sub-words' places in the block's ids."""
+    begins, ends = np.cumsum(block.sizes) - block.sizes, np.cumsum(block.per)
+    for a, b in groups_of(block.per, words):
+        at = block.at[ends[a] - block.per[a] : ends[b - 1]].astype(np.int64)
+        each = block.sizes[at]
+        heads = np.cumsum(each) - each
+        yield block.docs[a:b], block.per[a:b], at, each, heads, np.repeat(begins[at] - heads, each) + np.arange(each.sum())
+
 
 def one_by_one(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple]:
     """Rows of a batch of large values, without a copy of them all."""
@@ -478,9 +525,9 @@ def arrow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [f.split()[0] for f in INDEXED.split(", ")])
 
 
-def indexer(column: np.ndarray, end: int, n_train: int, share: float):
-    """Blocks with their words' replies to: indexed blocks (kind 0), sums of ids met in windows (kind 1), picked runs (kind 2)."""
-    size, limit = len(column), int(share * (2**63 - 1))
+def indexer(column: np.ndarray, end: int, n_train: int):
+    """Blocks with their words' replies to: indexed blocks (kind 0), sums of ids met in windows (kind 1)."""
+    size = len(column)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, places, lists = None, {}, []
@@ -507,38 +554,29 @@ def indexer(column: np.ndarray, end: int, n_train: int, share: float):
                 places, lists, each, texts = {}, [], [], None  # before the sums
                 named = np.asarray([[d or 0, d is not None] for d in docs], "<i8")
                 yield arrow([(0, block, *(squeeze(v.tobytes()) for v in (named, per, at, sizes, ids, counts)))])
-                yield from learned(Block(docs, per, at, sizes.astype(np.int64), ids, counts), met)
+                block_of = Block(docs, per, at, sizes.astype(np.int64), ids, counts)
+                for _, per, at, each, _, place in laid_out(block_of.only(block_of.training()), 20_000):
+                    add_met(met, ids[place].astype(np.int64), np.add.reduceat(each, np.cumsum(per) - per), column)
         if met.any():
             yield arrow([(1, k, None, None, None, None, None, squeeze(part.astype("<i8").tobytes())) for k, part in enumerate(np.array_split(met, MET_PARTS))])
 
-    def learned(block: Block, met: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Adds a block's training documents to met and gives their picked runs."""
-        begins, ends = np.cumsum(block.sizes) - block.sizes, np.cumsum(block.per)
-        use = np.asarray([trains(d) for d in block.docs])
-        for a, b in groups_of(block.per, 20_000):
-            chosen = np.flatnonzero(use[a:b]) + a
-            if not len(chosen):
-                continue
-            at = np.concatenate([block.at[ends[k] - block.per[k] : ends[k]] for k in chosen]).astype(np.int64)
-            sizes, per = block.sizes[at], block.per[chosen]
-            heads = np.cumsum(sizes) - sizes
-            flat = block.ids[np.repeat(begins[at] - heads, sizes) + np.arange(sizes.sum())].astype(np.int64)
-            first = np.cumsum(per) - per
-            lengths = np.add.reduceat(sizes, first)
-            add_met(met, flat, lengths, column)
-            rows = []
-            for k, f, n, h, length in zip(chosen.tolist(), first.tolist(), per.tolist(), heads[first].tolist(), lengths.tolist()):
-                hashes = run_hashes(block.docs[k] ^ xxhash.xxh3_64_intdigest(flat[h : h + length]), -(-n // RUN_WORDS))  # the text, too: rows may repeat an id
-                for r in np.flatnonzero(hashes <= limit).tolist():
-                    one, two = r * RUN_WORDS, min(n, (r + 1) * RUN_WORDS)
-                    before, ids, place = cut_run(flat[h : h + length], heads[f : f + n] - h, one, two - 1)
-                    rows.append((2, int(hashes[r]), None, None, np.asarray([before, place], "<i8").tobytes(), sizes[f + one : f + two].astype("<u4").tobytes(), ids.astype("<u4").tobytes(), block.counts[at[f + one : f + two]].tobytes()))
-            if rows:
-                yield arrow(rows)
-
     return index
 
 
+def training_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All training text of indexed blocks in runs of RUN_WORDS words, each with a hash of its document and place."""
+    for block in opened_blocks(batches):
+        for docs, per, _, each, heads, place in laid_out(block.only(block.training()), 20_000):
+            flat, first, rows = block.ids[place], np.cumsum(per) - per, []
+            for doc, f, n, h, length in zip(docs, first.tolist(), per.tolist(), heads[first].tolist(), np.add.reduceat(each, first).tolist()):
+                text, own = flat[h : h + length], heads[f : f + n] - h
+                hashes = run_hashes(doc ^ xxhash.xxh3_64_intdigest(text.astype("<u4")), -(-n // RUN_WORDS))  # the text, too: rows may repeat an id
+                for r, key in enumerate(hashes.tolist()):
+                    before, ids, skip = cut_run(text, own, r * RUN_WORDS, min(n, (r + 1) * RUN_WORDS) - 1)
+                    rows.append((key, np.asarray([before, skip], "<i8").tobytes(), ids.astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["key", "at", "ids"])
+
+
 def met_sums(indexed: DataFrame, size: int) -> np.ndarray:
     """Ids by the frequent ids that share their windows, of all training text; added up in the executors."""
 
@@ -575,79 +613,120 @@ def lm_scores(docs: DataFrame, path: str, end: int) -> DataFrame:
     total, kinds = words + n_train, distinct + (n_train > 0)
     pieces = [enc.lib.id_to_token(i) or "" for i in range(size)]
     told = replies.where("role = 0").select("block", "role", "words", "given", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("texts"))
-    column, runs_there = frequent(by_id), max(1.0, total / RUN_WORDS)
-    share = min(1.0, max(RUN_SHARE, LEAST_RUNS / runs_there))
-    slices = max(1, round(share * runs_there / SLICE_RUNS))
-    indexed = written(told.unionByName(packed).repartition("block").sortWithinPartitions("block", "role").mapInArrow(indexer(column, end, n_train, share), INDEXED), "indexed-blocks")
-    runs = indexed.where("kind = 2")
+    column, slices = frequent(by_id), max(1, round(total / (RUN_WORDS * SLICE_RUNS)))
+    indexed = written(told.unionByName(packed).repartition("block").sortWithinPartitions("block", "role").mapInArrow(indexer(column, end, n_train), INDEXED), "indexed-blocks")
+    kept = indexed.where("kind = 0")
     classes = class_table(by_id, pieces, end, met_sums(indexed, size))
     by_first[end] = n_train
     class_words = np.bincount(classes, weights=by_first, minlength=CLASSES)
     mass = np.bincount(classes, weights=by_id + SMOOTH, minlength=CLASSES)
     inside = np.log10((by_id + SMOOTH) / mass[classes])
-    model = fitted(runs, classes, slices)
+    model = fitted(kept.mapInArrow(training_runs, RUNS), classes, slices)
     model.starts = starting(classes, pieces)
     inside_ln = inside * math.log(10)
+    class_ln = np.log(np.maximum(1, np.stack([class_words, class_words - 1])))
+    most = RATIO_MOST * RATIO_STEPS
+    wide = 2 * most + 1
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def attended(block: Block) -> Iterator[tuple]:
         """Of each group of documents: doc_ids, words in each, and each word's count, log p(its first class), that class, and log p(its sub-words)."""
-        for block in opened_blocks(batches):
-            kinds_of, begins = classes[block.ids].astype(np.int64), np.cumsum(block.sizes) - block.sizes
-            fixed = np.add.reduceat(inside_ln[block.ids], begins)
-            for a, b in groups_of(block.per, 60_000):
-                yield attended(block, a, b, begins, kinds_of, fixed)
-
-    def attended(block: Block, a: int, b: int, begins, kinds_of, fixed) -> tuple:
-        ends, per = np.cumsum(block.per), block.per[a:b]
-        at = block.at[ends[a] - per[0] : ends[b - 1]].astype(np.int64)
-        each = block.sizes[at]
-        heads = np.cumsum(each) - each
-        flat = kinds_of[np.repeat(begins[at] - heads, each) + np.arange(each.sum())]
-        tokens, start = score_tokens(model, flat, np.add.reduceat(each, np.cumsum(per) - per))
-        word = np.add.reduceat(tokens, heads) + fixed[at] - start[heads]
-        inner = np.ones(len(at), bool)
-        inner[np.cumsum(per) - 1] = False  # after the end, nothing follows
-        word[inner] += start[heads[1:]][inner[:-1]] if len(at) > 1 else 0
-        return block.docs[a:b], per, block.counts[at], tokens[heads] - start[heads], flat[heads], word
-
-    def chances(counts: np.ndarray, total: int, lead: np.ndarray, first: np.ndarray, word: np.ndarray, own: int) -> np.ndarray:
+        kinds_of, fixed = classes[block.ids].astype(np.int64), np.add.reduceat(inside_ln[block.ids], np.cumsum(block.sizes) - block.sizes)
+        for docs_of, per, at, each, heads, place in laid_out(block, 60_000):
+            flat = kinds_of[place]
+            tokens, start = score_tokens(model, flat, np.add.reduceat(each, np.cumsum(per) - per))
+            word = np.add.reduceat(tokens, heads) + fixed[at] - start[heads]
+            inner = np.ones(len(at), bool)
+            inner[np.cumsum(per) - 1] = False  # after the end, nothing follows
+            word[inner] += start[heads[1:]][inner[:-1]] if len(at) > 1 else 0
+            yield docs_of, per, block.counts[at], tokens[heads] - start[heads], flat[heads], word
+
+    def chances(counts: np.ndarray, lead: np.ndarray, first: np.ndarray, word: np.ndarray, own: int) -> np.ndarray:
         """Log-probabilities of words: by their share, by first class then share in it, and by sub-words; own occurrences left out."""
         with np.errstate(divide="ignore"):
-            return np.stack([np.log(counts / max(1, total)), lead + np.log(counts / np.maximum(1, class_words[first] - own)), word])
+            share = np.log(counts - own)
+        return np.stack([share - math.log(max(1, total - own)), lead + share - class_ln[own][first], word])
+
+    def add_cells(cells: np.ndarray, counts: np.ndarray, lead: np.ndarray, first: np.ndarray, word: np.ndarray) -> None:
+        """Counts training words by the ratios of their second and third probability to the first, in steps (the last cell: the third alone)."""
+        known = counts > 1
+        cell = chances(counts[known], lead[known], first[known], word[known], 1)
+        led, spelt = np.clip(np.rint((cell[1:] - cell[0]) * RATIO_STEPS), -most, most).astype(np.int64) + most
+        np.add.at(cells, led * wide + spelt, 1)
+        cells[-1] += len(known) - len(cell[0])
+
+    def rows_of(cells: np.ndarray) -> list[pa.Array]:
+        at = np.flatnonzero(cells)
+        lone = at == wide * wide
+        return [pa.array(v, pa.int64(), mask=m) for v, m in ((at // wide - most, lone), (at % wide - most, lone), (cells[at], None))]
+
+    def some_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells of the training documents that the first weights are found by."""
+        cells = np.zeros(wide * wide + 1, np.int64)
+        for block in opened_blocks(batches):
+            use = block.training() & np.asarray([crc32_text(d) // FOLDS % one_in == 0 for d in block.docs], bool)
+            for _, _, *words in attended(block.only(use)):
+                add_cells(cells, *words)
+        yield pa.RecordBatch.from_arrays(rows_of(cells), [f.split()[0] for f in CELLS.split(", ")])
 
-    def ratios(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Words of the runs by the ratios of their second and third probability to the first, in steps (null: the third alone)."""
-        found: Counter = Counter()
-        for frame in frames:
-            for part in (frame.iloc[k : k + RATIO_RUNS] for k in range(0, len(frame), RATIO_RUNS)):
-                before, ids, heads, sizes, counts, lengths = runs_end_to_end(part)
-                tokens, start = score_tokens(model, classes[ids].astype(np.int64), lengths, first=np.where(before >= 0, classes[np.maximum(before, 0)], 0))
-                after, stop = heads + sizes, np.repeat(np.cumsum(lengths), [len(c) // 8 for c in part["counts"]])
-                word = np.add.reduceat(np.append(tokens + inside_ln[ids], 0.0), np.stack([heads, after], 1).ravel())[::2] - start[heads]
-                word[after < stop] += start[after[after < stop]]
-                cell = chances(counts - 1, total - 1, tokens[heads] - start[heads], classes[ids[heads]], word, 1)
-                known = counts > 1
-                steps = np.clip(np.rint((cell[1:, known] - cell[0, known]) * RATIO_STEPS), -RATIO_MOST * RATIO_STEPS, RATIO_MOST * RATIO_STEPS).astype(int)
-                found.update(zip(*steps.tolist()))
-                found[None, None] += int((~known).sum())
-        yield pd.DataFrame({"led": pd.array([k[0] for k in found], "Int64"), "spelt": pd.array([k[1] for k in found], "Int64"), "n": list(found.values())})
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs_of, per, counts, lead, first, word in read(batches):
-            mixed = np.logaddexp.reduce(chances(counts, total, lead, first, word, 0) + np.log(weights)[:, None])
-            begin = np.cumsum(per) - per
-            sums = [np.add.reduceat(v, begin) for v in ((counts > 0).astype(np.int64), np.log10(counts + 0.1), mixed / math.log(10))]
-            held = [not trains(d) for d in docs_of]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((docs_of, held, per, *sums), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], [f.split()[0] for f in SCORED.split(", ")])
-
-    cells = runs.select("at", "ids", "sizes", "counts").mapInPandas(ratios, "led long, spelt long, n long").groupBy("led", "spelt").agg(F.sum("n").alias("n")).where("n > 0").orderBy("led", "spelt").toPandas()
-    with np.errstate(invalid="ignore"):
+    def found_weights(cells: DataFrame) -> np.ndarray:
+        cells = cells.groupBy("led", "spelt").agg(F.sum("n").alias("n")).orderBy("led", "spelt").toPandas()
         led, spelt = (np.exp(cells[c].to_numpy(float) / RATIO_STEPS) for c in ("led", "spelt"))
-    lone = np.isnan(led)
-    weights = mixture_weights(np.stack([np.where(lone, 0, 1.0), np.where(lone, 0, led), np.where(lone, 1.0, spelt)]), cells["n"].to_numpy(float))
-    rows = indexed.where("kind = 0").mapInArrow(score, SCORED)
+        lone = np.isnan(led)
+        return mixture_weights(np.stack([np.where(lone, 0, 1.0), np.where(lone, 0, led), np.where(lone, 1.0, spelt)]), cells["n"].to_numpy(float))
+
+    def scored_at(centre: np.ndarray) -> DataFrame:
+        """Documents' scores at these weights with the sums by which near weights change them, and the cells of all training words."""
+        names, types = [f.split()[0] for f in f"{SCORED}, {CELLS}".split(", ")], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.float64()] * 11, *[pa.int64()] * 3)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = np.zeros(wide * wide + 1, np.int64)
+            for docs_of, per, *words in (group for block in opened_blocks(batches) for group in attended(block)):
+                held = np.asarray([not trains(d) for d in docs_of])
+                learnt = np.repeat(~held, per)
+                add_cells(cells, *(v[learnt] for v in words))
+                joint = chances(*words, 0) + np.log(centre)[:, None]
+                near = np.logaddexp.reduce(joint)
+                a, b = np.exp(joint[:2] - near)
+                sums = [np.add.reduceat(v, np.cumsum(per) - per) for v in ((words[0] > 0).astype(np.int64), np.log10(words[0] + 0.1), near, a, b, a * a, a * b, b * b, a**3, a * a * b, a * b * b, b**3)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((docs_of, held, per, *sums), types)] + [pa.nulls(len(per), t) for t in types[-3:]], names)
+            own = rows_of(cells)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own[0]), t) for t in types[:-3]] + own, names)
+
+        return written(kept.mapInArrow(score, f"{SCORED}, {CELLS}"), "near-scores")
+
+    one_in = int(min(CENTRE, max(1, total // CENTRE_WORDS)))
+    centre = found_weights(kept.mapInArrow(some_cells, CELLS))
+    rows = scored_at(centre)
+    weights = found_weights(rows.where("n is not null").select("led", "spelt", "n"))
+    if not close_weights(weights, centre):
+        centre, rows = weights, scored_at(weights)
     below = math.log10(total + 0.1 * (kinds + 1)) if total else None
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("known_log10") - F.col("n_tokens") * F.lit(below).cast("double")).alias("base_score"), "score")
+    return rows.where("n is null").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("known_log10") - F.col("n_tokens") * F.lit(below).cast("double")).alias("base_score"), (F.expr(moved(weights, centre)) / math.log(10)).alias("score"))
+
+
+def close_weights(weights: np.ndarray, centre: np.ndarray) -> bool:
+    return bool(np.abs(weights / centre - 1).max() <= CLOSE)
+
+
+def moved(weights: np.ndarray, centre: np.ndarray) -> str:
+    """A document's log-probability at weights close to centre, as an SQL expression over the sums at centre.
+
+    A word's probability grows by the factor 1 + z, where z is the mean of the weights' relative changes under the word's
+    shares (a, b and 1 - a - b) of the three at centre. log(1 + z) is taken as z - z^2 / 2 + z^3 / 3; z is CLOSE at most,
+    so a word's error is below 4e-5, and below 2e-6 where the weights change by half of that.
+    """
+    one, two, same = (float(t) for t in weights / centre - 1)
+    z = {"": same, "a": one - same, "b": two - same}
+    power, terms = {"": 1.0}, Counter()
+    for factor in (1, -1 / 2, 1 / 3):
+        raised: Counter = Counter()
+        for p, u in power.items():
+            for q, v in z.items():
+                raised["".join(sorted(p + q))] += u * v
+        power = raised
+        for p, u in power.items():
+            terms[p] += factor * u
+    return " + ".join(["near", *(f"{p or 'n_tokens'} * {u!r}D" for p, u in terms.items())])
 
 
 def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
