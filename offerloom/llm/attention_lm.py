@@ -64,7 +64,7 @@ BLOCK = 6_000_000
 #: Added to each id's count within its class.
 SMOOTH = 0.5
 INDEXED = "kind int, key long, docs binary, per binary, at binary, sizes binary, ids binary, counts binary"
-RUNS = "key long, at binary, ids binary"
+RUNS = "slice int, key long, classes binary"
 CELLS = "led long, spelt long, n long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log10 double, near double, a double, b double, aa double, ab double, bb double, aaa double, aab double, abb double, bbb double"
 
@@ -410,19 +410,17 @@ def fitted(runs: DataFrame, classes: np.ndarray, slices: int) -> Attention:
     """The attention layer: the first slice on the driver, then the mean of all slices, each fitted further in an executor."""
     own = np.arange(CLASSES, dtype=np.uint8)
 
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A byte for the class before a run and for each of its tokens."""
+    def by_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ats, ids = (batch.column(k).to_pylist() for k in ("key", "at", "ids"))
-            before = [int.from_bytes(at[:8], "little", signed=True) for at in ats]
-            packed = [bytes([classes[b] if b >= 0 else 0]) + classes[np.frombuffer(i, "<u4")].tobytes() for b, i in zip(before, ids)]
+            keys, ats, each = (batch.column(k).to_pylist() for k in ("key", "at", "ids"))
+            packed = [classed(int(np.frombuffer(at, "<i8")[0]), np.frombuffer(ids, "<u4"), classes) for at, ids in zip(ats, each)]
             yield pa.RecordBatch.from_arrays([pa.array([k % slices for k in keys], pa.int32()), pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["slice", "key", "classes"])
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
         each = frame.sort_values(["key", "classes"])["classes"].tolist()
         return pd.DataFrame({"slice": [frame["slice"].iloc[0]], "runs": [squeeze(np.asarray([len(each), *map(len, each)], "<i8").tobytes() + b"".join(each))]})
 
-    rows = runs.select("key", "at", "ids").mapInArrow(classed, "slice int, key long, classes binary")
+    rows = runs if "classes" in runs.columns else runs.select("key", "at", "ids").mapInArrow(by_classes, RUNS)  # of ids: classed here
     sliced = written(rows.groupBy("slice").applyInPandas(joined, "slice int, runs binary"), "slices")
     model = Attention()
     first = sliced.where("slice = 0").toPandas()
@@ -563,18 +561,27 @@ def indexer(column: np.ndarray, end: int, n_train: int):
     return index
 
 
-def training_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All training text of indexed blocks in runs of RUN_WORDS words, each with a hash of its document and place."""
-    for block in opened_blocks(batches):
-        for docs, per, _, each, heads, place in laid_out(block.only(block.training()), 20_000):
-            flat, first, rows = block.ids[place], np.cumsum(per) - per, []
-            for doc, f, n, h, length in zip(docs, first.tolist(), per.tolist(), heads[first].tolist(), np.add.reduceat(each, first).tolist()):
-                text, own = flat[h : h + length], heads[f : f + n] - h
-                hashes = run_hashes(doc ^ xxhash.xxh3_64_intdigest(text.astype("<u4")), -(-n // RUN_WORDS))  # the text, too: rows may repeat an id
-                for r, key in enumerate(hashes.tolist()):
-                    before, ids, skip = cut_run(text, own, r * RUN_WORDS, min(n, (r + 1) * RUN_WORDS) - 1)
-                    rows.append((key, np.asarray([before, skip], "<i8").tobytes(), ids.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["key", "at", "ids"])
+def classed(before: int, ids: np.ndarray, classes: np.ndarray) -> bytes:
+    """A byte for the class before a run and for each of its tokens."""
+    return bytes([classes[before] if before >= 0 else 0]) + classes[ids].tobytes()
+
+
+def training_runs(classes: np.ndarray, slices: int):
+    """All training text of indexed blocks in runs of RUN_WORDS words by classes, dealt to slices by a hash of document and place."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in opened_blocks(batches):
+            for docs, per, _, each, heads, place in laid_out(block.only(block.training()), 20_000):
+                flat, first, rows = block.ids[place], np.cumsum(per) - per, []
+                for doc, f, n, h, length in zip(docs, first.tolist(), per.tolist(), heads[first].tolist(), np.add.reduceat(each, first).tolist()):
+                    text, own = flat[h : h + length], heads[f : f + n] - h
+                    hashes = run_hashes(doc ^ xxhash.xxh3_64_intdigest(text.astype("<u4")), -(-n // RUN_WORDS))  # the text, too: rows may repeat an id
+                    for r, key in enumerate(hashes.tolist()):
+                        before, ids, _ = cut_run(text, own, r * RUN_WORDS, min(n, (r + 1) * RUN_WORDS) - 1)
+                        rows.append((key % slices, key, classed(before, ids, classes)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["slice", "key", "classes"])
+
+    return cut
 
 
 def met_sums(indexed: DataFrame, size: int) -> np.ndarray:
@@ -621,7 +628,7 @@ def lm_scores(docs: DataFrame, path: str, end: int) -> DataFrame:
     class_words = np.bincount(classes, weights=by_first, minlength=CLASSES)
     mass = np.bincount(classes, weights=by_id + SMOOTH, minlength=CLASSES)
     inside = np.log10((by_id + SMOOTH) / mass[classes])
-    model = fitted(kept.mapInArrow(training_runs, RUNS), classes, slices)
+    model = fitted(kept.mapInArrow(training_runs(classes, slices), RUNS), classes, slices)
     model.starts = starting(classes, pieces)
     inside_ln = inside * math.log(10)
     class_ln = np.log(np.maximum(1, np.stack([class_words, class_words - 1])))

@@ -19,7 +19,7 @@ def test_fit_and_mixture_are_of_every_training_word(spark, monkeypatch):
 
     def fit(runs, classes, slices):
         seen["slices"] = slices
-        seen["runs"] = [(np.frombuffer(x.at, "<i8")[1], np.frombuffer(x.ids, "<u4")) for x in runs.select("at", "ids").collect()]
+        seen["runs"] = [np.frombuffer(x.classes, "u1", offset=1) for x in runs.collect()]
         return fitted(runs, classes, slices)
 
     def weigh(chances, times):
@@ -32,8 +32,8 @@ def test_fit_and_mixture_are_of_every_training_word(spark, monkeypatch):
     assert lm.lm_scores(docs, tokenizer_path(BYTES), END).where("score < 0").count() == len(rows)
     assert seen["slices"] > 1
     assert len(seen["runs"]) == sum(-(-len(words) // lm.RUN_WORDS) for words in kept)
-    assert sum((ids == END).sum() for _, ids in seen["runs"]) >= len(kept)  # a run before the last may end with the end, too
-    assert sum(len(ids) - skip for skip, ids in seen["runs"]) >= sum(map(len, kept))
+    assert sum((run == 1).sum() for run in seen["runs"]) >= len(kept)  # the ends; a run before the last may end with one, too
+    assert sum(map(len, seen["runs"])) >= sum(map(len, kept))
     assert seen["mixture_weights"][-1] == sum(map(len, kept))
 
 
