@@ -212,9 +212,9 @@ def starting(classes: np.ndarray, pieces: list[str]) -> np.ndarray:
     return out
 
 
-def lowered(x: np.ndarray) -> np.ndarray:
-    """Logits whose exponentials are finite: less each row's greatest, where any is high. Shares of a row stay as they are."""
-    return x - x.max(-1, keepdims=True) if x.max(initial=0) > 60 else x
+def lowered(x: np.ndarray, axis: int = -1) -> np.ndarray:
+    """Logits whose exponentials are finite: less each row's greatest, where any is high. Shares of a row (along axis) stay as they are."""
+    return x - x.max(axis, keepdims=True) if x.max(initial=0) > 60 else x
 
 
 class Attention:
@@ -240,35 +240,45 @@ class Attention:
         a /= a.sum(-1, keepdims=True)
         return h, q, k, v, a, h + a @ v
 
-    def outputs(self, x: np.ndarray, since: int) -> np.ndarray:
-        """The layer's outputs at the places from since on. Classes are few, so projections are looked up, not multiplied."""
-        w, scale = self.w, np.float32(DIM**-0.5)
-        kept, looked = (np.concatenate([w["embed"] @ w[a] * f, w["embed"] @ w[b] if b else w["embed"]], 1) for a, b, f in (("key", "value", 1), ("query", None, scale)))
-        kept_at, looked_at = (np.concatenate([w["place"] @ w[a] * f, w["place"] @ w[b] if b else w["place"]], 1) for a, b, f in (("key", "value", 1), ("query", None, scale)))
+    def lookups(self) -> tuple[np.ndarray, ...]:
+        """What a class and a place add to a key, a value, a one (the shares' sum), a query and the residual; the last layer."""
+        w = self.w
+        by = np.concatenate([w["key"], w["value"], np.zeros((DIM, 1), np.float32), w["query"] * np.float32(DIM**-0.5), np.eye(DIM, dtype=np.float32)], 1)
+        by_class, by_place = w["embed"] @ by, w["place"] @ by
+        by_place[:, 2 * DIM] = 1
+        kept, looked = slice(2 * DIM + 1), slice(2 * DIM + 1, None)
+        tables = by_class[:, kept], by_place[:, kept], by_class[:, looked], by_place[:, looked], self.mask.T, np.concatenate([w["out"], w["bias"][None]]).T, np.stack([np.ones(CLASSES, np.float32), self.starts])
+        return tuple(map(np.ascontiguousarray, tables))
+
+    def log_probs(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, since: int = 0, tables: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """Rows of natural log p(class) of the scored places (none before since), in order, and log p(a word starts) there.
+
+        The layer's outputs (and a one) are features by windows by places, so that what belongs to a place is worked out
+        along rows. Classes are few, so projections are looked up, not multiplied."""
+        kept, kept_at, looked, looked_at, mask, out, sums = tables or self.lookups()
         kv = np.take(kept, x, axis=0)
         kv += kept_at
         qh = np.take(looked, x[:, since:], axis=0)
         qh += looked_at[since:]
-        a = qh[..., :DIM] @ kv[..., :DIM].transpose(0, 2, 1)
-        a += self.mask[since:]
-        a = lowered(a)
+        a = kv[..., :DIM] @ qh[..., :DIM].transpose(0, 2, 1)  # keys by queries
+        a += mask[:, since:]
+        a = lowered(a, 1)
         np.exp(a, out=a)
-        o = a @ kv[..., DIM:]
-        o /= a.sum(-1, keepdims=True)
-        o += qh[..., DIM:]
-        return o
-
-    def log_probs(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, since: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log p(class) of the scored places (none before since), in order, and log p(a word starts) there."""
-        o = self.outputs(x, since)
-        o = o.reshape(-1, DIM) if scored[:, since:].all() else o[scored[:, since:]]
-        z = o @ self.w["out"]
-        z += self.w["bias"]
-        z = lowered(z)
-        hit = z[np.arange(len(z)), y[scored]].astype(np.float64)
+        o = np.empty((DIM + 1, *qh.shape[:2]), np.float32)
+        np.matmul(kv[..., DIM:].transpose(0, 2, 1), a, out=o.transpose(1, 0, 2))
+        o[:DIM] /= o[DIM]
+        o[:DIM] += qh[..., DIM:].transpose(2, 0, 1)
+        o[DIM] = 1
+        rows, named, use = o.reshape(DIM + 1, -1), y[:, since:].reshape(-1), scored[:, since:].reshape(-1)
+        if 2 * use.sum() < len(use):
+            rows, named, use = rows[:, use], named[use], slice(None)
+        z = lowered(out @ rows, 0)
+        found = np.empty((3, len(named)))
+        found[0] = np.take(z.reshape(-1), named * len(named) + np.arange(len(named)))
         np.exp(z, out=z)
-        whole = np.log(z.sum(-1).astype(np.float64))
-        return hit - whole, np.log((z @ self.starts).astype(np.float64)) - whole
+        np.log(sums @ z, out=found[1:], dtype=np.float64)
+        found[::2] -= found[1]
+        return found[::2][:, use]
 
     def fit(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, seed: int = 6) -> None:
         if not len(x):
@@ -294,45 +304,56 @@ class Attention:
                 self.w[name] = (self.w[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean loss over the valid places. What follows the lookups by class and by place is summed for each class and place first."""
+        """Of the mean loss over the valid places. Lookups are by windows and places, all else is laid out as in outputs;
+        shares are left as exponentials, and what divides them is applied to the narrow rows beside them."""
         w, scale, each = self.w, np.float32(DIM**-0.5), np.float32(1 / max(1, valid.sum()))
         by = np.concatenate([w["query"] * scale, w["key"], w["value"], np.eye(DIM, dtype=np.float32)], 1)
-        looked, looked_at, ones = w["embed"] @ by, w["place"] @ by, np.ones(CLASSES, np.float32)
-        by_class, by_place = np.zeros_like(looked), np.zeros_like(looked_at)
-        d_out, d_bias = np.zeros_like(w["out"]), np.zeros_like(w["bias"])
+        looked, looked_at = (np.insert(w[name] @ by, 3 * DIM, one, axis=1) for name, one in (("embed", 0), ("place", 1)))  # a value of one after the values
+        out, mask, hot = np.concatenate([w["out"], w["bias"][None]]), np.ascontiguousarray(self.mask.T), np.eye(CLASSES, dtype=np.float32)
+        by_class, by_place = np.zeros_like(w["embed"].T), np.zeros_like(w["place"].T)
+        d_out, inner = np.zeros_like(out), np.zeros((DIM, 3 * DIM), np.float32)
         for s in range(0, len(x), PART):
-            at, share = x[s : s + PART], valid[s : s + PART].reshape(-1) * each
+            at, named = x[s : s + PART], y[s : s + PART].reshape(-1)
             all_of = np.take(looked, at, axis=0)
             all_of += looked_at
-            q, k, v, h = (all_of[..., i * DIM : (i + 1) * DIM] for i in range(4))
-            a = q @ k.transpose(0, 2, 1)
-            a += self.mask
-            a = lowered(a)
+            q, k, v, h = np.split(all_of, (DIM, 2 * DIM, 3 * DIM + 1), axis=-1)
+            a = k @ q.transpose(0, 2, 1)  # keys by queries
+            a += mask
+            a = lowered(a, 1)
             np.exp(a, out=a)
-            a /= a.sum(-1, keepdims=True)
-            o = a @ v
-            o += h
-            rows = o.reshape(-1, DIM)
-            p = rows @ w["out"]
-            p += w["bias"]
-            p = lowered(p)
+            o = np.empty((DIM + 1, *at.shape), np.float32)
+            np.matmul(v.transpose(0, 2, 1), a, out=o.transpose(1, 0, 2))
+            over = 1 / o[DIM]
+            mean = o[:DIM] * over
+            np.add(mean, h.transpose(2, 0, 1), out=o[:DIM])
+            o[DIM] = 1
+            rows = o.reshape(DIM + 1, -1)
+            p = out.T @ rows
+            p = lowered(p, 0)
             np.exp(p, out=p)
-            p *= (share / (p @ ones))[:, None]
-            p[np.arange(len(p)), y[s : s + PART].reshape(-1)] -= share
-            d_out += rows.T @ p
-            d_bias += p.sum(0)
-            d_o = (p @ w["out"].T).reshape(o.shape)
-            d_s = d_o @ v.transpose(0, 2, 1)
+            whole = p.sum(0)
+            p.reshape(-1)[named * len(named) + np.arange(len(named))] -= whole
+            share = valid[s : s + PART].reshape(-1) * (each / whole)
+            rows *= share
+            d_out += rows @ p.T
+            grad = np.empty((4 * DIM, *at.shape), np.float32)
+            flat, by_window, d_o = grad.reshape(4 * DIM, -1), grad.transpose(1, 0, 2), o  # o is done with
+            np.matmul(w["out"], p, out=flat[3 * DIM :])
+            flat[3 * DIM :] *= share
+            np.multiply(grad[3 * DIM :], over, out=d_o[:DIM])
+            mean *= d_o[:DIM]
+            np.negative(mean.sum(0), out=d_o[DIM])
+            d_s = v @ d_o.transpose(1, 0, 2)
             d_s *= a
-            d_s -= a * d_s.sum(-1, keepdims=True)
-            grad = np.concatenate([d_s @ k, d_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d_o, d_o], -1)
-            by_place += grad.sum(0)
-            order = np.argsort(at.reshape(-1).astype(np.uint8), kind="stable")
-            named = at.reshape(-1)[order]
-            first = np.flatnonzero(np.append(True, named[1:] != named[:-1]))
-            by_class[named[first]] += np.add.reduceat(grad.reshape(-1, 4 * DIM)[order], first, axis=0)
-        inner = w["embed"].T @ by_class + w["place"].T @ by_place
-        return {"embed": by_class @ by.T, "place": by_place @ by.T, "query": inner[:, :DIM] * scale, "key": inner[:, DIM : 2 * DIM], "value": inner[:, 2 * DIM : 3 * DIM], "out": d_out, "bias": d_bias}
+            np.matmul(k.transpose(0, 2, 1), d_s, out=by_window[:, :DIM])
+            np.matmul(q.transpose(0, 2, 1), d_s.transpose(0, 2, 1), out=by_window[:, DIM : 2 * DIM])
+            np.matmul(d_o[:DIM].transpose(1, 0, 2), a.transpose(0, 2, 1), out=by_window[:, 2 * DIM : 3 * DIM])
+            inner += h.reshape(-1, DIM).T @ flat[: 3 * DIM].T
+            d_h = by @ flat
+            by_place += d_h.reshape(DIM, *at.shape).sum(1)
+            by_class += d_h @ np.take(hot, at.reshape(-1), axis=0, out=p.reshape(-1, CLASSES), mode="clip")
+            del all_of, q, k, v, h, a, o, over, mean, rows, p, grad, flat, by_window, d_o, d_s, d_h  # the next part takes their place in the cache
+        return {"embed": by_class.T, "place": by_place.T, "query": inner[:, :DIM] * scale, "key": inner[:, DIM : 2 * DIM], "value": inner[:, 2 * DIM :], "out": d_out[:DIM], "bias": d_out[DIM]}
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -352,16 +373,15 @@ def score_tokens(model: Attention, classes: np.ndarray, lengths: np.ndarray, bat
     before = np.concatenate([[0], classes[:-1]])
     before[(ends - lengths)] = first
     start, since, stop = windows(lengths)
-    out = np.empty((2, len(classes)))
-    place = np.arange(WIDTH)
-    for lead in (0, WIDTH - STEP):  # first windows, then later ones, whose first places are context alone
+    x, y = (np.lib.stride_tricks.sliding_window_view(np.append(v, np.zeros(WIDTH, v.dtype)), WIDTH) for v in (before, classes))
+    nth, out = np.arange(len(classes)) - np.repeat(ends - lengths, lengths), np.empty((2, len(classes)))
+    tables = model.lookups()
+    for lead, by_first in ((0, nth < WIDTH), (WIDTH - STEP, nth >= WIDTH)):  # first windows, then later ones, whose first places are context alone
         some = np.flatnonzero(since == lead)
-        for a in range(0, len(some), batch):
-            pick = some[a : a + batch]
-            at = start[pick, None] + place
-            scored = (place >= lead) & (place < stop[pick, None])
-            np.minimum(at, len(classes) - 1, out=at)
-            out[:, at[scored]] = model.log_probs(before[at], classes[at], scored, lead)
+        picks = [some[a : a + batch] for a in range(0, len(some), batch)]
+        found = [model.log_probs(x[start[p]], y[start[p]], (np.arange(WIDTH) >= lead) & (np.arange(WIDTH) < stop[p, None]), lead, tables) for p in picks]
+        if found:
+            out[:, by_first] = np.concatenate(found, 1)  # windows follow each other as their tokens do
     return out
 
 
